@@ -7,8 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, entropy_mixing
-from foliant.llm.common import pick, table
+from foliant.llm import chat_format, entropy_mixing, orc_tokens, secret_dfa, vector_packing
+from foliant.llm.common import new_path, pick, table
+from foliant.llm.token_ids import default_tokenizer
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_dfa.scan_secrets(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_dfa.BASE_RULES]
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(of_kind(k) for k in base),
+        F.sha2(listed(F.filter("secrets", lambda s: s["kind"].isin(*base))), 256).alias("base_sha256"),
+        listed(F.col("secrets")).alias("spans"),
+    )
+
+
+def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = vector_packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    orc_tokens.write_tokens(table(spark, sf_dir, "documents"), path, default_tokenizer())
+    return orc_tokens.digests(spark, path)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +84,36 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+def _secret_sql() -> str:
+    """Positions from the lengths of the gaps between matches and of the matches before."""
+    first = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
+    patterns = [(r.kind, f"()({r.body})", r.least) for r in secret_dfa.DEFAULT_RULES]
+    patterns[0] = ("assign", first, secret_dfa.BASE_RULES[0].least)
+    parts = " UNION ALL ".join(
+        f"SELECT rid, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(text, '{p}') AS hits, regexp_extract_all(text, '{p}', 2) AS bodies, regexp_split_to_array(text, '{p}') AS gaps FROM t"
+        for k, (kind, p, least) in enumerate(patterns)
+    )
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({parts}),
+h AS (SELECT rid, k, kind, least, hits, gaps, unnest(hits) AS hit, unnest(bodies) AS body, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+s AS (SELECT rid, k, kind, length(hit) AS n,
+  CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b
+  FROM h WHERE length(body) >= least),
+a AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+  string_agg(kind || ':' || b || ':' || (b + n), ',' ORDER BY b, k) FILTER (k < 3) AS base,
+  string_agg(kind || ':' || b || ':' || (b + n), ',' ORDER BY b, k) AS spans FROM s GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN a USING (rid)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op5_vector_packing": op5_vector_packing,
+    "op6_orc_tokens": op6_orc_tokens,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
 }
-SQL: dict[str, str] = {"op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op2_secret_scan": _secret_sql(), "op10_chat_format": OP10_SQL}
