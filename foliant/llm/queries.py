@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, entropy_mixing, orc_tokens, secret_dfa, vector_packing
+from foliant.llm import chat_format, entropy_mixing, hamming_minhash, orc_tokens, secret_dfa, vector_packing
 from foliant.llm.common import new_path, pick, table
 from foliant.llm.token_ids import default_tokenizer
 
@@ -36,6 +36,12 @@ def op6_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(spark, path)
 
 
+def op7_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = hamming_minhash.NearDuplicates(words=3, per_hundred=85)
+    found = hamming_minhash.near_duplicates(table(spark, sf_dir, "documents"), how)
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     mixed = entropy_mixing.mix(docs)
@@ -84,6 +90,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM reached r JOIN both_ways e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def _secret_sql() -> str:
     """Positions from the lengths of the gaps between matches and of the matches before."""
     first = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
@@ -113,7 +136,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op5_vector_packing": op5_vector_packing,
     "op6_orc_tokens": op6_orc_tokens,
+    "op7_hamming_minhash": op7_hamming_minhash,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
 }
-SQL: dict[str, str] = {"op2_secret_scan": _secret_sql(), "op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op2_secret_scan": _secret_sql(), "op7_hamming_minhash": OP7_SQL, "op10_chat_format": OP10_SQL}
