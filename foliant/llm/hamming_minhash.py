@@ -6,10 +6,11 @@ a probability under ``miss``. Signatures are split into chunks; by the pigeonhol
 within D agree, up to D // chunks errors, in one chunk at least. For every chunk and every set of places where
 errors are allowed the other symbols form a key, so that all pairs within D share a key, with no exception.
 
-Members of a key are not paired with each other. Each is first compared with two leaders of the key, on full
-sets; keys whose members then lie in one component are done. In the others, members of different
-components whose signatures are within D are compared, large keys in blocks. No link is lost: each pair within D is
-either in one component already or compared.
+Members of a key are not paired with each other. In two rounds they are compared with leaders of the key, on full
+sets, and linked sets become components. A key whose members lie in one component is done. In the others,
+members of different components whose signatures are within D are compared on full sets inside a task, large
+keys in blocks, each pair in the first of its keys only; what leaves the task are links that join components. No link is
+lost: a pair within D is in one component already or compared.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ class NearDuplicates:
     symbols: int = 64
     bits: int = 16
     miss: float = 1e-6
-    #: Members of a key compared with each other in one block.
-    block: int = 2000
+    #: Members of a key in one block; a task compares two blocks at a time.
+    block: int = 1000
 
     @property
     def distance(self) -> int:
@@ -57,7 +58,14 @@ class NearDuplicates:
     @property
     def chunks(self) -> int:
         """As many as leave one error to a chunk."""
-        return min(self.symbols, self.distance // 2 + 1)
+        n = self.distance // 2 + 1
+        if 2 * n > self.symbols:
+            raise ValueError("the similarity is too low for this many symbols")
+        return n
+
+    @property
+    def errors(self) -> int:
+        return self.distance // self.chunks
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -113,18 +121,37 @@ class Signer:
             least = np.minimum(least, ((shingles[at : at + 8192] ^ self.seeds) * self.factors).min(axis=1))
         return (_mixed(least) >> _U(64 - self.how.bits)).astype("<u4" if self.how.bits > 16 else "<u2")
 
-    def keys(self, signatures: np.ndarray) -> np.ndarray:
-        """One column for each chunk and each choice of places left out."""
-        how, out = self.how, []
-        columns = [np.ascontiguousarray(signatures[:, i]).astype(_U) for i in range(how.symbols)]
-        for number, chunk in enumerate(np.array_split(np.arange(how.symbols), how.chunks)):
-            for left_out in itertools.combinations(chunk.tolist(), min(how.distance // how.chunks, len(chunk) - 1)):
-                key = np.full(len(signatures), number + 1, _U)
+    def places(self) -> list[np.ndarray]:
+        return np.array_split(np.arange(self.how.symbols), self.how.chunks)
+
+    def keys(self, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, slots): a column for each chunk and place left out of it; the slot is that place.
+
+        Without errors to allow there is one column for each chunk, whose slot is its first place.
+        """
+        columns = [np.ascontiguousarray(signatures[:, i]).astype(_U) for i in range(self.how.symbols)]
+        out, slots = [], []
+        for chunk in self.places():
+            for slot in chunk.tolist() if self.how.errors else chunk[:1].tolist():
+                key = np.full(len(signatures), slot + 1, _U)
                 for i in chunk.tolist():
-                    if i not in left_out:
+                    if i != slot or not self.how.errors:
                         key = _mixed(key + columns[i] + _U((i + 1) << 32))
-                out.append(key + _U(sum(1 << i for i in left_out) & (1 << 63) - 1))
-        return _mixed(np.stack(out, axis=1))
+                out.append(key)
+                slots.append(slot)
+        return _mixed(np.stack(out, axis=1)), np.array(slots, np.int32)
+
+    def first_slots(self, differ: np.ndarray) -> np.ndarray:
+        """The slot of the first key shared by pairs whose places ``differ`` as the rows say; -1 if none is."""
+        starts = np.array([c[0] for c in self.places()])
+        per_chunk = np.add.reduceat(differ, starts, axis=1, dtype=np.int32)
+        shared = per_chunk <= self.how.errors
+        chunk = shared.argmax(axis=1)
+        ends = np.append(starts[1:], self.how.symbols)
+        inside = (np.arange(self.how.symbols) >= starts[chunk][:, None]) & (np.arange(self.how.symbols) < ends[chunk][:, None])
+        odd = differ & inside
+        slot = np.where(odd.any(axis=1), odd.argmax(axis=1), starts[chunk])
+        return np.where(shared.any(axis=1), slot, -1)
 
 
 def _node(shingles: np.ndarray) -> int:
@@ -157,10 +184,11 @@ def _keys(nodes: DataFrame, how: NearDuplicates) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 2048):
                 batch = big.slice(at, 2048)
-                table = signer.keys(_signatures(batch.column("signature").to_pylist(), how)).view(np.int64)
-                yield pa.record_batch([pa.array(table.ravel()), pa.array(np.repeat(batch.column("node").to_numpy(), table.shape[1]))], names=["key", "node"])
+                table, slots = signer.keys(_signatures(batch.column("signature").to_pylist(), how))
+                nodes = np.repeat(batch.column("node").to_numpy(), table.shape[1])
+                yield pa.record_batch([pa.array(table.view(np.int64).ravel()), pa.array(np.tile(slots, len(table))), pa.array(nodes)], names=["key", "slot", "node"])
 
-    return nodes.select("node", "signature").mapInArrow(keys, "key bigint, node bigint")
+    return nodes.select("node", "signature").mapInArrow(keys, "key bigint, slot int, node bigint")
 
 
 def _signatures(data: list[bytes], how: NearDuplicates) -> np.ndarray:
@@ -206,47 +234,115 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame
     return rows.mapInArrow(check, ", ".join(f"{n} bigint" for n in names))
 
 
-def _rest(members: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(a, b, ca, cb): members of a key in different components, within the distance.
-
-    ``members`` has key, n, node, comp and signature. A key with n members is dealt into blocks of about
-    ``how.block``, and each pair of its blocks is compared apart.
-    """
+def _blocks(members: DataFrame, how: NearDuplicates) -> DataFrame:
+    """Members (key, slot, n, node, comp, signature) dealt into pairs (i, j) of blocks of their key."""
     blocks = F.ceil(F.col("n") / how.block).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "node", "comp", "signature")
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-
-    def close(held: list[dict]) -> Iterator[tuple[int, int, int, int]]:
-        nodes, comps, sides = (np.array([r[k] for r in held], np.int64) for k in ("node", "comp", "side"))
-        if (comps == comps[0]).all():
-            return
-        signatures = _signatures([r["signature"] for r in held], how)
-        two = held[0]["i"] != held[0]["j"]
-        for x in range(len(held) - 1):
-            other = np.flatnonzero((comps[x + 1 :] != comps[x]) & ((sides[x + 1 :] != sides[x]) | (not two))) + x + 1
-            for y in other[(signatures[other] != signatures[x]).sum(axis=1) <= how.distance].tolist():
-                a, b = (x, y) if nodes[x] < nodes[y] else (y, x)
-                yield int(nodes[a]), int(nodes[b]), int(comps[a]), int(comps[b])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = lambda r: (r["key"], r["i"], r["j"])
-        rows = (r for batch in batches for at in range(0, batch.num_rows, 1000) for r in batch.slice(at, 1000).to_pylist())
-        out: set[tuple] = set()
-        for _, held in itertools.groupby(rows, place):
-            for pair in close(list(held)):
-                out.add(pair)
-                if len(out) >= 50_000:
-                    yield _batch(out)
-                    out = set()
-        yield _batch(out)
-
-    return dealt.mapInArrow(compare, "a bigint, b bigint, ca bigint, cb bigint").distinct()
-
-
-def _batch(rows: set[tuple]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else ((),) * 4)], names=["a", "b", "ca", "cb"])
+    return rows.select("key", "slot", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), (F.col("_own") > F.col("_other")).cast("int").alias("side"), "node", "comp", "signature")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of one (key, i, j) after the other; the batches are sorted by these."""
+    rows = (r for batch in batches for at in range(0, batch.num_rows, 1000) for r in batch.slice(at, 1000).to_pylist())
+    for _, held in itertools.groupby(rows, lambda r: (r["key"], r["i"], r["j"])):
+        yield list(held)
+
+
+class _Near:
+    """Which members of a block pair are within the distance, in different components, and first meet here."""
+
+    def __init__(self, held: list[dict], how: NearDuplicates, signer: Signer) -> None:
+        self.comps, self.sides = (np.array([r[k] for r in held], np.int64) for k in ("comp", "side"))
+        self.signatures = _signatures([r["signature"] for r in held], how)
+        self.how, self.signer, self.slot, self.two = how, signer, held[0]["slot"], held[0]["i"] != held[0]["j"]
+
+    def others(self, x: int) -> np.ndarray:
+        """Members after ``x`` to compare it with."""
+        ok = self.comps[x + 1 :] != self.comps[x]
+        if self.two:
+            ok &= self.sides[x + 1 :] != self.sides[x]
+        at = np.flatnonzero(ok) + x + 1
+        differ = self.signatures[at] != self.signatures[x]
+        close = differ.sum(axis=1) <= self.how.distance
+        at, differ = at[close], differ[close]
+        return at[self.signer.first_slots(differ) == self.slot] if len(at) else at
+
+
+_MEMBER = "key bigint, slot int, i int, j int, side int, node bigint, comp bigint, signature binary"
+
+
+def _with_near(blocks: DataFrame, how: NearDuplicates) -> DataFrame:
+    """The rows of blocks that have someone to be compared with."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, names, out = Signer(how), [f.split()[0] for f in _MEMBER.split(", ")], []
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        batch = lambda rows: pa.record_batch([pa.array([r[n] for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
+        for held in _groups(batches):
+            if len({r["comp"] for r in held}) > 1:
+                near, there = _Near(held, how, signer), np.zeros(len(held), bool)
+                for x in range(len(held) - 1):
+                    if len(at := near.others(x)):
+                        there[at] = there[x] = True
+                out += [r for r, t in zip(held, there.tolist(), strict=True) if t]
+            if len(out) >= 5000:
+                yield batch(out)
+                out = []
+        yield batch(out)
+
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(keep, _MEMBER)
+
+
+def _joining(blocks: DataFrame, how: NearDuplicates) -> DataFrame:
+    """(a, b): components that a link on full sets joins; ``blocks`` has the shingles too.
+
+    Inside a task, components that a link has joined are one from then on, so that a block pair gives
+    fewer links than it has components.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, out = Signer(how), []
+        for held in _groups(batches):
+            near = _Near(held, how, signer)
+            sets = [np.frombuffer(r["shingles"], _U) for r in held]
+            sizes = np.array([len(x) for x in sets])
+            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            there = np.zeros(len(values), np.int32)
+            for x in range(len(held) - 1):
+                at = near.others(x)
+                if not len(at):
+                    continue
+                own = codes[starts[x] : starts[x + 1]]
+                there[own] = 1
+                common = np.add.reduceat(there[codes], starts[:-1])[at]
+                there[own] = 0
+                for y in at[100 * common >= how.per_hundred * (sizes[x] + sizes[at] - common)].tolist():
+                    a, b = int(near.comps[x]), int(near.comps[y])
+                    if a != b:
+                        out.append((min(a, b), max(a, b)))
+                        near.comps[near.comps == b] = a
+            if len(out) >= 50_000:
+                yield pa.record_batch([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+                out = []
+        yield pa.record_batch([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(link, "a bigint, b bigint").distinct()
+
+
+def _merged(label: DataFrame, more: DataFrame) -> DataFrame:
+    """The labels (node, label) after links between labels have given ``more`` (node, label)."""
+    top = more.select(F.col("node").alias("label"), F.col("label").alias("_top"))
+    moved = label.join(top, "label", "left").select("node", F.coalesce("_top", "label").alias("label"))
+    return stored(moved.unionByName(more.join(label.select("node"), "node", "left_anti")), "merged")
+
+
+def _in_open_keys(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members with their component, of the keys that hold more than one component."""
+    rows = members.join(label, "node", "left").select("key", "slot", "n", "node", F.coalesce("label", "node").alias("comp"))
+    still = rows.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("key")
+    return stored(rows.join(still, "key"), "open")
 
 
 def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) -> DataFrame:
@@ -261,19 +357,24 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
     nodes = stored(nodes, "nodes")
     keys = _keys(nodes, how)
-    leaders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    # A key's leaders are the least and the greatest of its members' ids, turned by a hash of the key.
+    turn = F.xxhash64("key")
+    leaders = keys.withColumn("_t", F.col("node").bitwiseXOR(turn)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("_t").alias("_low"), F.max("_t").alias("_high")).where("n > 1")
+    leaders = leaders.select("key", "n", F.array(F.col("_low").bitwiseXOR(turn), F.col("_high").bitwiseXOR(turn)).alias("leaders"))
     members = stored(keys.join(leaders, "key"), "members")
     sets = stored(_full_sets(docs, nodes.join(members.select("node").distinct(), "node"), how), "sets")
-    stars = members.select(F.explode(F.array("low", "high")).alias("x"), "node").where("x <> node")
+    stars = members.select(F.explode("leaders").alias("x"), "node").where("x <> node")
     stars = stars.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    near = components(_linked(stars, sets, how))
-    members = members.join(near, "node", "left").select("key", "n", "node", F.coalesce("label", "node").alias("comp"))
-    open_keys = members.groupBy("key").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).where("_x <> _y").select("key")
-    rest = _rest(members.join(open_keys, "key").join(nodes.select("node", "signature"), "node"), how)
-    more = components(_linked(rest, sets, how).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    more = more.select(F.col("node").alias("label"), F.col("label").alias("_top"))
-    of_node = nodes.select("node", "doc").join(near, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
-    of_node = of_node.join(more, "label", "left").select("node", "doc", F.coalesce("_top", "label").alias("label"))
+    label = components(_linked(stars, sets, how))
+    members = _in_open_keys(members.drop("leaders"), label)
+    # The second round: another leader for the members that are not in its component.
+    second = members.groupBy("key").agg(F.min(F.struct(F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(2))).alias("t"), "node", "comp")).alias("_l"))
+    pairs = members.join(second, "key").where("_l.comp <> comp").select(F.least("_l.node", "node").alias("a"), F.greatest("_l.node", "node").alias("b"), F.least("_l.comp", "comp").alias("ca"), F.greatest("_l.comp", "comp").alias("cb")).distinct()
+    label = _merged(label, components(_linked(pairs, sets, how).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+    members = _in_open_keys(members.drop("comp"), label)
+    near = _with_near(_blocks(members.join(nodes.select("node", "signature"), "node"), how), how)
+    label = _merged(label, components(_joining(stored(near, "near").join(sets, "node"), how)))
+    of_node = nodes.select("node", "doc").join(label, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
     names = of_node.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_node = stored(of_node.join(names, "label").select("node", "component_id"), "components")
     out = rows.join(of_node, "node", "left")
