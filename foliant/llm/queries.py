@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, entropy_mixing, hamming_minhash, orc_tokens, secret_dfa, vector_packing
+from foliant.llm import chat_format, entropy_mixing, hamming_minhash, hd_language, orc_tokens, secret_dfa, vector_packing
 from foliant.llm.common import new_path, pick, table
 from foliant.llm.token_ids import default_tokenizer
 
@@ -25,6 +25,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hd_language.identify(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = vector_packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -134,6 +138,7 @@ FROM t LEFT JOIN a USING (rid)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
+    "op3_hd_language": op3_hd_language,
     "op5_vector_packing": op5_vector_packing,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_hamming_minhash": op7_hamming_minhash,
