@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, entropy_mixing, hamming_minhash, hd_language, orc_tokens, secret_dfa, vector_packing
+from foliant.llm import chat_format, entropy_mixing, hamming_minhash, hd_language, histogram_topk, orc_tokens, secret_dfa, vector_packing, viterbi_count
 from foliant.llm.common import new_path, pick, table
 from foliant.llm.token_ids import default_tokenizer
 
@@ -29,6 +29,11 @@ def op3_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hd_language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = pick(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return histogram_topk.top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
 def op5_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = vector_packing.pack_documents(table(spark, sf_dir, "documents"), default_tokenizer())
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -46,6 +51,10 @@ def op7_hamming_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def op8_viterbi_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_count.count_tokens(table(spark, sf_dir, "documents"), viterbi_count.default_vocabulary()).select("doc_id", "n_tokens")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
     mixed = entropy_mixing.mix(docs)
@@ -111,6 +120,19 @@ FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
+OP4_SQL = """
+WITH ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scores AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_inner_product(q.v, r.v) AS BIGINT) AS score
+  FROM ok q JOIN ok r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v) WHERE q.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scores)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 5
+"""
+
+
 def _secret_sql() -> str:
     """Positions from the lengths of the gaps between matches and of the matches before."""
     first = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
@@ -139,10 +161,12 @@ FROM t LEFT JOIN a USING (rid)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_hd_language": op3_hd_language,
+    "op4_histogram_topk": op4_histogram_topk,
     "op5_vector_packing": op5_vector_packing,
     "op6_orc_tokens": op6_orc_tokens,
     "op7_hamming_minhash": op7_hamming_minhash,
+    "op8_viterbi_count": op8_viterbi_count,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
 }
-SQL: dict[str, str] = {"op2_secret_scan": _secret_sql(), "op7_hamming_minhash": OP7_SQL, "op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op2_secret_scan": _secret_sql(), "op4_histogram_topk": OP4_SQL, "op7_hamming_minhash": OP7_SQL, "op10_chat_format": OP10_SQL}
