@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, entropy_mixing, hamming_minhash, hd_language, histogram_topk, orc_tokens, secret_dfa, vector_packing, viterbi_count
+from foliant.llm import chat_format, entropy_mixing, flat_graph, hamming_minhash, hd_language, histogram_topk, orc_tokens, secret_dfa, vector_packing, viterbi_count
 from foliant.llm.common import new_path, pick, table
 from foliant.llm.token_ids import default_tokenizer
 
 
+def op1_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = flat_graph.near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_dfa.scan_secrets(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secret_dfa.BASE_RULES]
@@ -120,6 +125,21 @@ FROM documents d JOIN least USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
 
 
+OP1_SQL = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least USING (vec_id) LEFT JOIN degrees USING (vec_id)
+"""
+
 OP4_SQL = """
 WITH ok AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -159,6 +179,7 @@ FROM t LEFT JOIN a USING (rid)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_flat_graph": op1_flat_graph,
     "op2_secret_scan": op2_secret_scan,
     "op3_hd_language": op3_hd_language,
     "op4_histogram_topk": op4_histogram_topk,
@@ -169,4 +190,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
 }
-SQL: dict[str, str] = {"op2_secret_scan": _secret_sql(), "op4_histogram_topk": OP4_SQL, "op7_hamming_minhash": OP7_SQL, "op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op1_flat_graph": OP1_SQL, "op2_secret_scan": _secret_sql(), "op4_histogram_topk": OP4_SQL, "op7_hamming_minhash": OP7_SQL, "op10_chat_format": OP10_SQL}
