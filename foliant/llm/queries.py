@@ -178,6 +178,12 @@ FROM t LEFT JOIN a USING (rid)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_flat_graph": op1_flat_graph,
     "op2_secret_scan": op2_secret_scan,
@@ -189,5 +195,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_viterbi_count": op8_viterbi_count,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 SQL: dict[str, str] = {"op1_flat_graph": OP1_SQL, "op2_secret_scan": _secret_sql(), "op4_histogram_topk": OP4_SQL, "op7_hamming_minhash": OP7_SQL, "op10_chat_format": OP10_SQL}
