@@ -111,21 +111,44 @@ def _unit(mark: Column) -> Column:
 
 def _copies(rate: Column, mark: Column, shift: Column, added: Column, removed: Column, most: int) -> Column:
     whole = F.floor(rate)
-    first = whole + F.when(_unit(mark) < rate - whole + shift, 1).otherwise(0)
+    first = whole + F.when((rate > 0) & (_unit(mark) - (rate - whole) < shift), 1).otherwise(0)
     changed = first + F.when(F.array_contains(added, mark), 1).otherwise(0) - F.when(F.array_contains(removed, mark), 1).otherwise(0)
     return F.greatest(F.lit(0), F.least(F.lit(most), changed))
 
 
+#: Bins of the differences, from -1 to 1.
+SHIFT_BINS = 4096
+
+
+def _shifts(docs: DataFrame, rates: DataFrame, most: int) -> DataFrame:
+    """``rates`` with the shift of each source. At most one row for each source and bin is exchanged and ordered."""
+    p = rates.select(*(F.col(c).alias(f"_{c}") for c in rates.columns))
+    rows = docs.where("size > 0").join(p, docs["source"].eqNullSafe(F.col("_source")), "inner")
+    rows = rows.withColumn("_r", _rate(F.col("prior"), F.col("_dual"), most)).withColumn("_w", F.floor("_r"))
+    over = F.floor((_unit(F.col("mark")) - (F.col("_r") - F.col("_w")) + 1) * (SHIFT_BINS / 2)).cast("long")
+    free = (F.col("_r") > 0) & (F.col("_w") < most)
+    bins = rows.groupBy("_source", F.when(free, over).otherwise(-1).alias("_bin")).agg(
+        F.sum(F.col("size") * F.col("_w")).alias("_sure"), F.sum(F.when(free, F.col("size")).otherwise(0)).alias("_more"), F.first("_target").alias("_target")
+    )
+    own = Window.partitionBy("_source")
+    bins = bins.withColumn("_taken", F.sum("_sure").over(own) + F.sum("_more").over(own.orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)))
+    edge = (F.col("_bin") + 1) / (SHIFT_BINS / 2) - 1
+    best = bins.groupBy("_source").agg(F.min(F.struct(F.abs(F.col("_target") - F.col("_taken")).alias("gap"), F.abs(edge).alias("far"), edge.alias("shift"))).alias("_b"))
+    best = best.select(F.col("_source").alias("_bs"), F.col("_b.shift").alias("_shift"))
+    return rates.join(best, rates["source"].eqNullSafe(F.col("_bs")), "left").select(*rates.columns, F.coalesce("_shift", F.lit(0.0)).alias("shift"))
+
+
 def rounding(docs: DataFrame, rates: DataFrame, most: int = 3, exchanges: int = 4) -> DataFrame:
     """``rates`` with shift, added and removed for each source: how rates become copies.
 
-    A document gets the floor of its rate, and one copy more if its hash lies under the fraction. An
-    exchange pass then finds, for each source, the document whose one copy more or less brings the tokens
+    A document gets the floor of its rate, and one copy more if its hash lies under the fraction by more than a
+    threshold of its source, ``shift``, which is near 0: a histogram of the tokens over that difference shows where it
+    has to be for the tokens to come nearest to the target. An exchange pass then finds, for each source, the document whose one copy more or less brings the tokens
     nearest to the target; ``exchanges`` passes choose that many documents at most. Each pass is one
     aggregate with a partial stage. What a source's row lists is bounded by ``exchanges``.
     """
     empty = F.array().cast("array<struct<h:bigint,c:bigint>>")
-    plan = rates.withColumns({"shift": F.lit(0.0), "added": empty, "removed": empty})
+    plan = stored(_shifts(docs, rates, most), "plan").withColumns({"added": empty, "removed": empty})
     for _ in range(exchanges):
         p = plan.select(*(F.col(c).alias(f"_{c}") for c in plan.columns))
         rows = docs.where("size > 0").join(p, docs["source"].eqNullSafe(F.col("_source")), "inner")
