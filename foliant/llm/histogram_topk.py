@@ -73,6 +73,17 @@ def _scores(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.array([[max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x, y, strict=True)))) for y in whole[1]] for x in whole[0]], object)
 
 
+def _places(scores: np.ndarray, low: np.ndarray, span: int, width: int) -> np.ndarray:
+    """The bin of each score in its query's range, or -1; where doubles would round, by whole numbers of any size."""
+    own = scores == -np.inf
+    if span < EXACT / 2 and scores.dtype != object:
+        at = scores - low[:, None].astype(np.float64)
+        return np.where(~own & (at >= 0) & (at < span), at // width, -1)
+    gaps = np.where(own, 0, scores).astype(object) - low.astype(object)[:, None]
+    whole = [[int(g) // width if 0 <= g < span else -1 for g in line] for line in gaps]
+    return np.where(own, -1, np.array(whole, np.float64).reshape(scores.shape))
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(query ids, low, row ids, scores) of each pair of blocks; a query's own rows score None's stand-in, minus infinity."""
     for batch in batches:
@@ -103,9 +114,7 @@ def _refine(ranges: DataFrame, queries: DataFrame, rows: DataFrame, n_queries: i
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, tuple] = {}
         for key, qi, low, _, scores in _pairs(batches):
-            at = scores - low[:, None] if scores.dtype == object else scores - low[:, None].astype(np.float64)
-            at = np.where((at >= 0) & (at < span), at, -1).astype(np.float64) // width
-            at = np.where(scores == -np.inf, -1, at)
+            at = _places(scores, low, span, width)
             if at.shape[1] > k:
                 at = np.partition(at, at.shape[1] - k, axis=1)[:, -k:]
             if key in best:
@@ -122,7 +131,9 @@ def _refine(ranges: DataFrame, queries: DataFrame, rows: DataFrame, n_queries: i
     over = bins.join(ranges, "query_id").withColumn("_over", F.sum("n").over(down) - F.col("n") + F.col("above"))
     found = over.where((F.col("_over") < k) & (F.col("_over") + F.col("n") >= k)).select("query_id", "bin", F.col("_over"))
     # With fewer than k scores there is no such bin: the range stays at its lowest bin.
-    return ranges.join(found, "query_id", "left").select("query_id", (F.col("low") + F.coalesce("bin", F.lit(0)) * width).alias("low"), F.when(F.col("bin").isNull(), F.col("above")).otherwise(F.col("_over")).alias("above"))
+    wide = lambda c: c.cast("decimal(20,0)")
+    moved = (wide(F.col("low")) + wide(F.coalesce("bin", F.lit(0))) * wide(F.lit(width))).cast("long")
+    return ranges.join(found, "query_id", "left").select("query_id", moved.alias("low"), F.when(F.col("bin").isNull(), F.col("above")).otherwise(F.col("_over")).alias("above"))
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, how: Search = Search()) -> DataFrame:
@@ -154,7 +165,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, how: Search = Search()) -> Dat
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple]] = {}
         for _, qi, low, ri, scores in _pairs(batches):
-            x, y = np.nonzero((scores >= low[:, None]) & (scores != -np.inf))
+            floor = low[:, None] if np.abs(low).max(initial=0) < EXACT and scores.dtype != object else low.astype(object)[:, None]
+            x, y = np.nonzero((scores >= floor) & (scores != -np.inf))
             if not len(x):
                 continue
             s = scores[x, y]
