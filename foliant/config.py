@@ -25,6 +25,7 @@ class Settings:
     collection: str = "documents"
     dimension: int = 256
     seed_demo: bool = False
+    demo_fallback: bool = False
     chunking: str = "recursive"
     chunk_size: int = 512
     chunk_overlap: int = 50

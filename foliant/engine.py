@@ -96,11 +96,18 @@ class Engine:
         """(query_id, question, rank, id, content, source, score) for questions (query_id, question) that are not blank."""
         s = self.settings
         name = tenant_collection(tenant) if tenant else s.collection
+        if s.demo_fallback and self.store.read(name).isEmpty():
+            return self._fixed_hits(questions)
         asked = questions.where(~is_blank("question")).withColumn("embedding", self.embedder.embed(F.col("question")))
         k = ranking.width(self.scorer is not None, s.retrieval_top_k, s.final_top_k)
         hits = self.store.search(name, asked.select("query_id", "embedding"), k, where)
         return hits.join(questions.select("query_id", "question"), "query_id").select("query_id", "question", "rank", "id", F.col("text").alias("content"), F.col("metadata")["source"].alias("source"), "score")
 
+    def _fixed_hits(self, questions: DataFrame) -> DataFrame:
+        """The first demonstration documents for every question that is not blank, for trying things out without a corpus."""
+        hits = F.array(*(F.struct(F.lit(i + 1).alias("rank"), F.lit(d[0]).alias("id"), F.lit(d[1]).alias("content"), F.lit(d[2]).alias("source"), F.lit(round(0.9 - 0.1 * i, 1)).alias("score")) for i, d in enumerate(DEMO[:3])))
+        return questions.where(~is_blank("question")).select("query_id", "question", F.inline(hits))
+
     def ask(self, questions: DataFrame, tenant: str | None = None, where: dict | None = None) -> DataFrame:
         """(query_id, question, answer, sources, docs): one row for each question; a blank one gets a fixed answer and no sources."""
         s = self.settings
@@ -118,9 +125,18 @@ class Engine:
         return rows.select("query_id", "question", F.when(is_blank("question"), F.lit(generation.BLANK_ANSWER)).otherwise(answer).alias("answer"), names.alias("sources"), "docs")
 
     def evaluate(self, answers: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-        """Metrics of what ``ask`` returned, one row for each question."""
+        """Metrics of what ``ask`` returned, one row for each question; logged and kept if the settings say so."""
+        s = self.settings
         docs = answers.select("query_id", F.inline("docs"))
-        return evaluation.evaluate(answers, docs, truth, evaluation.Evaluation(True, self.settings.evaluation_k))
+        made = evaluation.evaluate(answers, docs, truth, evaluation.Evaluation(s.evaluation, s.evaluation_k))
+        if s.evaluation and s.evaluation_history:
+            self.history().add(made)
+        if s.evaluation and s.evaluation_log:
+            evaluation.log_summary(made)
+        return made
+
+    def history(self) -> evaluation.History:
+        return evaluation.History(f"{self.settings.store_root.rstrip('/')}/evaluations")
 
     # -- state
 

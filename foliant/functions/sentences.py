@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ LITERAL_ABBREVIATIONS = (
 ).split()
 #: Stands between sentences while they are joined; control characters do not occur in normalized text.
 _MARK = "\u001e"
-#: Stands for the full stop of an abbreviation.
-_STOP = "\u001f"
+#: The characters that a token which ends a sentence can end with.
+_LAST = (".", "!", "?", "。", "！", "？", ")", '"', "'")
 
 
 def _ends(word: Column, after: Column) -> Column:
@@ -30,7 +32,7 @@ def _ends(word: Column, after: Column) -> Column:
     abbreviation = bare.isin(*TOKEN_ABBREVIATIONS)
     initial = (F.length(F.regexp_replace(word, r"\.+\z", "")) == 1) & word.endswith(".")
     number = word.rlike(r"(?U)\A\d+\.\z") & F.coalesce(after.rlike(r"(?U)\A\d"), F.lit(False))
-    return ending & ~abbreviation & ~initial & ~number
+    return F.when(F.right(word, F.lit(1)).isin(*_LAST), ending & ~abbreviation & ~initial & ~number).otherwise(F.lit(False))
 
 
 def sentences(text: Column | str) -> Column:
@@ -43,12 +45,13 @@ def sentences(text: Column | str) -> Column:
 
 
 def pattern_sentences(text: Column | str) -> Column:
-    """Sentences by pattern: cut at white space after a mark and before a capital A-Z, but not after an abbreviation."""
-    text = F.coalesce(text_column(text), F.lit(""))
-    for word in LITERAL_ABBREVIATIONS:
-        text = F.replace(text, F.lit(word), F.lit(word.replace(".", _STOP)))
-    parts = F.split(text, rf"(?U)(?<=[.!?]){SPACE}+(?=[A-Z])", -1)
-    return F.filter(F.transform(parts, lambda s: strip(F.translate(s, _STOP, "."))), lambda s: s != "")
+    """Sentences by pattern: cut at white space after a mark and before a capital A-Z, but not after an abbreviation.
+
+    One split does it: the white space must follow a mark and must not follow any of the abbreviations.
+    """
+    abbreviations = "|".join(re.escape(w) for w in LITERAL_ABBREVIATIONS)
+    text = strip(F.coalesce(text_column(text), F.lit("")))
+    return F.filter(F.split(text, rf"(?U)(?<=[.!?])(?<!{abbreviations}){SPACE}+(?=[A-Z])", -1), lambda s: s != "")
 
 
 def sentence_count(text: Column | str) -> Column:

@@ -46,9 +46,13 @@ def _spaced(a: Column, b: Column) -> Column:
     return F.when(a == "", b).otherwise(F.concat(a, F.lit(" "), b))
 
 
+def _spaced_length(a: Column, b: Column) -> Column:
+    return F.when(a == "", F.length(b)).otherwise(F.length(a) + F.length(b) + 1)
+
+
 def packed(pieces: Column, size: int) -> Column:
     """Pieces joined by single spaces into chunks of at most ``size``; a longer piece is a chunk of its own."""
-    return _fold(pieces, lambda a, x: F.length(_spaced(a, x)) <= size, _spaced, lambda a: F.when(a != "", F.array(strip(a))).otherwise(_empty()))
+    return _fold(pieces, lambda a, x: _spaced_length(a, x) <= size, _spaced, lambda a: F.when(a != "", F.array(strip(a))).otherwise(_empty()))
 
 
 def forced(text: Column, size: int) -> Column:
@@ -145,7 +149,7 @@ def grouped(items: Column, most: int) -> Column:
     """Sentences packed up to ``most``; one that is longer is packed by words."""
     return _fold(
         items,
-        lambda a, x: F.length(_spaced(a, x)) <= most,
+        lambda a, x: _spaced_length(a, x) <= most,
         _spaced,
         lambda a: F.when(a != "", F.array(strip(a))).otherwise(_empty()),
         lambda x: (F.length(x) > most, by_words(x, most)),

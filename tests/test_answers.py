@@ -77,6 +77,24 @@ def test_history(spark, tmp_path):
     assert not (tmp_path / "h").exists()
 
 
+def test_external_metrics(spark):
+    def client():
+        def run(question, answer, contexts):
+            if not contexts:
+                raise ValueError("no context")
+            return {"faithfulness": 1.0, "context_recall": 0.5}
+
+        return run
+
+    runs = spark.createDataFrame([(1, "q", "a"), (2, "q", "a")], "query_id int, question string, answer string")
+    docs = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "query_id int, rank int, content string")
+    data = evaluation.external_dataset(runs, docs)
+    assert {r["query_id"]: r["contexts"] for r in data.collect()} == {1: ["x", "y"], 2: None}
+    got = {r["query_id"]: r for r in evaluation.external_metrics(data, client).collect()}
+    assert (got[1]["overall"], got[1]["success"]) == (0.75, True) and (got[2]["overall"], got[2]["error"]) == (None, "no context")
+    assert evaluation.external_status(None) == {"available": False, "metrics": []}
+
+
 def test_external_overall(spark):
     v = spark.range(1).select(evaluation.external_overall(F.lit(1.0), F.lit(None).cast("double"), F.lit(0.5)).alias("v"), evaluation.external_overall(F.lit(None).cast("double")).alias("w")).first()
     assert (v["v"], v["w"]) == (0.75, None)

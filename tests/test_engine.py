@@ -107,14 +107,24 @@ def test_ask(spark, tmp_path):
     assert got[1]["sources"][0] == "vectors.md" and "compares" in " ".join(d["content"] for d in got[1]["docs"])
     assert got[2]["answer"] == "Please provide a valid question." and got[2]["sources"] == []
     assert got[3]["sources"][0] == "parquet.md" and len(got[3]["docs"]) <= 5
+    assert engine.evaluate(engine.ask(questions)).where("stats is not null").isEmpty()
+    engine = Engine(spark, root=f"file://{tmp_path}", dimension=64, chunk_size=80, chunk_overlap=10, evaluation=True, evaluation_history=True)
     judged = engine.evaluate(engine.ask(questions)).where("query_id = 1").first()
     assert judged["generation"]["faithfulness_score"] > 0.5
+    assert engine.history().read(spark).count() == 3
     before = engine.store.count(engine.settings.collection)
     status = engine.ingest(engine.demo()).collect()
     assert all(r["success"] and r["chunk_count"] > 0 for r in status) and engine.store.count(engine.settings.collection) == before
     assert engine.health()["status"] == "healthy" and engine.describe()["problems"] == []
 
 
+def test_fixed_hits_without_a_corpus(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "anything"), (2, "")], "query_id long, question string")
+    assert Engine(spark, root=f"file://{tmp_path}", dimension=16).ask(asked).where("size(docs) > 0").isEmpty()
+    got = {r["query_id"]: r for r in Engine(spark, root=f"file://{tmp_path}", dimension=16, demo_fallback=True).ask(asked).collect()}
+    assert len(got[1]["docs"]) == 3 and got[2]["sources"] == []
+
+
 def test_tenants_are_apart(spark, tmp_path):
     engine = Engine(spark, root=f"file://{tmp_path}", dimension=32)
     engine.ingest(spark.createDataFrame([("Secret plans of tenant one.", "one.txt")], "text string, source string"), tenant="one")
