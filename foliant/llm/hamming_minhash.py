@@ -31,7 +31,7 @@ from foliant.llm.components import components
 
 _U = np.uint64
 #: Words remembered by one Python worker before it starts afresh.
-MEMO = 300_000
+MEMO = 200_000
 
 
 @dataclass(frozen=True)

@@ -20,9 +20,9 @@ from pyspark.sql.functions import arrow_udf
 from foliant.llm.common import pick
 
 #: Code points of text, and texts, that are counted in one matrix.
-STEP_POINTS, STEP_TEXTS = 1_500_000, 256
+STEP_POINTS, STEP_TEXTS = 800_000, 256
 #: N-grams whose vectors are made at once.
-BLOCK = 8192
+BLOCK = 4096
 UNKNOWN = "und"
 
 
