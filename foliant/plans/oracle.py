@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from foliant.functions.sentences import LITERAL_ABBREVIATIONS, TOKEN_ABBREVIATIONS
 from foliant.functions.terms import STOP_WORDS
+from foliant.operators.chunking import SEPARATORS
 
 
 def _list(words) -> str:
@@ -112,7 +113,6 @@ answers AS (SELECT * FROM turns WHERE role = 'assistant')"""
 
 
 def _generation(source: str, keys: str) -> str:
-    grams = lambda x: f"(SELECT list_distinct(list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) FROM (SELECT {_words(x)} AS u))"
     return f"""terms AS (SELECT {keys}, answer, context, {_terms('answer')} AS a_terms, {_terms("coalesce(context, '')")} AS ct, {_words('answer')} AS aw, {_words("coalesce(context, '')")} AS cw FROM {source}),
 grams AS (SELECT *, list_distinct(list_transform(range(1, len(aw)), lambda i: aw[i] || ' ' || aw[i + 1])) AS ab, list_distinct(list_transform(range(1, len(cw)), lambda i: cw[i] || ' ' || cw[i + 1])) AS cb FROM terms),
 parts AS (SELECT *, len(list_intersect(a_terms, ct)) AS shared, len(list_intersect(ab, cb)) AS gshared, trim(answer) = '' OR coalesce(trim(context), '') = '' AS blank FROM grams),
@@ -151,11 +151,76 @@ def _entities(x: str) -> str:
     return x
 
 
-def _forward(least: int, most: int) -> str:
-    """Small chunks merged forward, then a small last one backward."""
-    both = "s.open || ' ' || x"
-    fold = f"list_reduce(c, lambda s, x: CASE WHEN s.open IS NULL THEN {{'done': s.done, 'open': x}} WHEN length(s.open) < {least} AND length({both}) <= {most} THEN {{'done': s.done, 'open': {both}}} ELSE {{'done': list_append(s.done, s.open), 'open': x}} END, {{'done': []::VARCHAR[], 'open': NULL::VARCHAR}})"
-    return fold
+def _recursive(size: int, overlap: int) -> str:
+    """One step for each separator; a step cuts and packs what is still too long."""
+    steps, before = ["l0 AS (SELECT doc_id, text, [text] AS c FROM documents)"], "l0"
+    kept = f"CASE WHEN length(s.open) <= {size} THEN {_strip('s.open')} ELSE s.open END"
+    flushed = f"CASE WHEN {_strip('s.open')} = '' THEN s.done ELSE list_append(s.done, {kept}) END"
+    for k, separator in enumerate(SEPARATORS, 1):
+        mark = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in separator)
+        pieces = f"list_transform(string_split(p, {mark}), lambda y, i: CASE WHEN i = 1 THEN y ELSE {mark} || y END)"
+        fold = f"list_reduce({pieces}, lambda s, x: CASE WHEN length(s.open) + length(x) <= {size} THEN {{'done': s.done, 'open': s.open || x}} ELSE {{'done': {flushed}, 'open': x}} END, {_EMPTY})"
+        end = f"list_transform([{fold}], lambda s: {flushed})[1]"
+        steps.append(f"l{k} AS (SELECT doc_id, text, flatten(list_transform(c, lambda p: CASE WHEN length(p) <= {size} THEN [p] ELSE {end} END)) AS c FROM {before})")
+        before = f"l{k}"
+    forced = f"list_filter(list_transform(range(0, length(p), {size}), lambda i: {_strip(f'substring(p, CAST(i + 1 AS BIGINT), {size})')}), lambda x: x <> '')"
+    steps.append(f"pieces AS (SELECT doc_id, text, flatten(list_transform(c, lambda p: CASE WHEN length(p) <= {size} THEN [p] ELSE {forced} END)) AS c FROM {before})")
+    lapped = f"list_transform(c, lambda x, i: CASE WHEN i = 1 THEN x ELSE {_strip(f"right(c[i - 1], {overlap}) || ' ' || x")} END)"
+    steps.append(f"made AS (SELECT doc_id, CASE WHEN {_strip('text')} = '' THEN [] WHEN length(text) <= {size} THEN [text] ELSE {lapped} END AS i FROM pieces)")
+    return f"WITH {', '.join(steps)} SELECT doc_id, len(i) AS n, {_digest('i')} AS items_md5 FROM made"
+
+
+def _bound(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to the value."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _grouped(q: str, most: int) -> str:
+    """Sentences packed; those that are too long are packed by words and stand alone."""
+    words = _bound("v", _packed(_tokens("y"), most, "v"), _closed("v"))
+    items = f"flatten(list_transform({q}, lambda y: CASE WHEN length(y) > {most} THEN list_transform({words}, lambda t: {{'t': t, 'alone': true}}) ELSE [{{'t': y, 'alone': false}}] END))"
+    joined = "CASE WHEN s.open = '' THEN x.t ELSE s.open || ' ' || x.t END"
+    fold = f"list_reduce({items}, lambda s, x: CASE WHEN NOT x.alone AND length({joined}) <= {most} THEN {{'done': s.done, 'open': {joined}}} WHEN x.alone THEN {{'done': list_append({_closed('s')}, x.t), 'open': ''}} ELSE {{'done': {_closed('s')}, 'open': x.t}} END, {_EMPTY})"
+    return _bound("f", fold, _closed("f"))
+
+
+def _merged(chunks: str, least: int, most: int) -> str:
+    """Small chunks merged forward, and a small last one backward."""
+    both, tail = "s.open || ' ' || x", "m.done[len(m.done)] || ' ' || m.open"
+    fold = f"list_reduce({chunks}, lambda s, x: CASE WHEN s.open IS NULL THEN {{'done': s.done, 'open': x}} WHEN length(s.open) < {least} AND length({both}) <= {most} THEN {{'done': s.done, 'open': {both}}} ELSE {{'done': list_append(s.done, s.open), 'open': x}} END, {{'done': []::VARCHAR[], 'open': NULL::VARCHAR}})"
+    end = f"CASE WHEN m.open IS NULL THEN m.done WHEN len(m.done) > 0 AND length(m.open) < {least} AND length({tail}) <= {most} THEN list_append(m.done[1:len(m.done) - 1], {tail}) ELSE list_append(m.done, m.open) END"
+    return _bound("m", fold, end)
+
+
+def _long(w: str) -> str:
+    return f"list_filter({_bound('w', w, _SENTENCES)}, lambda x: length({_strip('x')}) > 10)"
+
+
+def _by_words(w: str, most: int) -> str:
+    return _bound("v", _packed(w, most, "v"), _closed("v"))
+
+
+def _semantic(least: int, most: int, threshold: float | None, dims: int = 16) -> str:
+    """The fallback strategy, or with a threshold the semantic one over hashed term vectors."""
+    whole = f"CASE WHEN length(t) <= {most} THEN CASE WHEN t = '' THEN [] ELSE [t] END"
+    fallback = f"CASE WHEN len(q) = 0 THEN {_by_words(_tokens('t'), most)} ELSE {_merged(_grouped('q', most), least, most)} END"
+    head = f"long AS (SELECT doc_id, {_strip('text')} AS t, {_long(_tokens('text'))} AS q FROM documents)"
+    if threshold is None:
+        made = f"made AS (SELECT doc_id, {whole} ELSE {fallback} END AS i FROM long)"
+        return f"WITH {head}, {made} SELECT doc_id, len(i) AS n, {_digest('i')} AS items_md5 FROM made"
+    buckets = f"list_transform({_words('y')}, lambda u: CAST(('0x' || substring(md5(u), 1, 8)) AS BIGINT) % {dims})"
+    counts = _bound("p", buckets, f"list_transform(range({dims}), lambda i: CAST(len(list_filter(p, lambda x: x = i)) AS DOUBLE))")
+    vector = _bound("c", counts, "CASE WHEN list_sum(c) > 0 THEN list_transform(c, lambda x: CAST(CAST(x / sqrt(list_sum(list_transform(c, lambda z: z * z))) AS FLOAT) AS DOUBLE)) END")
+    dot = lambda a, b: f"list_sum(list_transform(range(1, {dims} + 1), lambda k: {a}[k] * {b}[k]))"
+    cosine = f"{dot('vs[i - 1]', 'vs[i]')} / (sqrt({dot('vs[i - 1]', 'vs[i - 1]')}) * sqrt({dot('vs[i]', 'vs[i]')}))"
+    marked = f"list_transform(q, lambda y, i: CASE WHEN i > 1 AND {cosine} < {threshold}::DOUBLE THEN chr(30) || y ELSE y END)"
+    runs = rf"list_filter(list_transform(regexp_split_to_array(array_to_string({marked}, ' '), ' ?\x1e'), lambda x: {_strip('x')}), lambda x: x <> '')"
+    bounded = f"CASE WHEN length(c) <= {most} THEN [c] ELSE {_bound('o', _long(_tokens('c')), f'CASE WHEN len(o) <= 1 THEN {_by_words(_tokens(chr(99)), most)} ELSE {_grouped(chr(111), most)} END')} END"
+    parts = f"CASE WHEN len(q) <= 2 THEN [t] WHEN len(list_filter(vs, lambda x: x IS NULL)) > 0 THEN {fallback} ELSE {_merged('g', least, most)} END"
+    return f"""WITH {head}, vectors AS (SELECT doc_id, t, q, list_transform(q, lambda y: {vector}) AS vs FROM long),
+runs AS (SELECT doc_id, t, q, vs, CASE WHEN length(t) > {most} AND len(list_filter(vs, lambda x: x IS NULL)) = 0 THEN {runs} ELSE [] END AS r FROM vectors),
+bounded AS (SELECT doc_id, t, q, vs, flatten(list_transform(r, lambda c: {bounded})) AS g FROM runs),
+made AS (SELECT doc_id, {whole} ELSE {parts} END AS i FROM bounded) SELECT doc_id, len(i) AS n, {_digest('i')} AS items_md5 FROM made"""
 
 
 SQL: dict[str, str] = {
@@ -192,6 +257,9 @@ tails AS (SELECT doc_id, text, p, c, list_transform(c, lambda x: right(x, 50)) A
 lapped AS (SELECT doc_id, CASE WHEN length(text) <= 512 OR len(c) = 0 THEN CASE WHEN {_strip('text')} = '' THEN [] ELSE [{_strip('text')}] END
   ELSE list_transform(c, lambda x, i: CASE WHEN i = 1 THEN x ELSE {_strip("'...' || CASE WHEN length(c[i - 1]) < 50 THEN c[i - 1] WHEN position(' ' IN t[i - 1]) > 1 THEN regexp_replace(substring(t[i - 1], position(' ' IN t[i - 1])), '^" + chr(92) + "s+|" + chr(92) + "s+$', '', 'g') ELSE t[i - 1] END || ' ' || x")} END) END AS i FROM tails)
 SELECT doc_id, len(i) AS n, {_digest('i')} AS items_md5 FROM lapped""",
+    "recursive_chunks": _recursive(512, 50),
+    "fallback_chunks": _semantic(100, 1000, None),
+    "semantic_chunks": _semantic(100, 1000, 0.75),
     "forced_chunks": _items(_FORCED),
     "chunk_overlap": f"WITH forced AS (SELECT doc_id, {_FORCED} AS c FROM documents), made AS (SELECT doc_id, list_transform(c, lambda x, i: CASE WHEN i = 1 THEN x ELSE {_strip(chr(114) + 'ight(c[i - 1], 50) || ' + chr(39) + ' ' + chr(39) + ' || x')} END) AS i FROM forced) SELECT doc_id, len(i) AS n, {_digest('i')} AS items_md5 FROM made",
     "paragraph_starts": r"""WITH parts AS (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n{2,}') AS p, regexp_extract_all(replace(text, chr(10), chr(10) || chr(10)), '\n{2,}') AS g FROM documents),
