@@ -26,7 +26,7 @@ from foliant.llm.components import components
 class FlatGraph:
     similarity: float = 0.98
     #: Vectors that a shard holds at most, the children of one that is split, and the shards a vector is put in.
-    shard: int = 4096
+    shard: int = 8192
     branches: int = 16
     overlap: int = 2
     #: Vectors that the centres of one split are fitted on.

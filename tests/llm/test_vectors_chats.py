@@ -39,7 +39,7 @@ def brute_links(rows):
     return links
 
 
-@pytest.mark.parametrize("shard", [4096, 60])
+@pytest.mark.parametrize("shard", [8192, 60])
 def test_near_vectors(spark, shard):
     x = blobs(240, 1)
     rows = [(i, x[i].tolist(), i % 2 if i >= 48 else 0) for i in range(240)] + [(300 + i, x[i].tolist(), 0) for i in range(5)] + [(400, x[0].tolist(), None)] + BAD
@@ -50,7 +50,7 @@ def test_near_vectors(spark, shard):
     true = sum(map(len, links.values()))
     assert sum(r["n_links"] for r in got.values()) >= 0.95 * true
     assert all(got[i]["n_links"] <= len(links[i]) for i in got)
-    if shard == 4096:
+    if shard == 8192:
         assert all(got[i]["n_links"] == len(links[i]) for i in got)
         seen = {}
         for i in sorted(got):
