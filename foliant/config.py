@@ -34,6 +34,7 @@ class Settings:
     similarity: float = 0.75
     ocr: bool = False
     ocr_path: str = ""
+    question_chars: int = 10000
     retrieval_top_k: int = 20
     final_top_k: int = 5
     reranking: bool = True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.config import Settings
@@ -93,23 +93,26 @@ class Engine:
     # -- questions
 
     def retrieve(self, questions: DataFrame, tenant: str | None = None, where: dict | None = None) -> DataFrame:
-        """(query_id, question, rank, id, content, source, score) for questions (query_id, question) that are not blank."""
+        """(query_id, question, rank, id, content, source, score) for questions (query_id, question) that are neither blank nor too long."""
         s = self.settings
         name = tenant_collection(tenant) if tenant else s.collection
         if s.demo_fallback and self.store.read(name).isEmpty():
             return self._fixed_hits(questions)
-        asked = questions.where(~is_blank("question")).withColumn("embedding", self.embedder.embed(F.col("question")))
+        asked = questions.where(self._askable()).withColumn("embedding", self.embedder.embed(F.col("question")))
         k = ranking.width(self.scorer is not None, s.retrieval_top_k, s.final_top_k)
         hits = self.store.search(name, asked.select("query_id", "embedding"), k, where)
         return hits.join(questions.select("query_id", "question"), "query_id").select("query_id", "question", "rank", "id", F.col("text").alias("content"), F.col("metadata")["source"].alias("source"), "score")
 
+    def _askable(self) -> Column:
+        return ~is_blank("question") & (F.length("question") <= self.settings.question_chars)
+
     def _fixed_hits(self, questions: DataFrame) -> DataFrame:
         """The first demonstration documents for every question that is not blank, for trying things out without a corpus."""
         hits = F.array(*(F.struct(F.lit(i + 1).alias("rank"), F.lit(d[0]).alias("id"), F.lit(d[1]).alias("content"), F.lit(d[2]).alias("source"), F.lit(round(0.9 - 0.1 * i, 1)).alias("score")) for i, d in enumerate(DEMO[:3])))
-        return questions.where(~is_blank("question")).select("query_id", "question", F.inline(hits))
+        return questions.where(self._askable()).select("query_id", "question", F.inline(hits))
 
     def ask(self, questions: DataFrame, tenant: str | None = None, where: dict | None = None) -> DataFrame:
-        """(query_id, question, answer, sources, docs): one row for each question; a blank one gets a fixed answer and no sources."""
+        """(query_id, question, answer, sources, docs): one row for each question; a blank or overlong one gets a fixed answer and no sources."""
         s = self.settings
         docs = self.retrieve(questions, tenant, where)
         if self.scorer is not None:
@@ -122,7 +125,7 @@ class Engine:
         rows = rows.withColumn("docs", F.coalesce("docs", F.array().cast(found.schema["docs"].dataType)))
         answer = generation.with_fallback(self.answerer.answer(F.col("question"), F.col("docs")), F.col("question"), F.col("docs"))
         names = F.array_distinct(F.transform("docs", lambda d: F.coalesce(F.nullif(d["source"], F.lit("")), F.lit(ranking.UNKNOWN_SOURCE))))
-        return rows.select("query_id", "question", F.when(is_blank("question"), F.lit(generation.BLANK_ANSWER)).otherwise(answer).alias("answer"), names.alias("sources"), "docs")
+        return rows.select("query_id", "question", F.when(is_blank("question"), F.lit(generation.BLANK_ANSWER)).when(~self._askable(), F.lit(f"The question is longer than {s.question_chars} characters.")).otherwise(answer).alias("answer"), names.alias("sources"), "docs")
 
     def evaluate(self, answers: DataFrame, truth: DataFrame | None = None) -> DataFrame:
         """Metrics of what ``ask`` returned, one row for each question; logged and kept if the settings say so."""

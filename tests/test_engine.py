@@ -102,16 +102,17 @@ def test_store(spark, tmp_path):
 
 def test_ask(spark, tmp_path):
     engine = Engine(spark, root=f"file://{tmp_path}", seed_demo=True, dimension=64, chunk_size=80, chunk_overlap=10)
-    questions = spark.createDataFrame([(1, "How does a vector search compare embeddings?"), (2, "  "), (3, "What does Parquet keep?")], "query_id long, question string")
+    questions = spark.createDataFrame([(1, "How does a vector search compare embeddings?"), (2, "  "), (3, "What does Parquet keep?"), (4, "long " * 3000)], "query_id long, question string")
     got = {r["query_id"]: r for r in engine.ask(questions).collect()}
     assert got[1]["sources"][0] == "vectors.md" and "compares" in " ".join(d["content"] for d in got[1]["docs"])
     assert got[2]["answer"] == "Please provide a valid question." and got[2]["sources"] == []
+    assert got[4]["answer"].startswith("The question is longer") and got[4]["docs"] == []
     assert got[3]["sources"][0] == "parquet.md" and len(got[3]["docs"]) <= 5
     assert engine.evaluate(engine.ask(questions)).where("stats is not null").isEmpty()
     engine = Engine(spark, root=f"file://{tmp_path}", dimension=64, chunk_size=80, chunk_overlap=10, evaluation=True, evaluation_history=True)
     judged = engine.evaluate(engine.ask(questions)).where("query_id = 1").first()
     assert judged["generation"]["faithfulness_score"] > 0.5
-    assert engine.history().read(spark).count() == 3
+    assert engine.history().read(spark).count() == 4
     before = engine.store.count(engine.settings.collection)
     status = engine.ingest(engine.demo()).collect()
     assert all(r["success"] and r["chunk_count"] > 0 for r in status) and engine.store.count(engine.settings.collection) == before
