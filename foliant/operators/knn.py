@@ -34,6 +34,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(pack, "dim int, ids binary, data binary")
 
 
+def _best(values: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each line's ``k`` greatest values, equal ones by the smaller name, and their names; only what reaches the kth is sorted."""
+    floor = np.partition(values, -k, axis=1)[:, -k] if values.shape[1] > k else np.full(len(values), -np.inf)
+    x, y = np.nonzero(values >= floor[:, None])
+    v, n = values[x, y], names[x, y]
+    order = np.lexsort((n, -v, x))
+    x, v, n = x[order], v[order], n[order]
+    place = np.arange(len(x)) - np.searchsorted(x, x)
+    keep = place < k
+    out, out_names = np.full((len(values), k), -np.inf), np.zeros((len(values), k), np.int64)
+    out[x[keep], place[keep]], out_names[x[keep], place[keep]] = v[keep], n[keep]
+    return out, out_names
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Mapping[str, object] | None = None, exclude_self: bool = False, parts: int = 1) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest by cosine, ties by the smaller vec_id.
 
@@ -65,8 +79,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Mapping[str
                         values = np.where(names == own[:, None], -np.inf, values)
                     if key in best:
                         values, names = np.concatenate([best[key][1], values], axis=1), np.concatenate([best[key][2], names], axis=1)
-                    order = np.lexsort((names, -values), axis=1)[:, :k]
-                    best[key] = (own, np.take_along_axis(values, order, 1), np.take_along_axis(names, order, 1))
+                    best[key] = (own, *_best(values, names, k))
         for own, values, names in best.values():
             a, b = np.nonzero(values > -np.inf)
             yield pa.record_batch([pa.array(own[a]), pa.array(names[a, b]), pa.array(values[a, b])], names=["query_id", "vec_id", "score"])
