@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block; a pair of blocks is scored by one matrix product.
 ROWS, QUERIES = 2048, 512
+#: Queries that one task holds.
+TASK_QUERIES = 16_384
 #: Scores are compared after rounding, so that equal vectors tie however their sums were ordered.
 DIGITS = 9
 
@@ -48,16 +50,17 @@ def _best(values: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np
     return out, out_names
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Mapping[str, object] | None = None, exclude_self: bool = False, parts: int = 1) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Mapping[str, object] | None = None, exclude_self: bool = False) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest by cosine, ties by the smaller vec_id.
 
     ``queries`` has query_id and embedding, ``vectors`` vec_id, embedding and what ``where`` compares for equality;
-    that filter reaches the scan. Queries are dealt into ``parts`` partitions, of which each task holds one against
+    that filter reaches the scan. A task holds a bounded number of queries against
     one partition of vectors, block by block; a task returns k rows for each query, so that only these are exchanged.
     A query whose vector is null or zero, or has another length than the stored ones, has no results.
     """
     for name, value in (where or {}).items():
-        vectors = vectors.where(F.col(name).eqNullSafe(F.lit(value)))
+        vectors = vectors.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    parts = max(1, -(-queries.count() // TASK_QUERIES))
     rows = _blocks(vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")))
     asked = _blocks(queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).coalesce(parts))
     pairs = rows.crossJoin(asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data")))
