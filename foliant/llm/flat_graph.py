@@ -79,35 +79,43 @@ def _centres(table: pa.Table, how: FlatGraph) -> np.ndarray:
     return centres
 
 
+def _nearest(centres: np.ndarray, v: np.ndarray, how: FlatGraph) -> np.ndarray:
+    """The ``how.overlap`` centres nearest to a unit vector, nearest first, that a vector within the similarity can need.
+
+    Let a be the centre nearest to v, and c the one nearest to a vector w within the similarity. Then (a - c)v is at most
+    |a - c||v - w|. A centre with a wider gap than any such c can have is left out: where v and w share it, they share c.
+    """
+    score = centres @ v
+    near = np.argsort(-score, kind="stable")[: how.overlap]
+    widest = np.linalg.norm(centres - centres[near[0]], axis=1).max() * np.sqrt(max(0.0, 2 - 2 * how.similarity))
+    return near[score[near[0]] - score[near] <= widest + 1e-9]
+
+
 def shards(reps: DataFrame, how: FlatGraph) -> DataFrame:
     """(rep, label, dim, cell, embedding, copies), one row for each shard a vector is in; cells are paths of cluster numbers.
 
     All vectors of a label and length begin in one cell. Cells over ``how.shard`` are split, level by level, around
-    centres fitted on at most about ``how.fitted`` of their vectors. A split whose children are small enough is the last:
-    there a vector goes to the ``how.overlap`` nearest centres, before that to the nearest alone, so that the number of
-    its copies does not grow with the number of levels.
+    centres fitted on at most about ``how.fitted`` of their vectors. At every level a vector goes to the ``how.overlap``
+    nearest centres, but to none so much farther than the nearest that no vector within the similarity can be nearest to it.
     """
     rows = reps.withColumn("cell", F.lit(""))
     for _ in range(how.levels):
         big = rows.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > how.shard)
-        last = F.col("_n") * how.overlap <= how.shard * (how.branches - 1)
-        big = big.withColumn("_k", F.when(last, F.ceil(F.col("_n") * how.overlap / how.shard).cast("int") + 1).otherwise(how.branches))
-        big = stored(big.withColumn("_o", F.when(last, F.lit(how.overlap)).otherwise(1)), "cells")
+        big = stored(big.withColumn("_k", F.least(F.lit(how.branches), F.ceil(F.col("_n") * how.overlap / how.shard).cast("int") + 1)), "cells")
         if big.isEmpty():
             break
         place = ["label", "dim", "cell"]
         drawn = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        sample = rows.join(big, place).where(drawn < F.lit(float(how.fitted)) / F.col("_n")).select(*place, "rep", "embedding", "_k", "_o")
+        sample = rows.join(big, place).where(drawn < F.lit(float(how.fitted)) / F.col("_n")).select(*place, "rep", "embedding", "_k")
 
         def fit(table: pa.Table) -> pa.Table:
-            return table.select([*place, "_o"]).slice(0, 1).append_column("_centres", pa.array([_centres(table, how).astype("<f8").tobytes()]))
+            return table.select(place).slice(0, 1).append_column("_centres", pa.array([_centres(table, how).astype("<f8").tobytes()]))
 
-        fitted = sample.groupBy(*place).applyInArrow(fit, "label string, dim int, cell string, _o int, _centres binary")
+        fitted = sample.groupBy(*place).applyInArrow(fit, "label string, dim int, cell string, _centres binary")
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 centres, cells, take, names = batch.column("_centres").to_pylist(), batch.column("cell").to_pylist(), [], []
-                copies = batch.column("_o").to_pylist()
                 table = {raw: np.frombuffer(raw, "<f8") for raw in set(centres) if raw}
                 vectors = batch.column("embedding")
                 for i, raw in enumerate(centres):
@@ -115,14 +123,14 @@ def shards(reps: DataFrame, how: FlatGraph) -> DataFrame:
                         take.append(i)
                         names.append(cells[i])
                         continue
-                    v = np.array(vectors[i].as_py())
-                    near = np.argsort(-(table[raw].reshape(-1, len(v)) @ v), kind="stable")[: copies[i]]
+                    v = _unit(np.array([vectors[i].as_py()]))[0]
+                    near = _nearest(table[raw].reshape(-1, len(v)), v, how)
                     take += [i] * len(near)
                     names += [f"{cells[i]}/{c}" for c in near.tolist()]
                 part = batch.take(pa.array(take, pa.int64()))
                 yield pa.record_batch([part.column("rep"), part.column("label"), part.column("dim"), pa.array(names, pa.string()), part.column("embedding"), part.column("copies")], names=["rep", "label", "dim", "cell", "embedding", "copies"])
 
-        split = rows.join(fitted, place, "left").select("rep", "label", "dim", "cell", "embedding", "copies", "_o", "_centres")
+        split = rows.join(fitted, place, "left").select("rep", "label", "dim", "cell", "embedding", "copies", "_centres")
         rows = stored(split.mapInArrow(assign, "rep bigint, label string, dim int, cell string, embedding array<double>, copies bigint"), "shards")
     return rows
 

@@ -3,7 +3,7 @@
 import hashlib
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -64,6 +64,27 @@ def test_near_vectors(spark, shard):
     assert all((got[i]["n_links"], got[i]["component_id"]) == (0, i) for i, *_ in BAD)
 
 
+def circle(n):
+    """Vectors around a circle, each within the similarity of many on both sides."""
+    at = np.random.default_rng(5).permutation(n) * 2 * np.pi / n
+    return np.stack([np.cos(at), np.sin(at)], axis=1)
+
+
+def test_shards_overlap_at_every_level(spark):
+    x = circle(720)
+    rows = [(i, "a", 2, x[i].tolist(), 1) for i in range(720)]
+    how = flat_graph.FlatGraph(shard=120, branches=4)
+    cells = defaultdict(set)
+    for r in flat_graph.shards(spark.createDataFrame(rows, "rep long, label string, dim int, embedding array<double>, copies long"), how).collect():
+        cells[r["rep"]].add(r["cell"])
+    assert max(c.count("/") for of in cells.values() for c in of) > 1
+    assert max(Counter(c for of in cells.values() for c in of).values()) <= 120
+    near = np.argwhere(x @ x.T >= 0.98)
+    assert all(cells[a] & cells[b] for a, b in near.tolist())
+    found, _ = flat_graph.near_vectors(vectors(spark, [(i, x[i].tolist(), 1) for i in range(720)]), how)
+    assert {r["component_id"] for r in found.collect()} == {0}
+
+
 def test_near_vectors_of_nothing_and_of_one(spark):
     found, recall = flat_graph.near_vectors(vectors(spark, []))
     assert found.count() == 0 and recall == 1
