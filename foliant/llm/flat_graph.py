@@ -5,13 +5,14 @@ graph: every vector's near neighbours, and some random far ones, are pruned robu
 taken is nearer to it by a factor than the vector is). The adjacency lists of all shards are united. Then each vector
 is searched from its shards' medoids by a greedy beam, and from what the beam found in the range the search expands over
 the graph as long as it finds more. Links are verified in double precision. A brute-force audit of a bounded
-sample measures the recall; below its target the shards overlap more and all is built again.
+sample measures the recall; labels below its target are compared in full, block by block.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -254,6 +255,22 @@ def _graph(rows: DataFrame, how: FlatGraph) -> DataFrame:
     return made.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"), F.array_sort(F.collect_set("cell")).alias("cells"))
 
 
+def _lowest(reps: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """The first of the ascending ``reps`` that each one is linked with, through others."""
+    lowest, free = reps.copy(), np.ones(len(reps), bool)
+    for i in range(len(reps)):
+        if free[i]:
+            todo = [i]
+            free[i] = False
+            while todo:
+                j = todo.pop()
+                lowest[j] = reps[i]
+                new = np.flatnonzero(found[j] & free)
+                free[new] = False
+                todo += new.tolist()
+    return lowest
+
+
 def _search(rows: DataFrame, graph: DataFrame, how: FlatGraph) -> DataFrame:
     """(rep, n, lowest): of each vector in each shard, the links counted there and one vector it is linked with, through others."""
 
@@ -267,36 +284,53 @@ def _search(rows: DataFrame, graph: DataFrame, how: FlatGraph) -> DataFrame:
         kinds: dict[tuple, int] = {}
         kind = np.array([kinds.setdefault(tuple(c), len(kinds)) for c in table["cells"].to_pylist()])
         first = np.array([[min(set(a) & set(b)) == cell for b in kinds] for a in kinds])
-        counts, lowest = np.zeros(len(reps), np.int64), reps.copy()
-        free = np.ones(len(reps), bool)
+        counts = np.zeros(len(reps), np.int64)
         for i in range(len(reps)):
             at = np.flatnonzero(found[i])
             counts[i] = copies[at[first[kind[i], kind[at]]]].sum()
-        for i in range(len(reps)):
-            if free[i]:
-                todo = [i]
-                free[i] = False
-                while todo:
-                    j = todo.pop()
-                    lowest[j] = reps[i]
-                    new = np.flatnonzero(found[j] & free)
-                    free[new] = False
-                    todo += new.tolist()
-        return pa.table({"rep": table["rep"], "n": pa.array(counts), "lowest": pa.array(lowest)})
+        return pa.table({"rep": table["rep"], "n": pa.array(counts), "lowest": pa.array(_lowest(reps, found))})
 
     both = rows.join(graph, "rep").select("rep", "label", "dim", "cell", "embedding", "copies", "adjacent", "cells")
     return both.groupBy("label", "dim", "cell").applyInArrow(find, "rep bigint, n bigint, lowest bigint")
 
 
-def audit(reps: DataFrame, links: DataFrame, how: FlatGraph) -> float:
-    """Links found over links that exist, for ``how.audited`` vectors compared with all of their label by brute force.
+def compare(reps: DataFrame, how: FlatGraph) -> DataFrame:
+    """As ``_search``, without a graph: every vector is compared with all of its label and length.
+
+    Vectors are dealt into blocks of about half a shard by a hash; each two blocks, and each by itself, are a task's.
+    """
+    place = ["label", "dim"]
+    blocks = reps.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) * 2 / how.shard).cast("int").alias("_b"))
+    dealt = reps.join(blocks, place).withColumn("own", F.pmod(F.xxhash64("rep", F.lit(13)), F.col("_b")).cast("int"))
+    dealt = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    pairs = dealt.select("rep", *place, "embedding", "copies", "own", F.least("own", "_with").alias("_i"), F.greatest("own", "_with").alias("_j"))
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rep")
+        reps, copies, own = (table[c].to_numpy() for c in ("rep", "copies", "own"))
+        x = _unit(_matrix(table["embedding"]))
+        apart = table["_i"][0].as_py() != table["_j"][0].as_py()
+        found = np.zeros((len(x), len(x)), bool)
+        for begin in range(0, len(x), 512):
+            part = slice(begin, begin + 512)
+            found[part] = x[part] @ x.T >= how.similarity
+            if apart:
+                found[part] &= own[part, None] != own
+        found |= found.T
+        np.fill_diagonal(found, False)
+        counts = np.array([copies[row].sum() for row in found], np.int64)
+        return pa.table({"rep": table["rep"], "n": pa.array(counts), "lowest": pa.array(_lowest(reps, found))})
+
+    return pairs.groupBy(*place, "_i", "_j").applyInArrow(find, "rep bigint, n bigint, lowest bigint")
+
+
+def audit(reps: DataFrame, links: DataFrame, how: FlatGraph) -> dict[tuple[str, int], tuple[int, int]]:
+    """(links found, links that exist) by label and length, for ``how.audited`` vectors compared with all of theirs by brute force.
 
     ``reps`` has rep, label, dim, embedding and copies; ``links`` rep and n, the number of links found. The
     sample is the vectors with the least hash of their id; it is bounded, and is all that goes to the tasks.
     """
     sample = reps.orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(how.audited).select("rep", "label", "embedding").collect()
-    if not sample:
-        return 1.0
     groups: dict[tuple, list] = {}
     for r in sample:
         groups.setdefault((r["label"], len(r["embedding"])), []).append((r["rep"], r["embedding"]))
@@ -319,8 +353,13 @@ def audit(reps: DataFrame, links: DataFrame, how: FlatGraph) -> float:
         yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["rep", "n"])
 
     true = reps.mapInArrow(count, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("true"))
-    both = true.join(links, "rep", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("f")).first()
-    return both["f"] / both["t"] if both["t"] else 1.0
+    both = true.join(links, "rep", "left").select("rep", "true", F.least("true", F.coalesce("n", F.lit(0))).alias("found")).collect()
+    of = {r: k for k, (own, _) in asked.items() for r in own.tolist()}
+    out: dict[tuple[str, int], tuple[int, int]] = {}
+    for r in both:
+        f, t = out.get(of[r["rep"]], (0, 0))
+        out[of[r["rep"]]] = f + r["found"], t + r["true"]
+    return out
 
 
 def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[DataFrame, float]:
@@ -330,7 +369,8 @@ def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[Data
     reaches the similarity. n_links counts the other rows linked directly; component_id is the smallest vec_id that can
     be reached. Equal vectors are searched once and count each. A null label, and a vector that is null, empty, zero,
     or holds null or non-finite components, links with nothing; a null vec_id has no component. Rows that repeat
-    an id count each, and share the component. An empty table gives no rows.
+    an id count each, and share the component. An empty table gives no rows. Labels whose audit finds less than
+    ``how.recall`` of their links are compared in full.
     """
     valid = valid_vectors(vectors)
     groups = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -338,15 +378,20 @@ def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[Data
     groups = groups.withColumn("dim", F.size("embedding"))
     reps = stored(groups.select(F.xxhash64("label", "embedding").alias("rep"), F.col("rep").alias("_id"), "label", "dim", "embedding", "copies"), "reps")
     plain = reps.select("rep", "label", "dim", "embedding", "copies")
-    while True:
-        cells = shards(plain, how)
-        graph = stored(_graph(cells, how), "graph")
-        hits = stored(_search(cells, graph, how), "hits")
+    cells = shards(plain, how)
+    graph = stored(_graph(cells, how), "graph")
+    hits = stored(_search(cells, graph, how), "hits")
+    links = hits.groupBy("rep").agg(F.sum("n").alias("n"))
+    audited = audit(plain, links, how)
+    low = [k for k, (found, true) in audited.items() if found < how.recall * true]
+    if low:
+        failing = plain.join(vectors.sparkSession.createDataFrame(low, "label string, dim int"), ["label", "dim"], "left_semi")
+        hits = stored(hits.join(failing.select("rep"), "rep", "left_anti").unionByName(compare(failing, how)), "hits")
         links = hits.groupBy("rep").agg(F.sum("n").alias("n"))
-        recall = audit(plain, links, how)
-        if recall >= how.recall or 4 * how.overlap > how.branches:
-            break
-        how = replace(how, overlap=how.overlap * 2)
+        audited |= {k: (audited[k][1], audited[k][1]) for k in low}
+    true = sum(t for _, t in audited.values())
+    recall = sum(f for f, _ in audited.values()) / true if true else 1.0
+    logging.getLogger("foliant.flat_graph").info("recall %s; compared in full: %s", recall, low)
     label = components(hits.select(F.col("rep").alias("a"), F.col("lowest").alias("b")))
     return _answer(vectors, reps, links, label), recall
 

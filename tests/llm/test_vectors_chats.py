@@ -85,6 +85,18 @@ def test_shards_overlap_at_every_level(spark):
     assert {r["component_id"] for r in found.collect()} == {0}
 
 
+def test_labels_below_the_target_are_compared_in_full(spark):
+    x = circle(720)
+    rows = [(i, x[i].tolist(), 1) for i in range(720)] + [(800, x[0].tolist(), 1), (801, [1.0, 0.0], 2), (802, [1.0, 0.01], 2)]
+    found, recall = flat_graph.near_vectors(vectors(spark, rows), flat_graph.FlatGraph(shard=120, branches=3, overlap=1))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    data = np.vstack([x, x[:1]]).astype(np.float32).astype(np.float64)
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    true = (data @ data.T >= 0.98).sum(axis=1) - 1
+    assert got == {**{i if i < 720 else 800: (n, 0) for i, n in enumerate(true.tolist())}, 801: (1, 801), 802: (1, 801)}
+    assert recall >= 0.95
+
+
 def test_near_vectors_of_nothing_and_of_one(spark):
     found, recall = flat_graph.near_vectors(vectors(spark, []))
     assert found.count() == 0 and recall == 1
