@@ -39,7 +39,9 @@ class FlatGraph:
     beam: int = 16
     #: The search also passes through vectors this far below the similarity.
     margin: float = 0.05
+    #: Vectors of a label, and of those near its cell borders, that the audit draws; if they hold fewer links, ``shard`` of each.
     audited: int = 256
+    audited_links: int = 256
     recall: float = 0.95
     levels: int = 8
 
@@ -80,26 +82,31 @@ def _centres(table: pa.Table, how: FlatGraph) -> np.ndarray:
     return centres
 
 
-def _nearest(centres: np.ndarray, v: np.ndarray, how: FlatGraph) -> np.ndarray:
+def _nearest(centres: np.ndarray, v: np.ndarray, how: FlatGraph) -> tuple[np.ndarray, bool]:
     """The ``how.overlap`` centres nearest to a unit vector, nearest first, that a vector within the similarity can need.
 
+    And whether such a vector can be nearest to a centre beyond these: only then the split can part the two.
+
     Let a be the centre nearest to v, and c the one nearest to a vector w within the similarity. Then (a - c)v is at most
     |a - c||v - w|. A centre with a wider gap than any such c can have is left out: where v and w share it, they share c.
     """
     score = centres @ v
-    near = np.argsort(-score, kind="stable")[: how.overlap]
-    widest = np.linalg.norm(centres - centres[near[0]], axis=1).max() * np.sqrt(max(0.0, 2 - 2 * how.similarity))
-    return near[score[near[0]] - score[near] <= widest + 1e-9]
+    order = np.argsort(-score, kind="stable")
+    near, rest = order[: how.overlap], order[how.overlap :]
+    gap = score[near[0]] - score - 1e-9
+    reach = np.linalg.norm(centres - centres[near[0]], axis=1) * np.sqrt(max(0.0, 2 - 2 * how.similarity))
+    return near[gap[near] <= reach.max()], bool((gap[rest] <= reach[rest]).any())
 
 
 def shards(reps: DataFrame, how: FlatGraph) -> DataFrame:
-    """(rep, label, dim, cell, embedding, copies), one row for each shard a vector is in; cells are paths of cluster numbers.
+    """(rep, label, dim, cell, embedding, copies, cut), one row for each shard a vector is in; cells are paths of cluster numbers.
 
     All vectors of a label and length begin in one cell. Cells over ``how.shard`` are split, level by level, around
     centres fitted on at most about ``how.fitted`` of their vectors. At every level a vector goes to the ``how.overlap``
     nearest centres, but to none so much farther than the nearest that no vector within the similarity can be nearest to it.
+    A vector is ``cut`` if it lies so near to a border that more centres could be needed.
     """
-    rows = reps.withColumn("cell", F.lit(""))
+    rows = reps.withColumns({"cell": F.lit(""), "cut": F.lit(False)})
     for _ in range(how.levels):
         big = rows.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > how.shard)
         big = stored(big.withColumn("_k", F.least(F.lit(how.branches), F.ceil(F.col("_n") * how.overlap / how.shard).cast("int") + 1)), "cells")
@@ -117,22 +124,25 @@ def shards(reps: DataFrame, how: FlatGraph) -> DataFrame:
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 centres, cells, take, names = batch.column("_centres").to_pylist(), batch.column("cell").to_pylist(), [], []
+                before, cut = batch.column("cut").to_pylist(), []
                 table = {raw: np.frombuffer(raw, "<f8") for raw in set(centres) if raw}
                 vectors = batch.column("embedding")
                 for i, raw in enumerate(centres):
                     if not raw:
                         take.append(i)
                         names.append(cells[i])
+                        cut.append(before[i])
                         continue
                     v = _unit(np.array([vectors[i].as_py()]))[0]
-                    near = _nearest(table[raw].reshape(-1, len(v)), v, how)
+                    near, beyond = _nearest(table[raw].reshape(-1, len(v)), v, how)
                     take += [i] * len(near)
+                    cut += [before[i] or beyond] * len(near)
                     names += [f"{cells[i]}/{c}" for c in near.tolist()]
                 part = batch.take(pa.array(take, pa.int64()))
-                yield pa.record_batch([part.column("rep"), part.column("label"), part.column("dim"), pa.array(names, pa.string()), part.column("embedding"), part.column("copies")], names=["rep", "label", "dim", "cell", "embedding", "copies"])
+                yield pa.record_batch([part.column("rep"), part.column("label"), part.column("dim"), pa.array(names, pa.string()), part.column("embedding"), part.column("copies"), pa.array(cut, pa.bool_())], names=["rep", "label", "dim", "cell", "embedding", "copies", "cut"])
 
-        split = rows.join(fitted, place, "left").select("rep", "label", "dim", "cell", "embedding", "copies", "_centres")
-        rows = stored(split.mapInArrow(assign, "rep bigint, label string, dim int, cell string, embedding array<double>, copies bigint"), "shards")
+        split = rows.join(fitted, place, "left").select("rep", "label", "dim", "cell", "embedding", "copies", "cut", "_centres")
+        rows = stored(split.mapInArrow(assign, "rep bigint, label string, dim int, cell string, embedding array<double>, copies bigint, cut boolean"), "shards")
     return rows
 
 
@@ -324,46 +334,53 @@ def compare(reps: DataFrame, how: FlatGraph) -> DataFrame:
     return pairs.groupBy(*place, "_i", "_j").applyInArrow(find, "rep bigint, n bigint, lowest bigint")
 
 
-def audit(reps: DataFrame, links: DataFrame, how: FlatGraph) -> dict[tuple[str, int], tuple[int, int]]:
-    """(links found, links that exist) by label and length, for ``how.audited`` vectors compared with all of theirs by brute force.
+def audit(reps: DataFrame, cells: DataFrame, links: DataFrame, how: FlatGraph) -> DataFrame:
+    """(label, dim, size, asked, found, true, share): what the search found of some vectors' links, compared with all of their label.
 
-    ``reps`` has rep, label, dim, embedding and copies; ``links`` rep and n, the number of links found. The
-    sample is the vectors with the least hash of their id; it is bounded, and is all that goes to the tasks.
+    ``reps`` has rep, label, dim, embedding and copies, ``cells`` is of ``shards``; ``links`` has rep and n, the number of
+    links found. About ``how.audited`` vectors of each label are drawn by a hash, and as many of those cut by a border. Labels
+    where these hold fewer than ``how.audited_links`` links are drawn anew, ``how.shard`` vectors of each kind; a label
+    of that size or less is compared in full. found and true count links, share is the mean over the vectors with links.
     """
-    sample = reps.orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(how.audited).select("rep", "label", "embedding").collect()
-    groups: dict[tuple, list] = {}
-    for r in sample:
-        groups.setdefault((r["label"], len(r["embedding"])), []).append((r["rep"], r["embedding"]))
-    asked = {k: (np.array([i for i, _ in v]), _unit(np.array([e for _, e in v], np.float64))) for k, v in groups.items()}
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            labels, dims, ids, copies = (batch.column(c).to_pylist() for c in ("label", "dim", "rep", "copies"))
-            where: dict[tuple, list[int]] = {}
-            for i, k in enumerate(zip(labels, dims, strict=True)):
-                where.setdefault(k, []).append(i)
-            for k, at in where.items():
-                if k in asked:
-                    own, q = asked[k]
-                    x = _unit(_matrix(batch.column("embedding").take(pa.array(at))))
-                    hit = (q @ x.T >= how.similarity) & (own[:, None] != np.array([ids[i] for i in at]))
-                    for r, n in zip(own.tolist(), (hit * np.array([copies[i] for i in at])).sum(axis=1).tolist(), strict=True):
-                        total[r] = total.get(r, 0) + n
-        yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["rep", "n"])
-
-    true = reps.mapInArrow(count, "rep bigint, n bigint").groupBy("rep").agg(F.sum("n").alias("true"))
-    both = true.join(links, "rep", "left").select("rep", "true", F.least("true", F.coalesce("n", F.lit(0))).alias("found")).collect()
-    of = {r: k for k, (own, _) in asked.items() for r in own.tolist()}
-    out: dict[tuple[str, int], tuple[int, int]] = {}
-    for r in both:
-        f, t = out.get(of[r["rep"]], (0, 0))
-        out[of[r["rep"]]] = f + r["found"], t + r["true"]
-    return out
-
-
-def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[DataFrame, float]:
-    """((vec_id, n_links, component_id) for each row of ``vectors``, the audited recall).
+    place = ["label", "dim"]
+    cut = cells.where("cut").select("rep").distinct().withColumn("_cut", F.lit(True))
+    rows = reps.join(cut, "rep", "left").join(links, "rep", "left").select("rep", *place, "embedding", "copies", F.coalesce("_cut", F.lit(False)).alias("_cut"), F.coalesce("n", F.lit(0)).alias("n"))
+    sizes = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("size"), F.count_if("_cut").alias("_m"), F.ceil(F.count(F.lit(1)) / how.shard).cast("int").alias("_b"))
+    sizes = stored(sizes, "sizes")
+
+    def count(table: pa.Table) -> pa.Table:
+        asked = table.filter(table["n"].to_numpy() >= 0)
+        others = table.filter(table["n"].to_numpy() < 0)
+        own, ids, copies = asked["rep"].to_numpy(), others["rep"].to_numpy(), others["copies"].to_numpy()
+        q, true = _unit(_matrix(asked["embedding"])) if len(own) else np.zeros((0, 1)), np.zeros(len(own), np.int64)
+        x = _unit(_matrix(others["embedding"])) if len(ids) else np.zeros((0, q.shape[1]))
+        for begin in range(0, len(q), 512):
+            part = slice(begin, begin + 512)
+            true[part] = ((q[part] @ x.T >= how.similarity) & (own[part, None] != ids)) @ copies
+        return pa.table({"label": asked["label"], "dim": asked["dim"], "rep": asked["rep"], "n": asked["n"], "true": pa.array(true)})
+
+    def measured(sizes: DataFrame, quota: int) -> DataFrame:
+        drawn = lambda seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        at = rows.join(sizes, place)
+        columns = ["rep", *place, "embedding", "copies", "n"]
+        asked = at.where((drawn(9) * F.col("size") < quota) | (F.col("_cut") & (drawn(10) * F.col("_m") < quota)))
+        asked = asked.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_b") - 1))).select(*columns, "_at")
+        blocks = at.withColumns({"n": F.lit(-1).cast("long"), "_at": F.pmod(F.xxhash64("rep", F.lit(13)), F.col("_b")).cast("int")}).select(*columns, "_at")
+        each = blocks.unionByName(asked).groupBy(*place, "_at").applyInArrow(count, "label string, dim int, rep bigint, n bigint, true bigint")
+        each = each.groupBy(*place, "rep").agg(F.first("n").alias("n"), F.sum("true").alias("true")).withColumn("found", F.least("n", "true"))
+        per = each.groupBy(*place).agg(F.count(F.lit(1)).alias("asked"), F.sum("found").alias("found"), F.sum("true").alias("true"), F.avg(F.try_divide("found", "true")).alias("share"))
+        none = {c: F.coalesce(c, F.lit(0)) for c in ("asked", "found", "true")}
+        return stored(sizes.join(per, place, "left").withColumns(none), "audit")
+
+    first = measured(sizes, how.audited)
+    few = first.where((F.col("true") < how.audited_links) & (F.col("asked") < F.col("size")))
+    if not few.isEmpty():
+        first = first.join(few.select(*place), place, "left_anti").unionByName(measured(few.select(*sizes.columns), how.shard))
+    return first.drop("_m", "_b")
+
+
+def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[DataFrame, float | None]:
+    """((vec_id, n_links, component_id) for each row of ``vectors``, the audited recall; None if it could not be measured).
 
     ``vectors`` has vec_id, label and embedding; vectors of equal label and length are linked if their cosine
     reaches the similarity. n_links counts the other rows linked directly; component_id is the smallest vec_id that can
@@ -382,16 +399,18 @@ def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[Data
     graph = stored(_graph(cells, how), "graph")
     hits = stored(_search(cells, graph, how), "hits")
     links = hits.groupBy("rep").agg(F.sum("n").alias("n"))
-    audited = audit(plain, links, how)
-    low = [k for k, (found, true) in audited.items() if found < how.recall * true]
-    if low:
-        failing = plain.join(vectors.sparkSession.createDataFrame(low, "label string, dim int"), ["label", "dim"], "left_semi")
+    audited = audit(plain, cells, links, how)
+    low = (F.col("found") < how.recall * F.col("true")) | (F.coalesce("share", F.lit(1.0)) < how.recall)
+    audited = stored(audited.withColumn("low", low), "audit")
+    failing = audited.where("low").select("label", "dim")
+    if not failing.isEmpty():
+        failing = plain.join(failing, ["label", "dim"], "left_semi")
         hits = stored(hits.join(failing.select("rep"), "rep", "left_anti").unionByName(compare(failing, how)), "hits")
         links = hits.groupBy("rep").agg(F.sum("n").alias("n"))
-        audited |= {k: (audited[k][1], audited[k][1]) for k in low}
-    true = sum(t for _, t in audited.values())
-    recall = sum(f for f, _ in audited.values()) / true if true else 1.0
-    logging.getLogger("foliant.flat_graph").info("recall %s; compared in full: %s", recall, low)
+    unknown = (F.col("true") == 0) & (F.col("asked") < F.col("size"))
+    seen = audited.agg(F.sum(F.when(F.col("low"), F.col("true")).otherwise(F.col("found"))).alias("found"), F.sum("true").alias("true"), F.count_if("low").alias("low"), F.count_if(unknown).alias("unknown")).first()
+    recall = seen["found"] / seen["true"] if seen["true"] else None if seen["unknown"] else 1.0
+    logging.getLogger("foliant.flat_graph").info("recall %s; labels compared in full: %d, not measured: %d", recall, seen["low"], seen["unknown"])
     label = components(hits.select(F.col("rep").alias("a"), F.col("lowest").alias("b")))
     return _answer(vectors, reps, links, label), recall
 

@@ -97,6 +97,26 @@ def test_labels_below_the_target_are_compared_in_full(spark):
     assert recall >= 0.95
 
 
+def test_audit_draws_until_it_holds_links(spark):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(640, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[:60] + rng.normal(size=(60, 8)) * 0.055
+    tight = [1.0] + [0.0] * 7 + 0.01 * rng.normal(size=(80, 8))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.vstack([x, near]))] + [(700 + i, v.tolist(), 2) for i, v in enumerate(tight)]
+    how = flat_graph.FlatGraph(shard=120, overlap=1, audited=4)
+    found, recall = flat_graph.near_vectors(vectors(spark, rows), how)
+    links = brute_links([(i, np.float32(v), label) for i, v, label in rows])
+    assert {r["vec_id"]: r["n_links"] for r in found.collect()} == {i: len(links[i]) for i, *_ in rows}
+    assert recall >= 0.95
+
+
+def test_an_audit_without_links_measures_nothing(spark):
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.random.default_rng(12).normal(size=(600, 16)))]
+    assert flat_graph.near_vectors(vectors(spark, rows), flat_graph.FlatGraph(shard=120))[1] is None
+    assert flat_graph.near_vectors(vectors(spark, rows), flat_graph.FlatGraph(shard=600))[1] == 1
+
+
 def test_near_vectors_of_nothing_and_of_one(spark):
     found, recall = flat_graph.near_vectors(vectors(spark, []))
     assert found.count() == 0 and recall == 1
