@@ -42,11 +42,14 @@ class Profiler:
 
     def __init__(self, space: Space) -> None:
         self.space = space
+        # More dimensions: fewer n-grams at once, and fewer letters kept.
+        self.block = max(1, BLOCK * 1024 // space.dimensions // (2 if space.dimensions > 1024 else 1))
+        self.texts = STEP_TEXTS if space.dimensions <= 1024 else STEP_TEXTS // 2
         self.letters: dict[int, np.ndarray] = {}
 
     def letter(self, point: int) -> np.ndarray:
         if point not in self.letters:
-            if len(self.letters) > 4096:
+            if len(self.letters) > self.block:
                 self.letters.clear()
             bits = np.random.Generator(np.random.PCG64([self.space.seed, point])).integers(0, 2, self.space.dimensions)
             self.letters[point] = (2 * bits - 1).astype(np.float32)
@@ -112,12 +115,12 @@ class Profiler:
         counts = np.bincount(who * len(codes) + which, minlength=len(runs) * len(codes)).reshape(len(runs), -1).astype(np.float32) if len(codes) else np.zeros((len(runs), 0), np.float32)
         names = np.concatenate([[0], alphabet])
         total = np.zeros((len(runs), self.space.dimensions), np.float32)
-        for b in range(0, len(codes), BLOCK):
-            rest, grams = codes[b : b + BLOCK].copy(), np.empty((len(codes[b : b + BLOCK]), n), np.int64)
+        for b in range(0, len(codes), self.block):
+            rest, grams = codes[b : b + self.block].copy(), np.empty((len(codes[b : b + self.block]), n), np.int64)
             for i in reversed(range(n)):
                 grams[:, i] = names[rest % base]
                 rest //= base
-            total += counts[:, b : b + BLOCK] @ self.vectors(grams)
+            total += counts[:, b : b + self.block] @ self.vectors(grams)
         np.add.at(out, [k for k, _ in pieces], total)
 
     @staticmethod
@@ -131,12 +134,12 @@ class Profiler:
         return values, place[x]
 
 
-def _texts(array: pa.Array) -> Iterator[list[str]]:
+def _texts(array: pa.Array, most: int = STEP_TEXTS) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
     for x in array:
         text = x.as_py() or ""
-        if held and (len(held) >= STEP_TEXTS or size + len(text) > STEP_POINTS):
+        if held and (len(held) >= most or size + len(text) > STEP_POINTS):
             yield held
             held, size = [], 0
         held.append(text)
@@ -171,10 +174,10 @@ def learn(docs: DataFrame, space: Space = Space(), sample: int = 4000, languages
         profiler, total = Profiler(space), {}
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
-            for texts in _texts(batch.column("text")):
-                profiles = _unit(profiler.profiles(texts)[0]).astype(np.float64)
+            for texts in _texts(batch.column("text"), profiler.texts):
+                profiles = _unit(profiler.profiles(texts)[0])
                 for lang, row in zip(langs[at : at + len(texts)], profiles, strict=True):
-                    total[lang] = total.get(lang, 0) + row
+                    total[lang] = total.get(lang, 0) + row.astype(np.float64)
                 at += len(texts)
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([np.round(v, 6).tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
@@ -213,6 +216,33 @@ def language(text: Column, prototypes: dict[str, np.ndarray], space: Space = Spa
     return predict(text.cast("string"))
 
 
+def recognised(text: Column, coarse: dict[str, np.ndarray], fine: dict[str, np.ndarray], spaces: tuple[Space, Space], deviations: tuple[float, float] = (6.0, 4.0)) -> Column:
+    """Whether a text has a letter and its cosine with the nearest prototype is above chance.
+
+    The cosine with a prototype that shares no n-gram with the text has a standard deviation of 1 / sqrt(dimensions). A
+    text is recognised at ``deviations[0]`` of them in the coarse space, and otherwise at ``deviations[1]`` in the
+    fine one, whose smaller deviation tells short texts of a language from others.
+    """
+    matrices = [_unit(np.stack([p[x] for x in sorted(p)])).astype(np.float32) for p in (coarse, fine)]
+    least = [d / s.dimensions**0.5 for d, s in zip(deviations, spaces, strict=True)]
+
+    @arrow_udf("boolean")
+    def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        profilers = [Profiler(s) for s in spaces]
+        for array in batches:
+            out: list[bool] = []
+            for texts in _texts(array):
+                profiles, lettered = profilers[0].profiles(texts)
+                sure = (_unit(profiles) @ matrices[0].T).max(axis=1) >= least[0]
+                doubtful = np.flatnonzero(lettered & ~sure)
+                if len(doubtful):
+                    sure[doubtful] = (_unit(profilers[1].profiles([texts[i] for i in doubtful.tolist()])[0]) @ matrices[1].T).max(axis=1) >= least[1]
+                out += (sure & lettered).tolist()
+            yield pa.array(out, pa.bool_())
+
+    return decide(text.cast("string"))
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the id as text leaves 2 modulo 4; false for a null id."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))

@@ -388,6 +388,23 @@ def test_pipeline_stages(spark, make, words, tmp_path):
     assert sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in ran) == sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in sizes["packing"].collect())
 
 
+def test_language_stage_rejects_what_is_not_learned(spark, make):
+    said = {
+        "en": "the house and the river with that there other which water was very old and they went into it ",
+        "de": "das Haus und der Fluss mit dem alten Wasser ist nicht sehr weit und sie gehen auch dorthin ",
+        "fr": "la maison avec la rivière et une eau très vieille dans les champs où ils sont allés ",
+        "es": "la casa con el río y el agua muy vieja en los campos por donde ellos pasaron ayer ",
+    }
+    rows = [(i, text * 3, lang, "s") for k, (lang, text) in enumerate(said.items()) for i in range(20 * k, 20 * k + 20)]
+    short = [(100 + i, text, None, "s") for i, text in enumerate(["the", "Avec.", "und", "el agua", "house"])]
+    rng = random.Random(13)
+    scripts = [range(0x430, 0x450), range(0x3B1, 0x3CA), range(0x5D0, 0x5EB), range(0x4E00, 0x5E00)]
+    other = [(200 + i, " ".join("".join(chr(rng.choice(scripts[i % 4])) for _ in range(rng.randint(2, 8))) for _ in range(rng.choice([1, 5, 80]))), None, "s") for i in range(120)]
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    got = {r["doc_id"] for r in stage(spark, make(rows + short + other), "").select("doc_id").collect()}
+    assert got == {r[0] for r in rows + short}
+
+
 def test_pipeline_stages_on_nothing(spark, make):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, make([]), "").count() == 0, name
