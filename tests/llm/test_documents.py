@@ -195,6 +195,17 @@ def test_every_capacity_holds(score):
     assert len(vector_packing.best_fit(np.zeros(0, np.int64), capacity)[0]) == 0
 
 
+def test_other_capacities_bind_only_below_the_contract():
+    lengths = np.random.default_rng(4).integers(1, 1500, 300)
+    usual = vector_packing.best_fit(lengths, vector_packing.Capacity())[0]
+    few = vector_packing.best_fit(lengths, vector_packing.Capacity(documents=2))[0]
+    cheap = vector_packing.best_fit(lengths, vector_packing.Capacity(attention=1500 * 1500))[0]
+    squares = lambda bins: max((lengths[bins == b] ** 2).sum() for b in np.unique(bins))
+    assert np.bincount(usual).max() > 2 == np.bincount(few).max()
+    assert squares(usual) > 1500 * 1500 >= squares(cheap)
+    assert max(lengths[usual == b].sum() for b in np.unique(usual)) <= 2048
+
+
 # -- near-duplicates
 
 
