@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, prio
 
     ``docs`` needs doc_id, text and source. The size of a document is its number of words, 0 for a null
     or empty text; documents of size 0 are taken once. A null source is a source of its own, in the last
-    place. Repeated rows are rounded apart where their order in the files is known and alike otherwise.
+    place. Rows of equal doc_id and text are rounded alike, so a source made largely of them can miss its target.
     ``prior`` names a column of base rates (null or negative: 0), 1 without it. The number of copies is at
     most ``most``. A repeat over the same input files gives the same copies. An empty table gives no rows.
     """
