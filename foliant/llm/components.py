@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import stored
+from foliant.llm.common import discard, stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -21,7 +21,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = both.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("node"), F.least("a", "_m").alias("label"))
-    label = stored(label, "labels")
+    last = label = stored(label, "labels")
     for _ in range(rounds):
         of_b = label.select(F.col("node").alias("b"), F.col("label").alias("_lb"))
         of_a = label.select(F.col("node").alias("a"), F.col("label").alias("_la"))
@@ -30,8 +30,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         hooked = label.join(lower, "node", "left").select("node", F.least("label", F.coalesce("_new", "label")).alias("label"), "_new")
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("_up"))
         new = hooked.join(up, "label", "left").select("node", F.least("label", F.coalesce("_up", "label")).alias("label"), (F.col("_new").isNotNull() | (F.col("_up") < F.col("label"))).alias("_moved"))
-        new = stored(new, "labels")
-        label = new.select("node", "label")
-        if new.where("_moved").isEmpty():
+        before, last = last, stored(new, "labels")
+        discard(before)
+        label = last.select("node", "label")
+        if last.where("_moved").isEmpty():
+            discard(both)
             return label
     raise RuntimeError(f"components did not settle in {rounds} rounds")
