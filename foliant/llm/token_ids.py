@@ -1,8 +1,9 @@
 """Token ids of whole texts by the tokenizers library, which encodes each pre-token once.
 
 Byte-level BPE never merges across pre-tokens, so that the ids of a text are those of its pre-tokens in order.
-Texts are cut into pre-tokens by array operations over their code points; each pre-token is known by a hash, and the
-library is asked for those that are new to the worker.
+Texts are cut into pre-tokens by array operations over their code points; each pre-token is found by a hash and compared,
+code point by code point, with the one that is known under it. The library is asked for those that are new to the worker,
+and for whole parts of texts in which two different pre-tokens have the same hash.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import numpy as np
 import regex
 
 _U = np.uint64
-#: Pre-tokens, and ids of them, kept by one Python worker before it starts afresh.
-MEMO, MEMO_IDS = 800_000, 8_000_000
+#: Pre-tokens, and ids and code points of them, kept by one Python worker before it starts afresh.
+MEMO, MEMO_IDS, MEMO_POINTS = 600_000, 6_000_000, 12_000_000
 #: Code points handled at once, and of a text that are at most handled as one part.
-STEP = 700_000
+STEP = 500_000
 #: Classes of code points. What stands between texts is of the last one.
 OTHER, LETTER, NUMBER, SPACE, BETWEEN = range(5)
 _BETWEEN_POINT = 0x10FFFF + 1
@@ -54,6 +55,11 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+@functools.lru_cache(maxsize=1)
+def _count() -> np.ndarray:
+    return np.arange(2 * STEP + 2)
+
+
 def pre_tokens(points: np.ndarray) -> np.ndarray:
     """Where pre-tokens begin, in code points of texts that each end with one of class BETWEEN.
 
@@ -84,6 +90,12 @@ def pre_tokens(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each begin on, as many as its size, one range after the other."""
+    done = np.cumsum(sizes)
+    return np.repeat(begins - (done - sizes), sizes) + np.arange(int(done[-1]) if len(done) else 0)
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens; their strings are ordinary text.
 
@@ -108,6 +120,7 @@ class Encoder:
         # Hashes of the known pre-tokens in order, and beside them where their ids are.
         self.keys, self.rows = np.zeros(0, _U), np.zeros(0, np.int64)
         self.ids, self.offsets = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+        self.points, self.begins = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.n = 0
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -131,22 +144,26 @@ class Encoder:
             out[i] = ids
         return out
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Adds pre-tokens with their hashes, in order of the hashes."""
+    def _learn(self, keys: np.ndarray, pieces: list[str], points: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds pre-tokens with their hashes, in order of the hashes, and with their code points one after the other."""
         found = self._encode_pieces(pieces)
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        used = int(self.offsets[self.n])
-        while used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(found) + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        self.ids[used : used + len(flat)] = flat
-        self.offsets[self.n + 1 : self.n + 1 + len(found)] = used + np.cumsum([len(x) for x in found])
+        self.ids, self.offsets = self._appended(self.ids, self.offsets, np.concatenate(found) if found else self.ids[:0], np.array([len(x) for x in found], np.int64))
+        self.points, self.begins = self._appended(self.points, self.begins, points, sizes)
         at = np.searchsorted(self.keys, keys)
         self.rows = np.insert(self.rows, at, np.arange(self.n, self.n + len(found)))
         self.keys = np.insert(self.keys, at, keys)
         self.n += len(found)
 
+    def _appended(self, flat: np.ndarray, ends: np.ndarray, more: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        used = int(ends[self.n])
+        while used + len(more) > len(flat):
+            flat = np.concatenate([flat, np.zeros_like(flat)])
+        while self.n + len(sizes) + 1 > len(ends):
+            ends = np.concatenate([ends, np.zeros_like(ends)])
+        flat[used : used + len(more)] = more
+        ends[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        return flat, ends
+
     def _parts(self, texts: list[str]) -> list[tuple[int, str]]:
         """(number of the text, part of it); a long text is cut only where a letter is followed by a space and a letter."""
         out = []
@@ -195,22 +212,32 @@ class Encoder:
         up, down = _powers()
         sums = np.zeros(len(points) + 1, _U)
         np.cumsum((points + _U(1)) * up[: len(points)], out=sums[1:])
-        keys = (sums[end] - sums[begin]) * down[begin] + (end - begin).astype(_U) * _U(0xD1B54A32D192ED03)
+        sizes = end - begin
+        keys = (sums[end] - sums[begin]) * down[begin] + sizes.astype(_U) * _U(0xD1B54A32D192ED03)
         values, first, which = np.unique(keys, return_index=True, return_inverse=True)
-        if self.n > MEMO or self.offsets[self.n] > MEMO_IDS:
+        if self.n > MEMO or self.offsets[self.n] > MEMO_IDS or self.begins[self.n] > MEMO_POINTS:
             self._forget()
         at = np.searchsorted(self.keys, values)
         known = np.zeros(len(values), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == values[inside]
-        new = np.flatnonzero(~known)
-        spans = zip(begin[first[new]].tolist(), end[first[new]].tolist(), strict=True)
-        self._learn(values[new], ["" if points[a] == _BETWEEN_POINT else joined[a:b] for a, b in spans])
+        new = first[~known]
+        spans = zip(begin[new].tolist(), end[new].tolist(), strict=True)
+        pieces = ["" if points[a] == _BETWEEN_POINT else joined[a:b] for a, b in spans]
+        self._learn(values[~known], pieces, points[_ranges(begin[new], sizes[new])], sizes[new])
         row = self.rows[np.searchsorted(self.keys, values)][which]
+        same = np.array_equal(self.begins[row + 1] - self.begins[row], sizes)
+        if same:
+            places = np.repeat(self.begins[row] - begin, sizes)
+            places += _count()[: len(points)]
+            same = np.array_equal(self.points.take(places), points)
+        if not same:
+            for (k, _), ids in zip(parts, self._encode([p for _, p in parts]), strict=True):
+                out[k].append(ids.tobytes())
+            return
         lengths = (self.offsets[row + 1] - self.offsets[row]).astype(np.int64)
         done = np.cumsum(lengths)
-        total = int(done[-1])
-        ids = self.ids[np.repeat(self.offsets[row] - (done - lengths), lengths) + np.arange(total)].tobytes()
+        ids = self.ids[_ranges(self.offsets[row], lengths)].tobytes()
         # A text ends with the pre-token that stands between texts, which has no ids.
         at = np.searchsorted(begin, ends - 1)
         stops = done[at].tolist()
