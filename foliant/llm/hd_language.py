@@ -2,12 +2,13 @@
 
 Every letter has a random vector of +1 and -1, made from its code point. An n-gram's vector binds (multiplies)
 the vectors of its letters, each permuted by its place; a text's profile bundles (adds) the vectors of all its
-n-grams. A language's prototype bundles the profiles of its training texts, each scaled to length one. A text is compared
-with the prototypes by the cosine.
+n-grams. A language's prototype bundles the profiles of its training texts, each divided by its number of n-grams. A text
+is compared with the prototypes by the cosine.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from foliant.llm.common import pick
+from foliant.llm.common import discard, pick, stored, trim
 
-#: Code points of text, and texts, that are counted in one matrix.
-STEP_POINTS, STEP_TEXTS = 800_000, 256
+#: Code points of text, and texts, that are counted in one matrix, and the counts that it holds at most.
+STEP_POINTS, STEP_TEXTS, STEP_COUNTS = 400_000, 128, 6_000_000
 #: N-grams whose vectors are made at once.
 BLOCK = 4096
 UNKNOWN = "und"
@@ -33,18 +34,45 @@ class Space:
     seed: int = 20
 
 
-class Profiler:
-    """Profiles of whole texts, as rows of a matrix.
+@functools.lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(p).isalpha() for p in range(0x110000)), bool, 0x110000)
+
+
+def symbols(text: str, n: int) -> tuple[list[np.ndarray], int, int]:
+    """(a text's symbols in pieces, its number of n-grams, its number of letters).
 
-    Text is lower-cased; a run of anything but letters is one boundary, and every text begins and ends with
-    one. N-grams run over letters and boundaries.
+    Text is lower-cased; a run of anything but letters is one boundary, and every text begins and ends with one. Symbols
+    are code points, a boundary is 0. A piece begins with the n - 1 symbols before it, so that the pieces' n-grams
+    are those of the text, wherever it is cut.
     """
+    low, pieces, held, letters, after_letter, total = text.lower(), [], np.zeros(1, np.uint32), 0, False, 1
+    for at in range(0, len(low), STEP_POINTS):
+        points = np.frombuffer(low[at : at + STEP_POINTS].encode("utf-32-le", "surrogatepass"), "<u4")
+        keep = _letters()[points]
+        before = np.empty(len(keep), bool)
+        before[0], before[1:] = after_letter, keep[:-1]
+        chosen = keep | before
+        new = np.where(keep, points, 0)[chosen].astype(np.uint32)
+        after_letter = bool(keep[-1])
+        if at + STEP_POINTS >= len(low) and after_letter:
+            new = np.append(new, np.uint32(0))
+        letters += int(keep.sum())
+        total += len(new)
+        held = np.concatenate([held, new])
+        if len(held) >= n:
+            pieces.append(held)
+            held = held[len(held) - n + 1 :]
+    return pieces, max(0, total - n + 1), letters
+
+
+class Profiler:
+    """Profiles of whole texts, as rows of a matrix: sums of the vectors of the n-grams of their symbols."""
 
     def __init__(self, space: Space) -> None:
         self.space = space
         # More dimensions: fewer n-grams at once, and fewer letters kept.
         self.block = max(1, BLOCK * 1024 // space.dimensions // (2 if space.dimensions > 1024 else 1))
-        self.texts = STEP_TEXTS if space.dimensions <= 1024 else STEP_TEXTS // 2
         self.letters: dict[int, np.ndarray] = {}
 
     def letter(self, point: int) -> np.ndarray:
@@ -65,63 +93,71 @@ class Profiler:
             out *= np.roll(table, self.space.n - 1 - place, axis=1)[at[:, place]]
         return out
 
-    def _symbols(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        return np.concatenate([[0], points, [0]]).astype(np.int64)
-
     def profiles(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(profile of each text, whether it has a letter)."""
+        """(profile of each text, its number of letters)."""
         out = np.zeros((len(texts), self.space.dimensions), np.float32)
-        lettered = np.zeros(len(texts), bool)
+        letters = np.zeros(len(texts), np.int64)
         todo, held = [], 0
         for k, text in enumerate(texts):
-            # A long text goes in pieces that overlap by n - 1 symbols.
-            for at in range(0, max(1, len(text)), STEP_POINTS):
-                piece = text[max(0, at - self.space.n + 1) : at + STEP_POINTS]
-                if held + len(piece) > STEP_POINTS and todo:
-                    self._add(todo, out, lettered)
+            pieces, _, letters[k] = symbols(text, self.space.n)
+            for piece in pieces:
+                if todo and held + len(piece) > STEP_POINTS:
+                    self._add(todo, out)
                     todo, held = [], 0
-                todo.append((k, piece))
+                todo.append((k, 1.0, piece))
                 held += len(piece)
-        if todo:
-            self._add(todo, out, lettered)
-        return out, lettered
-
-    def _add(self, pieces: list[tuple[int, str]], out: np.ndarray, lettered: np.ndarray) -> None:
-        runs = [self._symbols(p) for _, p in pieces]
-        owner = np.repeat(np.arange(len(runs)), [len(r) for r in runs])
-        points = np.concatenate(runs)
+        self._add(todo, out)
+        return out, letters
+
+    def bundle(self, texts: list[str], owners: np.ndarray, n_owners: int) -> np.ndarray:
+        """For each owner the sum of its texts' profiles, each divided by the text's number of n-grams."""
+        out = np.zeros((n_owners, self.space.dimensions), np.float64)
+        todo, held = [], 0
+        for k, text in zip(owners.tolist(), texts, strict=True):
+            pieces, n, _ = symbols(text, self.space.n)
+            for piece in pieces:
+                if todo and held + len(piece) > STEP_POINTS:
+                    self._add(todo, out)
+                    todo, held = [], 0
+                todo.append((k, 1.0 / n, piece))
+                held += len(piece)
+        self._add(todo, out)
+        return out
+
+    def _add(self, pieces: list[tuple[int, float, np.ndarray]], out: np.ndarray) -> None:
+        """Adds the weighted profiles of pieces (row of ``out``, weight, symbols) to their rows."""
+        if not pieces:
+            return
+        rows, row = np.unique([k for k, *_ in pieces], return_inverse=True)
+        weights = np.array([w for _, w, _ in pieces])
+        sizes = [len(x) for *_, x in pieces]
+        points, owner = np.concatenate([x for *_, x in pieces]), np.repeat(np.arange(len(pieces)), sizes)
         alphabet, at = np.unique(points, return_inverse=True) if points.max() > 0x3FFFF else self._ranked(points)
-        is_letter = np.array([chr(p).isalpha() for p in alphabet.tolist()])
-        keep = is_letter[at]
-        np.maximum.at(lettered, np.array([k for k, _ in pieces]), np.bincount(owner, keep, len(runs)) > 0)
-        before = np.concatenate([[True], keep[:-1]]) | np.concatenate([[True], owner[1:] != owner[:-1]])
-        chosen = keep | before
-        symbol = np.where(keep, at + 1, 0)[chosen]
-        owner = owner[chosen]
-        n, base = self.space.n, len(alphabet) + 1
-        count = len(symbol) - n + 1
+        n, base = self.space.n, len(alphabet)
+        count = len(points) - n + 1
         if count <= 0:
             return
         code = np.zeros(count, np.int64)
         for i in range(n):
-            code = code * base + symbol[i : count + i]
+            code = code * base + at[i : count + i]
         inside = owner[n - 1 :] == owner[:count]
         code, who = code[inside], owner[:count][inside]
-        if base**n <= 4_000_000:
-            codes, which = self._ranked(code, base**n)
-        else:
-            codes, which = np.unique(code, return_inverse=True)
-        counts = np.bincount(who * len(codes) + which, minlength=len(runs) * len(codes)).reshape(len(runs), -1).astype(np.float32) if len(codes) else np.zeros((len(runs), 0), np.float32)
-        names = np.concatenate([[0], alphabet])
-        total = np.zeros((len(runs), self.space.dimensions), np.float32)
+        if not len(code):
+            return
+        codes, which = self._ranked(code, base**n) if base**n <= 4_000_000 else np.unique(code, return_inverse=True)
+        if len(rows) * len(codes) > STEP_COUNTS and len(pieces) > 1:
+            self._add(pieces[: len(pieces) // 2], out)
+            self._add(pieces[len(pieces) // 2 :], out)
+            return
+        counts = np.bincount(row[who] * len(codes) + which, weights[who], len(rows) * len(codes)).reshape(len(rows), -1).astype(np.float32)
+        total = np.zeros((len(rows), self.space.dimensions), np.float32)
         for b in range(0, len(codes), self.block):
             rest, grams = codes[b : b + self.block].copy(), np.empty((len(codes[b : b + self.block]), n), np.int64)
             for i in reversed(range(n)):
-                grams[:, i] = names[rest % base]
+                grams[:, i] = alphabet[rest % base]
                 rest //= base
             total += counts[:, b : b + self.block] @ self.vectors(grams)
-        np.add.at(out, [k for k, _ in pieces], total)
+        out[rows] += total
 
     @staticmethod
     def _ranked(x: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -129,17 +165,17 @@ class Profiler:
         there = np.zeros(size or int(x.max()) + 1, bool)
         there[x] = True
         values = np.flatnonzero(there)
-        place = np.empty(len(there), np.int64)
+        place = np.empty(len(there), np.int32)
         place[values] = np.arange(len(values))
-        return values, place[x]
+        return values, place[x].astype(np.int64)
 
 
-def _texts(array: pa.Array, most: int = STEP_TEXTS) -> Iterator[list[str]]:
+def _texts(array: pa.Array, most: int | None = None) -> Iterator[list[str]]:
     held: list[str] = []
     size = 0
     for x in array:
         text = x.as_py() or ""
-        if held and (len(held) >= most or size + len(text) > STEP_POINTS):
+        if held and (len(held) >= (most or STEP_TEXTS) or size + len(text) > STEP_POINTS):
             yield held
             held, size = [], 0
         held.append(text)
@@ -153,41 +189,96 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length == 0, 1, length)
 
 
-def learn(docs: DataFrame, space: Space = Space(), sample: int = 4000, languages: int = 1000) -> dict[str, np.ndarray]:
-    """Language prototypes from the rows of ``docs`` (doc_id, text, lang) that have a language and a letter.
+def training_sample(docs: DataFrame, sample: int = 4000, languages: int = 1000) -> DataFrame:
+    """(doc_id, lang, text) of up to about ``sample`` rows of each language, drawn by a hash of doc_id and text, as a written table.
 
-    Up to about ``sample`` texts of each language are used, chosen by a hash of doc_id and text; that is the
-    bound on the training sample. Profiles are summed where the texts are; one vector for each language and
-    task is exchanged. More than ``languages`` languages raise ValueError. No rows give no prototypes.
+    Rows without a language or a text are left out. More than ``languages`` languages raise ValueError.
     """
     rows = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()}
     if len(counts) > languages:
         raise ValueError(f"more than {languages} languages")
-    if not counts:
-        return {}
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n))))
+    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n)))) if counts else F.create_map(F.lit(""), F.lit(0.0))
     drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.where(drawn < share[F.col("lang")]).select("lang", "text")
+    return stored(rows.where(drawn < share[F.col("lang")]).select("doc_id", "lang", "text"), "training")
+
+
+def learn(docs: DataFrame, space: Space = Space(), sample: int = 4000, languages: int = 1000) -> dict[str, np.ndarray]:
+    """Language prototypes from the rows of ``docs`` (doc_id, text, lang) that have a language and a letter.
+
+    The training sample is that of ``training_sample``. Profiles, each divided by its text's number of n-grams, are summed
+    where the texts are; one vector for each language and task is exchanged. No rows give no prototypes.
+    """
+    training = training_sample(docs, sample, languages)
+    out = prototypes(training, space)
+    discard(training)
+    return out
+
+
+def prototypes(training: DataFrame, space: Space = Space()) -> dict[str, np.ndarray]:
+    """The prototypes of all rows of ``training`` (lang, text)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, total = Profiler(space), {}
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
-            for texts in _texts(batch.column("text"), profiler.texts):
-                profiles = _unit(profiler.profiles(texts)[0])
-                for lang, row in zip(langs[at : at + len(texts)], profiles, strict=True):
-                    total[lang] = total.get(lang, 0) + row.astype(np.float64)
+            for texts in _texts(batch.column("text")):
+                names, owners = np.unique(langs[at : at + len(texts)], return_inverse=True)
+                for lang, row in zip(names.tolist(), profiler.bundle(texts, owners, len(names)), strict=True):
+                    total[lang] = total.get(lang, 0) + row
                 at += len(texts)
-        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([np.round(v, 6).tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+        trim()
+        yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([np.round(v, 9).tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = rows.mapInArrow(sums, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
+    parts = training.select("lang", "text").mapInArrow(sums, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     # Decimals add up to the same sum in any order.
-    dims = parts.groupBy("lang", "i").agg(F.sum(F.col("x").cast("decimal(30,6)")).cast("double").alias("x"))
+    dims = parts.groupBy("lang", "i").agg(F.sum(F.col("x").cast("decimal(30,9)")).cast("double").alias("x"))
     made = dims.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
     return {r["lang"]: np.array([x["x"] for x in r["v"]]) for r in sorted(made, key=lambda r: r["lang"]) if any(x["x"] for x in r["v"])}
 
 
+def _matrix(prototypes: dict[str, np.ndarray]) -> np.ndarray:
+    return _unit(np.stack([prototypes[x] for x in sorted(prototypes)])).astype(np.float32)
+
+
+#: Texts of a size (the power of two below their number of letters) are judged by their own kind only if so many were learned.
+FEWEST = 50
+
+
+def floors(training: DataFrame, prototypes: dict[str, np.ndarray], space: Space = Space()) -> list[float]:
+    """The least cosine of a text whose number of letters is 2^i or more, for each i; 0 where too few texts were learned.
+
+    The training texts tell, size by size, which cosine with the nearest prototype is usual: the floor is half
+    the median, or the median less six times its distance from the lower quartile where that is lower. Sizes with fewer
+    than ``FEWEST`` texts take the floor of the size below, whose cosines are lower.
+    """
+    matrix = _matrix(prototypes)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiler = Profiler(space)
+        for batch in batches:
+            for texts in _texts(batch.column("text")):
+                profiles, letters = profiler.profiles(texts)
+                best = (_unit(profiles) @ matrix.T).max(axis=1).astype(np.float64)
+                yield pa.record_batch([pa.array(_sizes(letters), pa.int32()), pa.array(best)], names=["size", "cosine"])
+        trim()
+
+    judged = training.select("text").mapInArrow(judge, "size int, cosine double").where("size >= 0")
+    made = {r["size"]: r for r in judged.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", F.array(F.lit(0.25), F.lit(0.5))).alias("q")).collect()}
+    out, last = [], 0.0
+    for size in range(64):
+        if size in made and made[size]["n"] >= FEWEST:
+            low, median = made[size]["q"]
+            last = max(0.0, min(median / 2, median - 6 * (median - low)))
+        out.append(last)
+    return out
+
+
+def _sizes(letters: np.ndarray) -> np.ndarray:
+    """The power of two below each number of letters; -1 for none."""
+    return np.frexp(letters.astype(np.float64))[1].astype(np.int32) - 1
+
+
 def language(text: Column, prototypes: dict[str, np.ndarray], space: Space = Space()) -> Column:
     """struct(lang, score): the nearest prototype and its cosine, 0 at least.
 
@@ -195,7 +286,7 @@ def language(text: Column, prototypes: dict[str, np.ndarray], space: Space = Spa
     the language first in order. Texts are read whole.
     """
     names = sorted(prototypes)
-    matrix = _unit(np.stack([prototypes[x] for x in names])).astype(np.float32) if names else np.zeros((0, space.dimensions), np.float32)
+    matrix = _matrix(prototypes) if names else np.zeros((0, space.dimensions), np.float32)
 
     @arrow_udf("lang string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -203,28 +294,30 @@ def language(text: Column, prototypes: dict[str, np.ndarray], space: Space = Spa
         for array in batches:
             langs, scores = [], []
             for texts in _texts(array):
-                profiles, lettered = profiler.profiles(texts)
-                if not names:
-                    lettered[:] = False
+                profiles, letters = profiler.profiles(texts)
+                lettered = (letters > 0) & bool(names)
                 cosines = _unit(profiles) @ matrix.T if names else np.zeros((len(texts), 1))
                 best = cosines.argmax(axis=1)
                 top = np.clip(cosines[np.arange(len(texts)), best].astype(np.float64), 0, 1)
                 langs += [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
                 scores += np.where(lettered, top, 0.0).tolist()
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+        trim()
 
     return predict(text.cast("string"))
 
 
-def recognised(text: Column, coarse: dict[str, np.ndarray], fine: dict[str, np.ndarray], spaces: tuple[Space, Space], deviations: tuple[float, float] = (6.0, 4.0)) -> Column:
-    """Whether a text has a letter and its cosine with the nearest prototype is above chance.
+def recognised(text: Column, coarse: dict[str, np.ndarray], fine: dict[str, np.ndarray], spaces: tuple[Space, Space], least: list[float], deviations: tuple[float, float] = (6.0, 4.0)) -> Column:
+    """Whether a text has a letter and its cosine with the nearest prototype is that of a language.
 
-    The cosine with a prototype that shares no n-gram with the text has a standard deviation of 1 / sqrt(dimensions). A
-    text is recognised at ``deviations[0]`` of them in the coarse space, and otherwise at ``deviations[1]`` in the
-    fine one, whose smaller deviation tells short texts of a language from others.
+    ``least`` are the ``floors`` in the coarse space. The cosine with a prototype that shares no n-gram with the text has a
+    standard deviation of 1 / sqrt(dimensions): where ``deviations[0]`` of them exceed the floor, as they do for short
+    texts, they are asked for instead, and a text below may still reach ``deviations[1]`` of them in the fine
+    space, whose smaller deviation tells short texts of a language from others.
     """
-    matrices = [_unit(np.stack([p[x] for x in sorted(p)])).astype(np.float32) for p in (coarse, fine)]
-    least = [d / s.dimensions**0.5 for d, s in zip(deviations, spaces, strict=True)]
+    matrices = [_matrix(p) for p in (coarse, fine)]
+    chance = [d / s.dimensions**0.5 for d, s in zip(deviations, spaces, strict=True)]
+    usual = np.array([*least, 0.0])
 
     @arrow_udf("boolean")
     def decide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -232,13 +325,16 @@ def recognised(text: Column, coarse: dict[str, np.ndarray], fine: dict[str, np.n
         for array in batches:
             out: list[bool] = []
             for texts in _texts(array):
-                profiles, lettered = profilers[0].profiles(texts)
-                sure = (_unit(profiles) @ matrices[0].T).max(axis=1) >= least[0]
-                doubtful = np.flatnonzero(lettered & ~sure)
-                if len(doubtful):
-                    sure[doubtful] = (_unit(profilers[1].profiles([texts[i] for i in doubtful.tolist()])[0]) @ matrices[1].T).max(axis=1) >= least[1]
-                out += (sure & lettered).tolist()
+                profiles, letters = profilers[0].profiles(texts)
+                floor = usual[_sizes(letters)]
+                sure = (_unit(profiles) @ matrices[0].T).max(axis=1) >= np.maximum(chance[0], floor)
+                doubtful = np.flatnonzero((letters > 0) & ~sure & (floor < chance[0]))
+                for b in range(0, len(doubtful), STEP_TEXTS // 4):
+                    some = doubtful[b : b + STEP_TEXTS // 4]
+                    sure[some] = (_unit(profilers[1].profiles([texts[i] for i in some.tolist()])[0]) @ matrices[1].T).max(axis=1) >= chance[1]
+                out += (sure & (letters > 0)).tolist()
             yield pa.array(out, pa.bool_())
+        trim()
 
     return decide(text.cast("string"))
 
@@ -254,6 +350,6 @@ def identify(docs: DataFrame, space: Space = Space(), sample: int = 4000) -> Dat
     Only text and lang of rows with an id are learned from; a prediction sees the text alone.
     """
     rows = pick(docs, "doc_id", "text", "lang")
-    prototypes = learn(rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), space, sample)
-    said = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(F.col("text"), prototypes, space).alias("_l"))
+    learned = learn(rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), space, sample)
+    said = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(F.col("text"), learned, space).alias("_l"))
     return said.select("doc_id", "held_out", F.col("_l.lang").alias("lang_pred"), F.col("_l.score").alias("score"))
