@@ -17,11 +17,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import pick, small_batches
+from foliant.llm.common import pick, small_batches, trim
 from foliant.llm.token_ids import encoder
 
 SCHEMA = "part int, start bigint, doc_id bigint, n_tokens bigint, ids array<int>"
 _ARROW = pa.schema([("part", pa.int32()), ("start", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+#: Bytes of text in one range, that is in one file.
+RANGE_BYTES = 256 << 20
 OPTIONS = {
     "compression": "zstd",
     "orc.create.index": "true",
@@ -36,14 +38,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
     """Encodes every whole text of ``docs`` (doc_id, text), appends ``end_id``, and writes the format.
 
     The rows are dealt by ranges of doc_id and sorted there; rows with one doc_id follow each other by a hash
-    of their text, a null doc_id comes first, a null text is the empty text, and an empty table gives a
-    folder without rows. Ids are made after the exchange, which therefore carries texts, not ids.
-    ``partitions`` is the number of ranges (the session's number of shuffle partitions if None).
+    of their text and may fill several ranges, equal rows too; a null doc_id comes first, a null text is the empty text, and
+    an empty table gives a folder without rows. Ids are made after the exchange, which therefore carries texts, not ids.
+    ``partitions`` is the number of ranges; if None, as many as leave about ``RANGE_BYTES`` of text to each, and
+    not fewer than the session's number of shuffle partitions.
     """
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    n = partitions
+    if n is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    keyed = rows.select("*", F.xxhash64("text").alias("_hash"), F.monotonically_increasing_id().alias("_place"))
+    ordered = keyed.repartitionByRange(n, "doc_id", "_hash", "_place").sortWithinPartitions("doc_id", "_hash", "_place").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, start, machine = TaskContext.get().partitionId(), 0, encoder(tokenizer)
@@ -64,6 +71,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, pa
                 schema=_ARROW,
             )
             start += int(offsets[-1])
+        trim()
 
     ordered.mapInArrow(encode, SCHEMA).write.options(**OPTIONS).orc(path)
 
