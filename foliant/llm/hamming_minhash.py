@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import pick, small_batches, stored
+from foliant.llm.common import discard, pick, small_batches, stored, trim
 from foliant.llm.components import components
 
 _U = np.uint64
@@ -44,7 +44,7 @@ class NearDuplicates:
     bits: int = 16
     miss: float = 1e-6
     #: Members of a key in one block; a task compares two blocks at a time.
-    block: int = 1000
+    block: int = 500
 
     @property
     def distance(self) -> int:
@@ -154,28 +154,51 @@ class Signer:
         return np.where(shared.any(axis=1), slot, -1)
 
 
-def _node(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
+def _node(shingles: np.ndarray, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(shingles.tobytes(), seed) - (1 << 63)
 
 
-def row_digests(docs: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, node, signature) of each row; node, a hash of the set, is null for an empty one."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("signature", pa.binary())])
+#: The seed of the second hash of a set, by which sets with the same first one are told apart.
+CONTROL = 1 << 40
+
+
+def row_digests(docs: DataFrame, how: NearDuplicates, seed: int = 0) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, node, control, signature) of each row; node and control are hashes of the set, null for an empty one."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("control", pa.int64()), ("signature", pa.binary())])
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, signer = Shingler(how.words), Signer(how)
         for batch in small_batches(batches, "text"):
-            sizes, nodes, signatures = [], [], []
+            sizes, nodes, controls, signatures = [], [], [], []
             for x in batch.column("text"):
                 s = shingler.shingles(x.as_py() or b"")
                 sizes.append(len(s))
-                nodes.append(_node(s) if len(s) else None)
+                nodes.append(_node(s, seed) if len(s) else None)
+                controls.append(_node(s, CONTROL) if len(s) else None)
                 signatures.append(signer.sign(s).tobytes() if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(controls, pa.int64()), pa.array(signatures, pa.binary())], schema=schema)
+        trim()
 
     text = F.col("text").cast("string")
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
-    return rows.mapInArrow(digest, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, signature binary")
+    return rows.mapInArrow(digest, "doc_id bigint, text_hash bigint, n_shingles bigint, node bigint, control bigint, signature binary")
+
+
+def _digests(docs: DataFrame, how: NearDuplicates) -> tuple[DataFrame, DataFrame, int]:
+    """(row_digests, one row for each set, the seed): written tables. The seed is one under which no two sets share a node.
+
+    A set's row has node, doc, the least doc_id, signature, and at: (doc_id, text_hash) of a row with the set.
+    """
+    for seed in range(8):
+        rows = stored(row_digests(docs, how, seed), "digests")
+        nodes = rows.where("node is not null").groupBy("node").agg(
+            F.min("doc_id").alias("doc"), F.first("signature").alias("signature"), F.min(F.struct("doc_id", "text_hash")).alias("at"), (F.min("control") != F.max("control")).alias("mixed")
+        )
+        nodes = stored(nodes, "nodes")
+        if nodes.where("mixed").isEmpty():
+            return rows, nodes.drop("mixed"), seed
+        discard(rows, nodes)
+    raise RuntimeError("different sets share a hash under every seed")
 
 
 def _keys(nodes: DataFrame, how: NearDuplicates) -> DataFrame:
@@ -195,17 +218,20 @@ def _signatures(data: list[bytes], how: NearDuplicates) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<u4" if how.bits > 16 else "<u2").reshape(len(data), how.symbols)
 
 
-def _full_sets(docs: DataFrame, members: DataFrame, how: NearDuplicates) -> DataFrame:
-    """(node, shingles) of the members' representative documents, (node, doc)."""
+def _full_sets(docs: DataFrame, members: DataFrame, how: NearDuplicates, seed: int) -> DataFrame:
+    """(node, shingles) of the members (node, at), made from the rows that ``at`` names by doc_id and hash of the text."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(how.words)
         for batch in small_batches(batches, "text"):
-            found = [(n, s) for n, x in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True) if _node(s := shingler.shingles(x.as_py())) == n]
+            found = [(n, s) for n, x in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True) if _node(s := shingler.shingles(x.as_py()), seed) == n]
             yield pa.record_batch([pa.array([n for n, _ in found], pa.int64()), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["node", "shingles"])
+        trim()
 
-    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").cast("binary").alias("text")).where("text is not null")
-    rows = rows.join(members.select("node", "doc"), rows["doc"].eqNullSafe(members["doc"])).select("node", "text")
+    text = F.col("text").cast("string")
+    rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc"), text.cast("binary").alias("text"), F.xxhash64(text).alias("_h")).where("text is not null")
+    at = members.select("node", F.col("at.doc_id").alias("_d"), F.col("at.text_hash").alias("_t"))
+    rows = rows.join(at, rows["doc"].eqNullSafe(at["_d"]) & (F.col("_h") == F.col("_t"))).select("node", "text")
     return rows.mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
@@ -353,17 +379,16 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     with nothing. A row with a null doc_id takes part, but its component has no id if all its rows lack one. Rows
     that share a doc_id stay rows of their own, grouped by their texts. An empty table gives no rows.
     """
-    rows = stored(row_digests(docs, how), "digests")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature"))
-    nodes = stored(nodes, "nodes")
+    rows, nodes, seed = _digests(docs, how)
     keys = _keys(nodes, how)
     # The first leader is the least member, which the keys of a group mostly share: few different pairs.
     leaders = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).where("n > 1")
     members = stored(keys.join(leaders, "key"), "members")
-    sets = stored(_full_sets(docs, nodes.join(members.select("node").distinct(), "node"), how), "sets")
+    sets = stored(_full_sets(docs, nodes.join(members.select("node").distinct(), "node"), how, seed), "sets")
     stars = members.where("leader <> node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     label = components(_linked(stars, sets, how))
-    members = _in_open_keys(members, label)
+    every, members = members, _in_open_keys(members, label)
+    discard(every)
     # The second round: each key has a leader drawn by a hash, and members of other components are compared with it
     # in a quarter of their keys. This only spares the last step work: that one is complete by itself.
     second = members.groupBy("key").agg(F.min(F.struct(F.col("node").bitwiseXOR(F.xxhash64("key", F.lit(2))).alias("t"), "node", "comp")).alias("_l"))
@@ -371,7 +396,9 @@ def near_duplicates(docs: DataFrame, how: NearDuplicates = NearDuplicates()) ->
     label = _merged(label, components(_linked(pairs, sets, how).select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
     members = _in_open_keys(members.drop("comp"), label)
     near = _with_near(_blocks(members.join(nodes.select("node", "signature"), "node"), how), how)
-    label = _merged(label, components(_joining(stored(near, "near").join(sets, "node"), how)))
+    near = stored(near, "near")
+    label = _merged(label, components(_joining(near.join(sets, "node"), how)))
+    discard(near, sets)
     of_node = nodes.select("node", "doc").join(label, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
     names = of_node.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_node = stored(of_node.join(names, "label").select("node", "component_id"), "components")
