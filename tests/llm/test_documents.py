@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from foliant.llm import entropy_mixing, hamming_minhash, hd_language, orc_tokens, secret_dfa, vector_packing, viterbi_count
 from foliant.llm.common import new_path
-from foliant.llm.token_ids import default_tokenizer, encoder
+from foliant.llm.token_ids import Encoder, default_tokenizer, encoder
 
 ODD = [(None, "a text without an id", "en", "s1"), (1, None, "en", "s1"), (2, "", None, None), (3, " \n\t ", "en", "s2"), (4, "12 34 !!", "fr", None), (5, "same words here", "en", "s1"), (5, "same words here", "en", "s1"), (6, "x" * 300_000, "en", "s3")]
 
@@ -101,18 +101,42 @@ def test_profiles_equal_the_definition():
     for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
         total += np.roll(profiler.letter(a), 2) * np.roll(profiler.letter(b), 1) * profiler.letter(c)
     assert np.allclose(profiler.profiles([text])[0][0], total)
-    long = "abcé " * 1000
-    whole = hd_language.Profiler(space).profiles([long])[0]
-    before, hd_language.STEP_POINTS = hd_language.STEP_POINTS, 10**9
-    try:
-        assert np.allclose(whole, hd_language.Profiler(space).profiles([long])[0])
-    finally:
-        hd_language.STEP_POINTS = before
+
+
+@pytest.mark.parametrize("step", [1, 2, 3, 7, 100])
+def test_profiles_do_not_depend_on_the_step(step, monkeypatch):
+    space = hd_language.Space(dimensions=64)
+    rng = random.Random(step)
+    texts = ["".join(rng.choice("aBcé ,.1 İΣ漢\n  ") for _ in range(rng.randint(0, 400))) for _ in range(40)] + ["", " ", "a", "Σ", "abc, " * 90]
+    profiles, letters = hd_language.Profiler(space).profiles(texts)
+    bundled = hd_language.Profiler(space).bundle(texts, np.arange(len(texts)) % 3, 3)
+    monkeypatch.setattr(hd_language, "STEP_POINTS", step)
+    monkeypatch.setattr(hd_language, "STEP_COUNTS", 50)
+    again, letters_again = hd_language.Profiler(space).profiles(texts)
+    assert np.array_equal(letters, letters_again)
+    assert np.allclose(profiles, again) and np.allclose(bundled, hd_language.Profiler(space).bundle(texts, np.arange(len(texts)) % 3, 3), atol=1e-5)
+
+
+def test_held_out_accuracy_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    both = hd_language.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(both) > 200 and np.mean([r["lang"] == r["lang_pred"] for r in both]) >= 0.98
 
 
 # -- tokens
 
 
+def test_pre_tokens_with_equal_hashes(monkeypatch):
+    """Polynomial hashes modulo a power of two cannot tell a long Thue-Morse word from its complement."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    machine = Encoder(default_tokenizer())
+    for texts in ([word, other], [other], ["x " + other + " y", word], ["plain text", word + " " + other]):
+        assert machine.encode(texts) == [x.tobytes() for x in library_ids(texts)]
+
+
 def library_ids(texts):
     from tokenizers import Tokenizer
 
@@ -157,6 +181,40 @@ def test_token_files(spark, make):
     assert orc_tokens.digests(spark, empty).count() == 0
 
 
+def test_token_files_skip_what_is_not_asked(spark, make):
+    rows = [(i, f"text {i}", "en", "s") for i in range(0, 12_000, 2)]
+    path = new_path(spark, "tokens")
+    orc_tokens.write_tokens(make(rows), path, default_tokenizer(), partitions=2)
+
+    def read(condition):
+        found = orc_tokens.read_tokens(spark, path).where(condition)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            query = found._jdf.queryExecution()
+            n = query.executedPlan().executeCollectPublic()
+            leaves = query.executedPlan().collectLeaves()
+            return len(n), leaves.apply(0).metrics().apply("numOutputRows").value()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+
+    # Row groups hold 1000 rows: minima and maxima skip all but one, and the Bloom filter that one too.
+    assert read("doc_id = 5000")[0] == 1 and read("doc_id = 5000")[1] <= 1000
+    assert read("doc_id = 5001") == (0, 0)
+    assert read("doc_id > 50000") == (0, 0)
+
+
+def test_token_files_split_one_id(spark, make, words):
+    rows = [(None, words(30, i % 50), "en", "s") for i in range(400)] + [(i, words(5, i), "en", "s") for i in range(30)]
+    path = new_path(spark, "tokens")
+    orc_tokens.write_tokens(make(rows).repartition(4), path, default_tokenizer(), partitions=4)
+    sizes = [r["n"] for r in orc_tokens.read_tokens(spark, path).where("doc_id is null").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 400 and max(sizes) < 250
+    got = sorted(orc_tokens.digests(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+    ids = [r["doc_id"] for r in got]
+    assert ids == [None] * 400 + list(range(30))
+
+
 def test_packing(spark, make, words):
     rows = [*ODD[:7], *((100 + i, words(random.Random(i).randint(1, 2500), i), "en", "s") for i in range(60))]
     packed = vector_packing.pack_documents(make(rows), default_tokenizer()).collect()
@@ -181,6 +239,37 @@ def test_packing(spark, make, words):
     assert vector_packing.pack_documents(make([]), default_tokenizer()).count() == 0
 
 
+def test_documents_of_many_pieces_and_repeats(spark, make, words):
+    book = words(6000, 3)
+    rows = [(1, book, "en", "s")] * 4 + [(2, words(5, 1), "en", "s")] * 40 + [(None, book[:20000], "en", "s")]
+    frame = make(rows).repartition(2)
+    packed = vector_packing.pack_documents(frame, default_tokenizer(), vector_packing.Capacity(group=3)).collect()
+    pieces = defaultdict(list)
+    for r in packed:
+        pieces[r["row"]].append((r["piece"], r["start"], r["length"]))
+    assert len(pieces) == len(rows)
+    for cut in pieces.values():
+        cut.sort()
+        assert [p for p, *_ in cut] == list(range(len(cut))) and cut[0][1] == 0
+        assert all(s + n == t for (_, s, n), (_, t, _) in zip(cut, cut[1:])) and all(n == 2048 for *_, n in cut[1:])
+    full = [r["sequence_id"] for r in packed if r["length"] == 2048]
+    held = defaultdict(int)
+    for r in packed:
+        held[r["sequence_id"]] += r["length"]
+    assert len(set(full)) == len(full) and all(held[s] == 2048 for s in full) and max(held.values()) <= 2048
+    few = vector_packing.pack_documents(frame, default_tokenizer(), vector_packing.Capacity(documents=3)).collect()
+    counts = defaultdict(int)
+    for r in few:
+        counts[r["sequence_id"]] += 1
+    assert max(counts.values()) == 3 and len(few) == len(packed)
+
+
+def test_cuts_are_the_same_in_any_order(spark, make, words):
+    rows = [(1, words(9, 1), "en", "s")] * 3 + [(2, words(9, 1), "en", "s"), (None, None, "en", "s"), (3, words(3000, 2), "en", "s")]
+    cut = lambda rows: sorted(map(str, vector_packing.cut_documents(make(rows).coalesce(1), default_tokenizer()).collect()))
+    assert cut(rows) == cut(rows[::-1]) and len(set(cut(rows))) == len(rows)
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_every_capacity_holds(score):
     lengths = np.random.default_rng(3).integers(1, 60, 500)
@@ -286,6 +375,31 @@ def test_signature_distance_follows_similarity():
     assert abs(np.mean(gaps) / how.symbols - 0.15) < 0.01 and max(gaps) <= how.distance
 
 
+def test_null_ids_take_no_longer(spark, make, words):
+    """Rows without an id are told apart by their texts; none is shingled for another."""
+    texts = [*family(words, 80, 20, 2, 7), *(words(40, 300 + i) for i in range(60))]
+    rows = [(None, t, "en", "s") for t in texts] + [(None, texts[0], "en", "s")] * 5 + [(7, texts[25], "en", "s"), (9, texts[0], "en", "s")]
+    got = hamming_minhash.near_duplicates(make(rows)).collect()
+    sets, roots = brute_components(rows, 5, 80)
+    groups, own = defaultdict(set), defaultdict(set)
+    for r, root in zip(rows, roots, strict=True):
+        groups[root].add(hash(r[1]))
+    ids = defaultdict(list)
+    for r, root in zip(rows, roots, strict=True):
+        if r[0] is not None:
+            ids[root].append(r[0])
+    named = sorted(min(ids[root]) for root in roots if ids[root])
+    assert sorted(r["component_id"] for r in got if r["component_id"] is not None) == named and len(got) == len(rows)
+
+
+def test_sets_that_share_a_hash_are_told_apart(spark, make, words, monkeypatch):
+    before = hamming_minhash._node
+    monkeypatch.setattr(hamming_minhash, "_node", lambda s, seed: 5 if seed == 0 else before(s, seed))
+    rows = [(1, words(30, 1), "en", "s"), (2, words(30, 2), "en", "s"), (3, words(30, 1), "en", "s")]
+    got = {r["doc_id"]: r["component_id"] for r in hamming_minhash.near_duplicates(make(rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_keep_one(spark, make, words):
     text = words(50, 1)
     rows = [*ODD, (20, text, "en", "s"), (21, text, "en", "s"), (19, text + " more", "en", "t"), (22, words(50, 2), "en", "s"), (None, text, "en", "s")]
@@ -372,6 +486,55 @@ def test_prior_rates_are_tilted(spark, make, words):
         assert max(high) == pytest.approx(min(3, 4 * max(low)))
 
 
+def test_rates_are_tilted_by_size(spark, make, words):
+    rng = random.Random(14)
+    rows = [(i, words(rng.choice([5, 10, 20, 40, 80]), i), "en", "ab"[i % 2]) for i in range(400)]
+    got = entropy_mixing.mix(make(rows), weights=(1, 3)).collect()
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert sum(r["_mix_rate"] * r["_mix_size"] for r in own) == pytest.approx(own[0]["_mix_target"], rel=1e-6)
+        # The logarithm of the rate is proportional to the size, below the cap.
+        tilts = {round(np.log(r["_mix_rate"]) / r["_mix_size"], 9) for r in own if r["_mix_rate"] < 3}
+        assert len(tilts) == 1 and (min(tilts) < 0) == (s == "a")
+        assert len({r["_mix_rate"] for r in own}) > 2
+
+
+def test_balance_is_the_least_relative_entropy(spark):
+    sizes = [3, 7, 7, 20, 45]
+    docs = spark.createDataFrame([("s", n, 1.0) for n in sizes], "source string, size long, prior double")
+    target = 0.6 * sum(sizes)
+    found = entropy_mixing.balance(docs, spark.createDataFrame([("s", target), ("none", 0.0)], "source string, target double"))
+    dual, mean = {r["source"]: (r["dual"], r["mean"]) for r in found.collect()}["s"]
+    rates = [np.exp(dual * n / mean) for n in sizes]
+    cost = lambda r: sum(x * np.log(x) - x + 1 for x in r)
+    assert np.dot(sizes, rates) == pytest.approx(target)
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        other = np.clip(rates + rng.normal(size=5) * 0.05, 1e-6, 3)
+        other *= target / np.dot(sizes, other)
+        assert cost(other) >= cost(rates) - 1e-12
+
+
+def test_repeated_rows_are_rounded_apart(spark, make, words):
+    rows = [(1, words(10, 1), "en", "a")] * 300 + [(None, words(7, 2), "en", "b")] * 150 + [(i, words(12, i), "en", "c") for i in range(100, 300)]
+    got = entropy_mixing.mix(make(rows)).collect()
+    assert len(got) == len(rows)
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r["source"]] += r["_mix_size"] * r["_mix_copies"]
+        target[r["source"]] = r["_mix_target"]
+    for s in "abc":
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s], s
+    again = entropy_mixing.mix(make(rows).repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mix_uses_no_python(spark, make):
+    rows = [(1, "a b c", "en", "a")] * 3 + [(2, "d e", "en", "b")]
+    plan = entropy_mixing.mix(make(rows)).select("_mix_copies")._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 # -- the pipeline
 
 
@@ -416,6 +579,18 @@ def test_language_stage_rejects_what_is_not_learned(spark, make):
     assert got == {r[0] for r in rows + short}
 
 
+def test_language_stage_rejects_words_over_and_over(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    gone = docs.join(stage(spark, docs, "").select("doc_id"), "doc_id", "left_anti").join(labels, "doc_id", "left").collect()
+    assert 0 < len(gone) < 60
+    assert all(r["quality"] in (0, None) for r in gone)
+    for r in gone:
+        found = r["text"].split()
+        assert len(set(found)) < 0.5 * len(found)
+
+
 def test_pipeline_stages_on_nothing(spark, make):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, make([]), "").count() == 0, name
