@@ -422,19 +422,78 @@ def test_counts_equal_the_library(spark, make):
         vocabulary = [("<unk>", 0.0), *((p, -float(random.randint(1, 4))) for p in pieces)]
         library = Tokenizer(models.Unigram(vocabulary, 0, False))
         library.pre_tokenizer = pre_tokenizers.Metaspace()
-        own = viterbi_count.Counter(vocabulary, 0)
+        own = viterbi_count.Counter(viterbi_count.Vocabulary(tuple(vocabulary), 0))
         for _ in range(20):
             text = "".join(random.choice("abcd ▁") for _ in range(random.randint(0, 12)))
             assert own.text(text)[0] == len(library.encode(text, add_special_tokens=False).ids)
-    pieces, unknown = viterbi_count.read_vocabulary(viterbi_count.default_vocabulary())
-    library = Tokenizer(models.Unigram(pieces, unknown, False))
-    library.pre_tokenizer = pre_tokenizers.Metaspace()
-    got = viterbi_count.count_tokens(make(ODD), viterbi_count.default_vocabulary()).collect()
-    expected = [(r[0], len(library.encode(r[1] or "", add_special_tokens=False).ids)) for r in ODD]
-    assert sorted(map(str, ((r["doc_id"], r["n_tokens"]) for r in got))) == sorted(map(str, expected))
+
+
+def library_unigram(vocabulary):
+    """The library's model of the same table, spaces written and one put before the text as the file has it."""
+    from tokenizers import Tokenizer, models, normalizers
+
+    special = [("<unk>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256))]
+    library = Tokenizer(models.Unigram([*special, *vocabulary.pieces], 0, True))
+    library.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+    return lambda text: len(library.encode(text, add_special_tokens=False).ids) if text else 0
+
+
+def test_counts_of_the_file_equal_the_library(spark, make):
+    vocabulary = viterbi_count.read_vocabulary(viterbi_count.default_vocabulary())
+    names = [p for p, _ in vocabulary.pieces]
+    assert len(names) == 32_000 - 259 and vocabulary.byte_pieces and not {"<s>", "</s>", "<unk>", "<0x0A>"} & set(names)
+    library = library_unigram(vocabulary)
+    odd = [(20, "the  house and  rivers", "en", "s"), (21, "unbelievable things", "en", "s"), (22, "  x   ", "en", "s"), (23, "ab\ncd\x00 漢字😀𐍈 ▁▁a", "en", "s"), (24, " ", "en", "s")]
+    rows = ODD + odd
+    got = viterbi_count.count_tokens(make(rows), viterbi_count.default_vocabulary()).collect()
+    assert sorted(map(str, ((r["doc_id"], r["n_tokens"]) for r in got))) == sorted(map(str, ((r[0], library(r[1])) for r in rows)))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = viterbi_count.count_tokens(docs, viterbi_count.default_vocabulary()).join(docs, "doc_id").collect()
+    assert all(r["n_tokens"] == library(r["text"]) for r in found) and len(found) == 1000
     assert viterbi_count.count_tokens(make([]), viterbi_count.default_vocabulary()).count() == 0
 
 
+def test_special_pieces_are_not_matched():
+    machine = viterbi_count.counter(viterbi_count.default_vocabulary())
+    pieces = dict(machine.vocabulary.pieces)
+
+    def brute(text):
+        """Tokens of the best path, by trying all pieces at all places."""
+        text = "▁" + text.replace(" ", "▁")
+        best = [(0.0, 0)] + [None] * len(text)
+        for end in range(1, len(text) + 1):
+            for begin in range(max(0, end - 16), end):
+                if text[begin:end] in pieces:
+                    total = best[begin][0] + pieces[text[begin:end]]
+                    if best[end] is None or total > best[end][0]:
+                        best[end] = (total, best[begin][1] + 1)
+            if text[end - 1] not in pieces and (best[end] is None or best[end - 1][0] + machine.unknown > best[end][0]):
+                best[end] = (best[end - 1][0] + machine.unknown, best[end - 1][1] + len(text[end - 1].encode()))
+        return best[-1][1]
+
+    for text in ("a<s>b", "<0x41><0x42>", "<unk>", "</s> x", "\n\n a", "é̈ 漢"):
+        assert machine.text(text)[0] == brute(text), text
+    assert machine.text("a<s>b")[0] >= 4
+
+
+@pytest.mark.parametrize("byte_pieces", [False, True])
+def test_whole_texts_of_odd_vocabularies(byte_pieces):
+    """Pieces with spaces inside, and vocabularies without a piece for the space."""
+    from tokenizers import Tokenizer, models, normalizers
+
+    random.seed(15)
+    for _ in range(80):
+        pieces = list({"".join(random.choice("ab▁") for _ in range(random.randint(1, 4))) for _ in range(random.randint(2, 9))})
+        scored = tuple((p, -float(random.randint(1, 4))) for p in pieces)
+        special = [("<unk>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256) if byte_pieces)]
+        library = Tokenizer(models.Unigram([*special, *scored], 0, byte_pieces))
+        library.normalizer = normalizers.Sequence([normalizers.Prepend("▁"), normalizers.Replace(" ", "▁")])
+        own = viterbi_count.Counter(viterbi_count.Vocabulary(scored, byte_pieces=byte_pieces, whole=True))
+        for _ in range(20):
+            text = "".join(random.choice("abcé ") for _ in range(random.randint(1, 12)))
+            assert own.text(text)[0] == len(library.encode(text, add_special_tokens=False).ids), (scored, text)
+
+
 # -- mixing
 
 
