@@ -4,8 +4,10 @@ Distinct vectors of a label are dealt into overlapping shards around cluster cen
 graph: every vector's near neighbours, and some random far ones, are pruned robustly (a candidate goes if one that was
 taken is nearer to it by a factor than the vector is). The adjacency lists of all shards are united. Then each vector
 is searched from its shards' medoids by a greedy beam, and from what the beam found in the range the search expands over
-the graph as long as it finds more. Links are verified in double precision. A brute-force audit of a bounded
-sample measures the recall; labels below its target are compared in full, block by block.
+the graph as long as it finds more. Where an edge of a vector in the range leaves the shard, the search goes on as a guest
+in the shards that it leads to, round by round, until no search reaches a new shard. Links are verified in double
+precision. A brute-force audit of a bounded sample measures the recall; labels below its target are compared in full,
+block by block.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import pick, stored
+from foliant.llm.common import discard, pick, stored
 from foliant.llm.components import components
 
 
@@ -190,66 +193,73 @@ def build(x: np.ndarray, how: FlatGraph) -> list[np.ndarray]:
     return [np.union1d(a, np.array(b, np.int64)) for a, b in zip(lists, back, strict=True)]
 
 
-def beams(x: np.ndarray, adjacent: list[np.ndarray], how: FlatGraph) -> np.ndarray:
-    """For each vector as a query, the places its greedy beam from the medoid ended with (-1: none)."""
-    n = len(x)
-    wide = max((len(a) for a in adjacent), default=0)
-    table = np.full((n, max(1, wide)), -1, np.int64)
-    for i, a in enumerate(adjacent):
-        table[i, : len(a)] = a
-    mean = x.mean(axis=0)
-    medoid = int((x @ mean).argmax())
-    ends = np.full((n, how.beam), -1, np.int64)
-    low = x.astype(np.float32)
-    for begin in range(0, n, 256):
-        q = low[begin : begin + 256]
-        lines = np.arange(len(q))
-        beam = np.full((len(q), how.beam), -1, np.int64)
-        score = np.full((len(q), how.beam), -np.inf, np.float32)
-        done = np.ones((len(q), how.beam), bool)
-        beam[:, 0], score[:, 0], done[:, 0] = medoid, q @ low[medoid], False
-        seen = np.zeros((len(q), n), bool)
-        seen[:, medoid] = True
-        while not done.all():
-            pick_at = np.where(done, -np.inf, score).argmax(axis=1)
-            active = ~done[lines, pick_at]
-            done[lines, pick_at] = True
-            new = np.where(active[:, None], table[np.maximum(beam[lines, pick_at], 0)], -1)
-            new = np.where(seen[lines[:, None], np.maximum(new, 0)], -1, new)
-            x_at, y_at = np.nonzero(new >= 0)
-            seen[x_at, new[x_at, y_at]] = True
-            fresh = np.full(new.shape, -np.inf, np.float32)
-            fresh[x_at, y_at] = np.einsum("ij,ij->i", q[x_at], low[new[x_at, y_at]])
-            both, values = np.concatenate([beam, new], axis=1), np.concatenate([score, fresh], axis=1)
-            flags = np.concatenate([done, new < 0], axis=1)
-            top = np.argpartition(-values, how.beam - 1, axis=1)[:, : how.beam]
-            beam, score, done = (np.take_along_axis(v, top, axis=1) for v in (both, values, flags))
-            done |= beam < 0
-        ends[begin : begin + 256] = beam
-    return ends
-
-
-def range_links(x: np.ndarray, adjacent: list[np.ndarray], how: FlatGraph) -> np.ndarray:
-    """Which pairs of a shard's unit vectors the search finds within the similarity, as a symmetric matrix."""
-    n = len(x)
-    found = np.zeros((n, n), bool)
-    loose = how.similarity - how.margin
-    for i, ends in enumerate(beams(x, adjacent, how)):
-        seen = np.zeros(n, bool)
-        front = np.unique(np.append(ends[ends >= 0], i))
-        near = np.zeros(n, bool)
+class Finder:
+    """Searches a shard's graph: ``x`` are its unit vectors, ``adjacent`` their neighbours in it."""
+
+    def __init__(self, x: np.ndarray, adjacent: list[np.ndarray], how: FlatGraph) -> None:
+        self.x, self.adjacent, self.how, self.low = x, adjacent, how, x.astype(np.float32)
+        self.table = np.full((len(x), max(1, max((len(a) for a in adjacent), default=0))), -1, np.int64)
+        for i, a in enumerate(adjacent):
+            self.table[i, : len(a)] = a
+        self.medoid = int((x @ x.mean(axis=0)).argmax())
+
+    def beams(self, queries: np.ndarray) -> np.ndarray:
+        """For each query, the places its greedy beam from the medoid ended with (-1: none)."""
+        n, how, table, low = len(self.x), self.how, self.table, self.low
+        ends, queries = np.full((len(queries), how.beam), -1, np.int64), queries.astype(np.float32)
+        for begin in range(0, len(queries), 256):
+            q = queries[begin : begin + 256]
+            lines = np.arange(len(q))
+            beam = np.full((len(q), how.beam), -1, np.int64)
+            score = np.full((len(q), how.beam), -np.inf, np.float32)
+            done = np.ones((len(q), how.beam), bool)
+            beam[:, 0], score[:, 0], done[:, 0] = self.medoid, q @ low[self.medoid], False
+            seen = np.zeros((len(q), n), bool)
+            seen[:, self.medoid] = True
+            while not done.all():
+                pick_at = np.where(done, -np.inf, score).argmax(axis=1)
+                active = ~done[lines, pick_at]
+                done[lines, pick_at] = True
+                new = np.where(active[:, None], table[np.maximum(beam[lines, pick_at], 0)], -1)
+                new = np.where(seen[lines[:, None], np.maximum(new, 0)], -1, new)
+                x_at, y_at = np.nonzero(new >= 0)
+                seen[x_at, new[x_at, y_at]] = True
+                fresh = np.full(new.shape, -np.inf, np.float32)
+                fresh[x_at, y_at] = np.einsum("ij,ij->i", q[x_at], low[new[x_at, y_at]])
+                both, values = np.concatenate([beam, new], axis=1), np.concatenate([score, fresh], axis=1)
+                flags = np.concatenate([done, new < 0], axis=1)
+                top = np.argpartition(-values, how.beam - 1, axis=1)[:, : how.beam]
+                beam, score, done = (np.take_along_axis(v, top, axis=1) for v in (both, values, flags))
+                done |= beam < 0
+            ends[begin : begin + 256] = beam
+        return ends
+
+    def expand(self, query: np.ndarray, front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vectors within the similarity of the query, vectors within the margin below it too), reached from ``front`` through the latter."""
+        n, loose = len(self.x), self.how.similarity - self.how.margin
+        seen, near = np.zeros(n, bool), np.zeros(n, bool)
+        front = np.unique(front)
         while len(front):
             seen[front] = True
-            front = front[x[front] @ x[i] >= loose]
+            front = front[self.x[front] @ query >= loose]
             near[front] = True
             around = np.zeros(n, bool)
-            around[np.concatenate([adjacent[j] for j in front.tolist()] or [front])] = True
+            around[np.concatenate([self.adjacent[j] for j in front.tolist()] or [front])] = True
             front = np.flatnonzero(around & ~seen)
         at = np.flatnonzero(near)
-        found[i, at[x[at] @ x[i] >= how.similarity]] = True
+        return at[self.x[at] @ query >= self.how.similarity], at
+
+
+def range_links(x: np.ndarray, adjacent: list[np.ndarray], how: FlatGraph) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(which pairs of a shard's unit vectors the search finds within the similarity, as a symmetric matrix; what each search came near)."""
+    found, near, finder = np.zeros((len(x), len(x)), bool), [], Finder(x, adjacent, how)
+    for i, ends in enumerate(finder.beams(x)):
+        hits, around = finder.expand(x[i], np.append(ends[ends >= 0], i))
+        found[i, hits] = True
+        near.append(around)
     found |= found.T
     np.fill_diagonal(found, False)
-    return found
+    return found, near
 
 
 def _graph(rows: DataFrame, how: FlatGraph) -> DataFrame:
@@ -281,31 +291,115 @@ def _lowest(reps: np.ndarray, found: np.ndarray) -> np.ndarray:
     return lowest
 
 
-def _search(rows: DataFrame, graph: DataFrame, how: FlatGraph) -> DataFrame:
-    """(rep, n, lowest): of each vector in each shard, the links counted there and one vector it is linked with, through others."""
+def _cell(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[frozenset]]:
+    """(reps, unit vectors, neighbours in the shard, the shards of each) of a shard's rows, sorted by rep."""
+    reps = table["rep"].to_numpy()
+    place = {r: i for i, r in enumerate(reps.tolist())}
+    adjacent = [np.array([place[r] for r in a if r in place], np.int64) for a in table["adjacent"].to_pylist()]
+    known: dict[tuple, frozenset] = {}
+    cells = [known.setdefault(tuple(c), frozenset(c)) for c in table["cells"].to_pylist()]
+    return reps, _unit(_matrix(table["embedding"])), adjacent, cells
+
+
+def _ahead(near: np.ndarray, cells: list[frozenset], visited: frozenset) -> list[str]:
+    """The shards to which edges of the vectors ``near`` lead and which are not ``visited``: an edge of a vector is in one of its shards."""
+    return sorted(set().union(*{cells[j] for j in near.tolist()}) - visited) if len(near) else []
+
+
+_HIT = "rep bigint, cell string, n bigint, joined array<bigint>, ahead array<string>"
+
+
+def _hits(table: pa.Table, n: np.ndarray, joined: list[list[int]], ahead: list[list[str]]) -> pa.Table:
+    return pa.table({"rep": table["rep"], "cell": table["cell"], "n": pa.array(n, pa.int64()), "joined": pa.array(joined, pa.list_(pa.int64())), "ahead": pa.array(ahead, pa.list_(pa.string()))})
+
+
+def _search(members: DataFrame, how: FlatGraph) -> DataFrame:
+    """(rep, cell, n, joined, ahead): of each vector in each of its shards, the links counted there, a vector it is linked with, through others,
+    and the shards, other than its own, to which its search leads; the latter for cut vectors only: others share a shard with all their links."""
 
     def find(table: pa.Table) -> pa.Table:
         table = table.sort_by("rep")
-        reps, copies, cell = table["rep"].to_numpy(), table["copies"].to_numpy(), table["cell"][0].as_py()
-        place = {r: i for i, r in enumerate(reps.tolist())}
-        adjacent = [np.array([place[r] for r in a if r in place], np.int64) for a in table["adjacent"].to_pylist()]
-        found = range_links(_unit(_matrix(table["embedding"])), adjacent, how)
+        reps, x, adjacent, cells = _cell(table)
+        copies, cut, cell = table["copies"].to_numpy(), table["cut"].to_pylist(), table["cell"][0].as_py()
+        found, near = range_links(x, adjacent, how)
         # A pair that shares several shards is counted in the first of them.
-        kinds: dict[tuple, int] = {}
-        kind = np.array([kinds.setdefault(tuple(c), len(kinds)) for c in table["cells"].to_pylist()])
-        first = np.array([[min(set(a) & set(b)) == cell for b in kinds] for a in kinds])
+        kinds: dict[frozenset, int] = {}
+        kind = np.array([kinds.setdefault(c, len(kinds)) for c in cells])
+        first = np.array([[min(a & b) == cell for b in kinds] for a in kinds])
         counts = np.zeros(len(reps), np.int64)
         for i in range(len(reps)):
             at = np.flatnonzero(found[i])
             counts[i] = copies[at[first[kind[i], kind[at]]]].sum()
-        return pa.table({"rep": table["rep"], "n": pa.array(counts), "lowest": pa.array(_lowest(reps, found))})
+        ahead = [_ahead(near[i], cells, cells[i]) if c else [] for i, c in enumerate(cut)]
+        return _hits(table, counts, [[r] for r in _lowest(reps, found).tolist()], ahead)
+
+    return members.groupBy("label", "dim", "cell").applyInArrow(find, _HIT)
+
+
+def _visits(members: DataFrame, guests: DataFrame, how: FlatGraph) -> DataFrame:
+    """As ``_search``, of guests (rep, label, dim, cell, embedding, visited) in shards that are not theirs.
+
+    ``members`` has the shards' rows and, as ``lowest``, what each is linked with there. Links with vectors that share a shard
+    already visited are not counted again. Guests of a shard are dealt into tasks of at most about half a shard.
+    """
+    place = ["label", "dim", "cell"]
+    parts = guests.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) * 2 / how.shard).cast("int").alias("_parts"))
+    none = F.lit(None)
+    columns = ["rep", *place, "embedding", "copies", "adjacent", "cells", "lowest", "visited"]
+    own = members.withColumn("visited", none.cast("array<string>")).join(parts, place).select(*columns, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    more = guests.join(parts, place).withColumns({"copies": none.cast("long"), "adjacent": none.cast("array<bigint>"), "cells": none.cast("array<string>"), "lowest": none.cast("long")})
+    more = more.select(*columns, F.pmod(F.xxhash64("rep", F.lit(21)), F.col("_parts")).cast("int").alias("_part"))
 
-    both = rows.join(graph, "rep").select("rep", "label", "dim", "cell", "embedding", "copies", "adjacent", "cells")
-    return both.groupBy("label", "dim", "cell").applyInArrow(find, "rep bigint, n bigint, lowest bigint")
+    def find(table: pa.Table) -> pa.Table:
+        is_guest = pa.compute.is_valid(table["visited"])
+        asked, table = table.filter(is_guest).sort_by("rep"), table.filter(pa.compute.invert(is_guest)).sort_by("rep")
+        _, x, adjacent, cells = _cell(table)
+        copies, lowest, finder = table["copies"].to_numpy(), table["lowest"].to_numpy(), Finder(x, adjacent, how)
+        queries, cell = _unit(_matrix(asked["embedding"])), table["cell"][0].as_py()
+        counts, joined, ahead = [], [], []
+        for q, ends, visited in zip(queries, finder.beams(queries), asked["visited"].to_pylist(), strict=True):
+            before = frozenset(visited)
+            found, near = finder.expand(q, ends[ends >= 0])
+            new = np.array([i for i in found.tolist() if cells[i].isdisjoint(before)], np.int64)
+            counts.append(int(copies[new].sum()))
+            joined.append(np.unique(lowest[found]).tolist())
+            ahead.append(_ahead(near, cells, before | {cell}))
+        return _hits(asked, np.array(counts, np.int64), joined, ahead)
+
+    return own.unionByName(more).groupBy(*place, "_part").applyInArrow(find, _HIT)
+
+
+def search(rows: DataFrame, how: FlatGraph) -> DataFrame:
+    """(rep, n, joined): the links of each vector in each shard that its search came to; ``rows`` are of ``shards``.
+
+    A shard that is reached in a round is visited in the next one, all of a round's in the order of their names: a link with
+    a vector that is in several of them is counted in the first.
+    """
+    graph = stored(_graph(rows, how), "graph")
+    members = stored(rows.join(graph, "rep").select("rep", "label", "dim", "cell", "embedding", "copies", "cut", "adjacent", "cells"), "members")
+    hits = stored(_search(members, how), "hits")
+    every = hits.select("rep", "n", "joined")
+    ahead = hits.where(F.size("ahead") > 0)
+    if not ahead.isEmpty():
+        members = stored(members.join(hits.select("rep", "cell", F.col("joined")[0].alias("lowest")), ["rep", "cell"]), "members")
+        own = members.groupBy("rep").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("embedding").alias("embedding"), F.first("cells").alias("visited"))
+        guests = stored(own.join(ahead.select("rep").distinct(), "rep"), "guests")
+        while not ahead.isEmpty():
+            new = ahead.select("rep", F.explode("ahead").alias("cell")).distinct().groupBy("rep").agg(F.array_sort(F.collect_list("cell")).alias("_new"))
+            new = guests.join(new, "rep").withColumn("_new", F.array_except("_new", "visited"))
+            each = new.select("rep", "label", "dim", "embedding", "visited", F.col("_new").alias("_all"), F.posexplode("_new").alias("_i", "cell"))
+            each = each.withColumn("visited", F.concat("visited", F.slice("_all", F.lit(1), F.col("_i")))).drop("_all", "_i")
+            hits = stored(_visits(members, each, how), "hits")
+            every = every.unionByName(hits.select("rep", "n", "joined"))
+            gone = new.select("rep", F.concat("visited", "_new").alias("_v"))
+            guests = stored(guests.join(gone, "rep").select("rep", "label", "dim", "embedding", F.col("_v").alias("visited")), "guests")
+            ahead = hits.where(F.size("ahead") > 0).select("rep", "ahead")
+            ahead = ahead.join(guests.select("rep", "visited"), "rep").withColumn("ahead", F.array_except("ahead", "visited")).where(F.size("ahead") > 0).select("rep", "ahead")
+    return stored(every, "links")
 
 
 def compare(reps: DataFrame, how: FlatGraph) -> DataFrame:
-    """As ``_search``, without a graph: every vector is compared with all of its label and length.
+    """As ``search``, without a graph: every vector is compared with all of its label and length.
 
     Vectors are dealt into blocks of about half a shard by a hash; each two blocks, and each by itself, are a task's.
     """
@@ -329,9 +423,9 @@ def compare(reps: DataFrame, how: FlatGraph) -> DataFrame:
         found |= found.T
         np.fill_diagonal(found, False)
         counts = np.array([copies[row].sum() for row in found], np.int64)
-        return pa.table({"rep": table["rep"], "n": pa.array(counts), "lowest": pa.array(_lowest(reps, found))})
+        return pa.table({"rep": table["rep"], "n": pa.array(counts), "joined": pa.array([[r] for r in _lowest(reps, found).tolist()], pa.list_(pa.int64()))})
 
-    return pairs.groupBy(*place, "_i", "_j").applyInArrow(find, "rep bigint, n bigint, lowest bigint")
+    return pairs.groupBy(*place, "_i", "_j").applyInArrow(find, "rep bigint, n bigint, joined array<bigint>")
 
 
 def audit(reps: DataFrame, cells: DataFrame, links: DataFrame, how: FlatGraph) -> DataFrame:
@@ -389,15 +483,12 @@ def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[Data
     an id count each, and share the component. An empty table gives no rows. Labels whose audit finds less than
     ``how.recall`` of their links are compared in full.
     """
-    valid = valid_vectors(vectors)
-    groups = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    # A repeated id may stand for several vectors: these are told apart by a number of their own.
-    groups = groups.withColumn("dim", F.size("embedding"))
-    reps = stored(groups.select(F.xxhash64("label", "embedding").alias("rep"), F.col("rep").alias("_id"), "label", "dim", "embedding", "copies"), "reps")
+    reps, seed = _representatives(valid_vectors(vectors))
     plain = reps.select("rep", "label", "dim", "embedding", "copies")
     cells = shards(plain, how)
-    graph = stored(_graph(cells, how), "graph")
-    hits = stored(_search(cells, graph, how), "hits")
+    # Labels with shards that could not be split small enough are left to the audit, which has them compared in full.
+    over = stored(cells.groupBy("label", "dim", "cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 2 * how.shard).select("label", "dim").distinct(), "over")
+    hits = search(cells if over.isEmpty() else cells.join(over, ["label", "dim"], "left_anti"), how)
     links = hits.groupBy("rep").agg(F.sum("n").alias("n"))
     audited = audit(plain, cells, links, how)
     low = (F.col("found") < how.recall * F.col("true")) | (F.coalesce("share", F.lit(1.0)) < how.recall)
@@ -411,11 +502,22 @@ def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[Data
     seen = audited.agg(F.sum(F.when(F.col("low"), F.col("true")).otherwise(F.col("found"))).alias("found"), F.sum("true").alias("true"), F.count_if("low").alias("low"), F.count_if(unknown).alias("unknown")).first()
     recall = seen["found"] / seen["true"] if seen["true"] else None if seen["unknown"] else 1.0
     logging.getLogger("foliant.flat_graph").info("recall %s; labels compared in full: %d, not measured: %d", recall, seen["low"], seen["unknown"])
-    label = components(hits.select(F.col("rep").alias("a"), F.col("lowest").alias("b")))
-    return _answer(vectors, reps, links, label), recall
+    label = components(hits.select(F.col("rep").alias("a"), F.explode("joined").alias("b")))
+    return _answer(vectors, reps, seed, links, label), recall
+
+
+def _representatives(valid: DataFrame) -> tuple[DataFrame, int]:
+    """((rep, _id, label, dim, embedding, copies) of the distinct vectors, the seed of the hash rep, which no two of them share)."""
+    groups = valid.groupBy("label", "embedding").agg(F.min("vec_id").alias("_id"), F.count(F.lit(1)).alias("copies"))
+    for seed in range(8):
+        reps = stored(groups.select(F.xxhash64("label", "embedding", F.lit(seed)).alias("rep"), "_id", "label", F.size("embedding").alias("dim"), "embedding", "copies"), "reps")
+        if reps.groupBy("rep").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").isEmpty():
+            return reps, seed
+        discard(reps)
+    raise RuntimeError("different vectors share a hash under every seed")
 
 
-def _answer(vectors: DataFrame, reps: DataFrame, links: DataFrame, label: DataFrame) -> DataFrame:
+def _answer(vectors: DataFrame, reps: DataFrame, seed: int, links: DataFrame, label: DataFrame) -> DataFrame:
     of_rep = reps.select("rep", "_id", "copies").join(links, "rep", "left").join(label.select(F.col("node").alias("rep"), F.col("label").alias("_c")), "rep", "left")
     of_rep = of_rep.select("rep", "_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("_c", "rep").alias("_c"))
     names = of_rep.groupBy("_c").agg(F.min("_id").alias("component_id"))
@@ -424,6 +526,6 @@ def _answer(vectors: DataFrame, reps: DataFrame, links: DataFrame, label: DataFr
     # Rows that cannot link have no representative; their key is made null, and all keys are spread by it.
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
     able = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite
-    keyed = rows.select("vec_id", F.when(able, F.xxhash64("label", "embedding")).alias("rep"))
+    keyed = rows.select("vec_id", F.when(able, F.xxhash64("label", "embedding", F.lit(seed))).alias("rep"))
     out = keyed.join(of_rep, "rep", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))

@@ -111,6 +111,43 @@ def test_audit_draws_until_it_holds_links(spark):
     assert recall >= 0.95
 
 
+def test_the_search_crosses_shards(spark):
+    """One broad blob whose shards cut through dense places: the united graph leads the searches on, without the comparison in full."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=16)
+    x = x / np.linalg.norm(x) + rng.normal(size=(1200, 16)) * 0.045
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    data = np.float32(x).astype(np.float64)
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    links = data @ data.T >= 0.98
+    np.fill_diagonal(links, False)
+    how = flat_graph.FlatGraph(shard=150, recall=0.0)
+    got = {r["vec_id"]: r for r in flat_graph.near_vectors(vectors(spark, rows), how)[0].collect()}
+    n = np.array([got[i]["n_links"] for i in range(1200)])
+    assert (n <= links.sum(axis=1)).all() and n.sum() >= 0.95 * links.sum() > 100_000
+    lowest = np.arange(1200)
+    while True:
+        new = np.minimum(lowest, np.where(links, lowest, 1200).min(axis=1))
+        if (new == lowest).all():
+            break
+        lowest = new
+    assert [got[i]["component_id"] for i in range(1200)] == lowest.tolist()
+
+
+def test_cells_that_cannot_be_split_are_compared_in_full(spark):
+    rows = [(i, [1.0, 1e-4 * (i % 7) + 1e-6 * i], 1) for i in range(90)] + [(100, [0.0, 1.0], 1)]
+    found, recall = flat_graph.near_vectors(vectors(spark, rows), flat_graph.FlatGraph(shard=10, levels=0))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()}
+    assert got == {**{i: (89, 0) for i in range(90)}, 100: (0, 100)} and recall == 1
+
+
+def test_vectors_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(flat_graph.F, "xxhash64", lambda *c: real(F.lit(1)) if len(c) == 3 and "(label, embedding, 0)" in str(real(*c)) else real(*c))
+    rows = [(1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.01], 1)]
+    assert {r["vec_id"]: r["component_id"] for r in flat_graph.near_vectors(vectors(spark, rows))[0].collect()} == {1: 1, 2: 2, 3: 1}
+
+
 def test_an_audit_without_links_measures_nothing(spark):
     rows = [(i, v.tolist(), 1) for i, v in enumerate(np.random.default_rng(12).normal(size=(600, 16)))]
     assert flat_graph.near_vectors(vectors(spark, rows), flat_graph.FlatGraph(shard=120))[1] is None
