@@ -235,6 +235,16 @@ def _full_sets(docs: DataFrame, members: DataFrame, how: NearDuplicates, seed: i
     return rows.mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"])
 
 
+def _similar(a: np.ndarray, b: np.ndarray, how: NearDuplicates) -> bool:
+    """Whether two sets, as sorted arrays, reach the similarity."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    if 100 * len(small) < how.per_hundred * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * both >= how.per_hundred * (len(a) + len(b) - both)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame:
     """The pairs (a, b, ...) whose full sets reach the similarity."""
     names = pairs.columns
@@ -247,13 +257,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, how: NearDuplicates) -> DataFrame
                 if raw != last:
                     last, a = raw, np.frombuffer(raw, _U)
                 b = np.frombuffer(y.as_py(), _U)
-                small, large = (a, b) if len(a) <= len(b) else (b, a)
-                both = 0
-                if 100 * len(small) >= how.per_hundred * len(large):
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(100 * both >= how.per_hundred * (len(a) + len(b) - both))
+                keep.append(_similar(a, b, how))
             yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     set_a, set_b = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     rows = pairs.join(set_a, "a").join(set_b, "b").select(*names, "set_a", "set_b")
@@ -315,6 +321,7 @@ def _with_near(blocks: DataFrame, how: NearDuplicates) -> DataFrame:
             if len(out) >= 5000:
                 yield batch(out)
                 out = []
+        trim()
         yield batch(out)
 
     return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(keep, _MEMBER)
@@ -332,26 +339,16 @@ def _joining(blocks: DataFrame, how: NearDuplicates) -> DataFrame:
         for held in _groups(batches):
             near = _Near(held, how, signer)
             sets = [np.frombuffer(r["shingles"], _U) for r in held]
-            sizes = np.array([len(x) for x in sets])
-            values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-            starts = np.concatenate([[0], np.cumsum(sizes)])
-            there = np.zeros(len(values), np.int32)
             for x in range(len(held) - 1):
-                at = near.others(x)
-                if not len(at):
-                    continue
-                own = codes[starts[x] : starts[x + 1]]
-                there[own] = 1
-                common = np.add.reduceat(there[codes], starts[:-1])[at]
-                there[own] = 0
-                for y in at[100 * common >= how.per_hundred * (sizes[x] + sizes[at] - common)].tolist():
+                for y in near.others(x).tolist():
                     a, b = int(near.comps[x]), int(near.comps[y])
-                    if a != b:
+                    if a != b and _similar(sets[x], sets[y], how):
                         out.append((min(a, b), max(a, b)))
                         near.comps[near.comps == b] = a
             if len(out) >= 50_000:
                 yield pa.record_batch([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
                 out = []
+        trim()
         yield pa.record_batch([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(link, "a bigint, b bigint").distinct()
