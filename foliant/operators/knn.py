@@ -18,7 +18,11 @@ DIGITS = 9
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows (id long, embedding) as blocks of ids and of unit vectors; null, empty and zero vectors are left out."""
+    """Rows (id long, embedding) as blocks of ids and of unit vectors.
+
+    Vectors that are null, empty or zero, or hold null or non-finite components, are left out. Vectors are scaled by their
+    greatest component first, which keeps their squares in range.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -28,8 +32,10 @@ def _blocks(rows: DataFrame) -> DataFrame:
                     by_size.setdefault(len(v), []).append((i, v))
             for dim, held in by_size.items():
                 ids, data = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], np.float64)
-                length = np.sqrt((data * data).sum(axis=1))
-                ids, data = ids[length > 0], data[length > 0] / length[length > 0, None]
+                most = np.abs(data).max(axis=1)
+                usable = np.isfinite(most) & (most > 0)
+                ids, data = ids[usable], data[usable] / most[usable, None]
+                data /= np.sqrt((data * data).sum(axis=1, keepdims=True))
                 for at in range(0, len(ids), ROWS):
                     yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([ids[at : at + ROWS].tobytes()]), pa.array([data[at : at + ROWS].tobytes()])], names=["dim", "ids", "data"])
 
@@ -56,7 +62,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, where: Mapping[str
     ``queries`` has query_id and embedding, ``vectors`` vec_id, embedding and what ``where`` compares for equality;
     that filter reaches the scan. A task holds a bounded number of queries against
     one partition of vectors, block by block; a task returns k rows for each query, so that only these are exchanged.
-    A query whose vector is null or zero, or has another length than the stored ones, has no results.
+    A query whose vector is null or zero, is not finite, or has another length than the stored ones, has no results.
     """
     for name, value in (where or {}).items():
         vectors = vectors.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))

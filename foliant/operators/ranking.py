@@ -29,7 +29,11 @@ def retrieved(hits: DataFrame, payload: DataFrame) -> DataFrame:
 
 def lexical_score(question: Column, content: Column) -> Column:
     """The share of the question's key terms in the first characters of the document; neutral without key terms."""
-    asked = key_terms(question)
+    return terms_score(key_terms(question), content)
+
+
+def terms_score(asked: Column, content: Column) -> Column:
+    """``lexical_score`` of a question whose key terms are known, which spares them for each candidate."""
     shared = F.size(F.array_intersect(asked, key_terms(F.substring(content, 1, SCORED_CHARS))))
     return F.coalesce(F.try_divide(shared, F.size(asked)), F.lit(NEUTRAL))
 

@@ -303,7 +303,7 @@ rows AS (SELECT doc_id, unnest(f.done) AS r FROM folded) SELECT doc_id, r.i AS i
 }
 _EVALUATED = f"""{_METRICS}, stats AS (SELECT query_id, avg(score) AS avg_score FROM hits GROUP BY query_id),
 ctx AS (SELECT h.query_id, string_agg(coalesce(d.text, ''), ' ' ORDER BY h.rank) AS context FROM hits h LEFT JOIN documents d ON d.doc_id = h.vec_id JOIN documents q ON q.doc_id = h.query_id GROUP BY h.query_id),
-runs AS (SELECT q.doc_id AS query_id, substring(q.text, 1, 300) AS answer FROM documents q JOIN embeddings e ON e.vec_id = q.doc_id),
+runs AS (SELECT q.doc_id AS query_id, q.text AS answer FROM documents q JOIN embeddings e ON e.vec_id = q.doc_id),
 both_ AS (SELECT query_id, answer, context FROM runs JOIN ctx USING (query_id) WHERE answer <> ''), {_generation('both_', 'query_id')},
 flat AS (SELECT r.query_id, m.recall_at_k::DOUBLE AS recall_at_k, m.precision_at_k::DOUBLE AS precision_at_k, m.hit_rate, m.mrr, s.avg_score, g.faithfulness_score::DOUBLE AS faithfulness_score, g.context_coverage::DOUBLE AS context_coverage, g.hallucination_risk::DOUBLE AS hallucination_risk, g.context_utilization_ratio::DOUBLE AS context_utilization_ratio
   FROM runs r LEFT JOIN metrics m USING (query_id) LEFT JOIN stats s USING (query_id) LEFT JOIN ratios g USING (query_id))"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -34,9 +35,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new path in the folder that all executors share; a temporary one only where none is set."""
+    """A new path in the folder that all executors share; a temporary one only where none is set and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex}"
@@ -111,13 +114,15 @@ def semantic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- retrieval metrics and ranking --------------------------------------------------------------------
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Rankings by cosine, and as relevant the other vectors of the query's label."""
+def _judged(spark: SparkSession, sf_dir: str, ranked: DataFrame | None = None, k: int = 5) -> DataFrame:
+    """Metrics of rankings (query_id, rank, id), by cosine if none are given; relevant are the other vectors of the query's label."""
     labels = _table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    ranked = _nearest(spark, sf_dir).select("query_id", "rank", F.col("vec_id").alias("id"), "score")
-    other = labels.select(F.col("vec_id").alias("id"), "label")
-    truth = labels.select(F.col("vec_id").alias("query_id"), "label").join(other, "label").where("id <> query_id").select("query_id", "id")
-    return ranked, truth
+    if ranked is None:
+        ranked = _nearest(spark, sf_dir).select("query_id", "rank", F.col("vec_id").alias("id"))
+    own, other = (labels.select(F.col("vec_id").alias(x), F.col("label").alias(f"_{x}")) for x in ("query_id", "id"))
+    flagged = ranked.join(own, "query_id").join(other, "id", "left").withColumn("relevant", F.col("_query_id") == F.col("_id"))
+    size = labels.groupBy(F.col("label").alias("_query_id")).agg((F.count(F.lit(1)) - 1).alias("num_relevant"))
+    return ret.flagged_metrics(flagged, own.join(size, "_query_id").select("query_id", "num_relevant"), k)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -126,12 +131,12 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 @query
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ret.table_metrics(*_judged(spark, sf_dir), 5), *ret.METRICS)
+    return _rounded(_judged(spark, sf_dir), *ret.METRICS)
 
 
 @query
 def retrieval_metrics_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ret.averages(ret.table_metrics(*_judged(spark, sf_dir), 5)), *ret.METRICS)
+    return _rounded(ret.averages(_judged(spark, sf_dir)), *ret.METRICS)
 
 
 @query
@@ -140,21 +145,25 @@ def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Retrieved documents with the query's own text as the question."""
-    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    """Retrieved documents with the query's own text as the question; its key terms are made once, not for each document."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"), terms.key_terms("text").alias("asked"))
     return _retrieved(spark, sf_dir).join(docs, "query_id")
 
 
+def _lexical() -> Column:
+    return ranking.terms_score(F.col("asked"), F.col("content"))
+
+
 @query
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = ranking.reranked(_asked(spark, sf_dir), top_k=3, min_score=0.05)
+    best = ranking.reranked(_asked(spark, sf_dir), top_k=3, min_score=0.05, score=_lexical())
     return best.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("rerank_score", 9).alias("rerank_score"))
 
 
 @query
 def rerank_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _asked(spark, sf_dir)
-    found = ret.rerank_impact(docs.select("query_id", "rank", "id"), ranking.reranked(docs, top_k=3).select("query_id", "rank", "id"))
+    found = ret.rerank_impact(docs.select("query_id", "rank", "id"), ranking.reranked(docs, top_k=3, score=_lexical()).select("query_id", "rank", "id"))
     return found.withColumn("overlap_ratio", F.round("overlap_ratio", 9))
 
 
@@ -337,10 +346,9 @@ def generation_metrics_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _asked(spark, sf_dir).select("query_id", "rank", "id", "content", "score")
-    answers = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("question"), F.substring("text", 1, 300).alias("answer"))
+    answers = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("source").alias("question"), F.col("text").alias("answer"))
     runs = answers.join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id")), "query_id")
-    _, truth = _judged(spark, sf_dir)
-    return evaluation.evaluate(runs, docs, truth)
+    return evaluation.evaluate(runs, docs, judged=_judged(spark, sf_dir, docs.select("query_id", "rank", "id")))
 
 
 @query
