@@ -70,7 +70,7 @@ class Engine:
         rows = docs if "file_path" in docs.columns else docs.withColumn("file_path", F.lit(""))
         made = chunking.chunk_rows(
             rows.where(~is_blank("text")).select("text", "source", "file_path"),
-            strategy=s.chunking, size=s.chunk_size, overlap=s.chunk_overlap, embed=self.embedder.embed, semantic=chunking.Semantic(s.similarity, s.chunk_min, s.chunk_max),
+            strategy=s.chunking, size=s.chunk_size, overlap=s.chunk_overlap, embed_all=self.embedder.embed_all, semantic=chunking.Semantic(s.similarity, s.chunk_min, s.chunk_max),
         )
         return metadata.enriched(made).withColumn("embedding", self.embedder.embed(F.col("chunk_text")))
 

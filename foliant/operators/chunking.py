@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.sentences import pattern_sentences, sentences
 from foliant.functions.text import let, strip, text_column, tokens
-from foliant.functions.vectors import cosine
+from foliant.functions.vectors import cosine, neighbour_cosines
 
 # Where the recursive strategy cuts, in order of preference.
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
@@ -192,11 +192,28 @@ def fallback_chunks(text: Column | str, how: Semantic = Semantic()) -> Column:
 
 def segments(items: Column, vectors: Column, threshold: float) -> Column:
     """Runs of neighbouring items joined by spaces; a run ends where the cosine of two neighbours is under the threshold."""
-    cut = lambda vs, i: (i > 0) & (cosine(F.get(vs, i - 1), F.get(vs, i)) < threshold)
-    marked = let(vectors, lambda vs: F.transform(items, lambda s, i: F.when(cut(vs, i), F.concat(F.lit(_MARK), s)).otherwise(s)))
+    alike = let(vectors, lambda vs: F.transform(vs, lambda v, i: F.when(i == 0, F.lit(0.0)).otherwise(cosine(F.get(vs, i - 1), v))))
+    return segments_by(items, alike, threshold)
+
+
+def segments_by(items: Column, alike: Column, threshold: float) -> Column:
+    """``segments`` of items whose likeness with the one before is known."""
+    cut = lambda a, i: (i > 0) & (F.get(a, i) < threshold)
+    marked = let(alike, lambda a: F.transform(items, lambda s, i: F.when(cut(a, i), F.concat(F.lit(_MARK), s)).otherwise(s)))
     return F.filter(F.transform(F.split(F.array_join(marked, " "), f" ?{_MARK}", -1), strip), lambda c: c != "")
 
 
+def _by_meaning(t: Column, runs: Column, unknown: Column, how: Semantic) -> Column:
+    """Chunks of a text from its runs of like sentences; the fallback where the vector of one is not known."""
+
+    def bounded(c: Column) -> Column:
+        some = lambda own: F.when(F.size(own) <= 1, by_words(c, how.most)).otherwise(grouped(own, how.most))
+        return F.when(F.length(c) <= how.most, F.array(c)).otherwise(let(long_sentences(c), some))
+
+    parts = merged_small(F.flatten(F.transform(runs, bounded)), how.least, how.most)
+    return F.when(unknown, fallback_chunks(t, how)).otherwise(parts)
+
+
 def semantic_chunks(text: Column | str, embed: Callable[[Column], Column] | None, how: Semantic = Semantic()) -> Column:
     """Chunks that end where neighbouring sentences differ in meaning; ``embed`` makes a vector Column of a text Column.
 
@@ -204,25 +221,33 @@ def semantic_chunks(text: Column | str, embed: Callable[[Column], Column] | None
     """
     how = how.fixed()
 
-    def bounded(c: Column) -> Column:
-        some = lambda own: F.when(F.size(own) <= 1, by_words(c, how.most)).otherwise(grouped(own, how.most))
-        return F.when(F.length(c) <= how.most, F.array(c)).otherwise(let(long_sentences(c), some))
-
-    def by_vectors(t: Column, items: Column, vectors: Column) -> Column:
-        runs = segments(items, vectors, how.threshold)
-        parts = merged_small(F.flatten(F.transform(runs, bounded)), how.least, how.most)
-        return F.when(F.exists(vectors, lambda v: v.isNull()), fallback_chunks(t, how)).otherwise(parts)
-
     def by_meaning(t: Column) -> Column:
         if embed is None:
             return fallback_chunks(t, how)
-        some = lambda items: F.when(F.size(items) <= 2, F.array(t)).otherwise(let(F.transform(items, embed), lambda vs: by_vectors(t, items, vs)))
+        some = lambda items: F.when(F.size(items) <= 2, F.array(t)).otherwise(let(F.transform(items, embed), lambda vs: _by_meaning(t, segments(items, vs, how.threshold), F.exists(vs, lambda v: v.isNull()), how)))
         return let(long_sentences(t), some)
 
     whole = lambda t: F.when(t == "", _empty()).when(F.length(t) <= how.most, F.array(t)).otherwise(by_meaning(t))
     return let(strip(F.coalesce(text_column(text), F.lit(""))), whole)
 
 
+def semantic_table(docs: DataFrame, text: str, embed_all: Callable[[Column], Column], how: Semantic = Semantic()) -> DataFrame:
+    """``docs`` with _chunks, as ``semantic_chunks`` makes them; ``embed_all`` makes an array of vectors of an array of texts.
+
+    The sentences of a text are embedded together, in its own row, so that the provider may be a Python function with a
+    client, and nothing is exchanged. Only texts that are cut by meaning have sentences to embed.
+    """
+    how, none = how.fixed(), F.array().cast("array<string>")
+    t, items, alike = F.col("_t"), F.col("_items"), F.col("_alike")
+    rows = docs.withColumn("_t", strip(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn("_items", F.when(F.length("_t") > how.most, long_sentences(t)).otherwise(none))
+    rows = rows.withColumn("_alike", neighbour_cosines(embed_all(F.when(F.size("_items") > 2, items).otherwise(none))))
+    chunks = F.when(t == "", _empty()).when((F.length("_t") <= how.most) | (F.size("_items") <= 2), F.array(t)).otherwise(
+        _by_meaning(t, segments_by(items, alike, how.threshold), F.exists(alike, lambda a: a.isNull()), how)
+    )
+    return rows.withColumn("_chunks", chunks).drop("_t", "_items", "_alike")
+
+
 def chunk_column(text: Column | str, strategy: str = "recursive", size: int = 512, overlap: int = 50, embed: Callable[[Column], Column] | None = None, semantic: Semantic | None = None) -> Column:
     """Chunks by the named strategy: semantic, sentence, or recursive, which any other name means too."""
     if strategy == "semantic":
@@ -246,8 +271,14 @@ def with_offsets(text: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, start, step, lambda s: s["done"])
 
 
-def chunk_rows(docs: DataFrame, text: str = "text", **how) -> DataFrame:
-    """One row for each chunk, with the columns of ``docs`` but the text: chunk_text, chunk_index, total_chunks."""
+def chunk_rows(docs: DataFrame, text: str = "text", embed_all: Callable[[Column], Column] | None = None, **how) -> DataFrame:
+    """One row for each chunk, with the columns of ``docs`` but the text: chunk_text, chunk_index, total_chunks.
+
+    The semantic strategy takes ``embed_all`` where it is given; see ``semantic_table``.
+    """
     rest = [c for c in docs.columns if c != text]
-    made = docs.select(*rest, chunk_column(F.col(text), **how).alias("_chunks"))
+    if embed_all is not None and how.get("strategy") == "semantic":
+        made = semantic_table(docs, text, embed_all, how.get("semantic") or Semantic())
+    else:
+        made = docs.select(*rest, chunk_column(F.col(text), **how).alias("_chunks"))
     return made.select(*rest, F.size("_chunks").alias("total_chunks"), F.posexplode("_chunks").alias("chunk_index", "chunk_text"))

@@ -200,7 +200,7 @@ def _by_words(w: str, most: int) -> str:
     return _bound("v", _packed(w, most, "v"), _closed("v"))
 
 
-def _semantic(least: int, most: int, threshold: float | None, dims: int = 16) -> str:
+def _semantic(least: int, most: int, threshold: float | None, dims: int = 256) -> str:
     """The fallback strategy, or with a threshold the semantic one over hashed term vectors."""
     whole = f"CASE WHEN length(t) <= {most} THEN CASE WHEN t = '' THEN [] ELSE [t] END"
     fallback = f"CASE WHEN len(q) = 0 THEN {_by_words(_tokens('t'), most)} ELSE {_merged(_grouped('q', most), least, most)} END"

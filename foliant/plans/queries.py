@@ -248,8 +248,9 @@ def chunk_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The semantic strategy with the local embedding; small vectors keep the comparison of all sentences cheap."""
-    return _text_query(lambda t: chunking.semantic_chunks(t, HashedTerms(16).embed))(spark, sf_dir)
+    """The semantic strategy with the local embedding."""
+    made = chunking.semantic_table(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", HashedTerms().embed_all)
+    return made.select("doc_id", F.size("_chunks").cast("long").alias("n"), _digest(F.col("_chunks")).alias("items_md5"))
 
 
 @query
