@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from foliant.config import Settings
 from foliant.functions.text import is_blank
-from foliant.operators import chunking, evaluation, generation, metadata, ranking
-from foliant.operators.collection import Store, tenant_collection
+from foliant.operators import chunking, collection, evaluation, generation, metadata, ranking
+from foliant.operators.collection import tenant_collection
 from foliant.providers import answering, embedding
 from foliant.sources import files
 
@@ -26,16 +26,17 @@ DEMO = (
 class Engine:
     """Holds settings, providers and the store; arguments win over settings."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, embedder=None, answerer=None, scorer=None, **settings) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, embedder=None, answerer=None, scorer=None, recognizer: files.PageParser | None = None, **settings) -> None:
         self.spark = spark
         self.settings = Settings.of(spark, store_root=root, **settings)
         s = self.settings
         self.embedder = embedder or embedding.create(s.embedding_provider, dimension=s.dimension)
         self.answerer = answerer or answering.create_answer(s.answer_provider)
         self.scorer = scorer or (answering.create_scorer(s.reranker) if s.reranking else None)
+        self.recognizer = recognizer if s.ocr else None
         if not s.store_root:
             raise ValueError("a root for collections is needed: root=... or foliant.store_root")
-        self.store = Store(spark, s.store_root)
+        self.store = collection.create(s.store_provider, spark, s.store_root)
         self.store.create(s.collection, self.embedder.dimension())
         if s.seed_demo and self.store.count(s.collection) == 0:
             self.ingest(self.demo())
@@ -58,7 +59,7 @@ class Engine:
         if parser is None:
             parts.append(pdf.select("path", F.lit(None).cast("string").alias("text"), F.lit("no PDF parser is configured").alias("error")))
         else:
-            parts.append(files.pdf_documents(pdf, parser).select("path", "text", "error"))
+            parts.append(files.pdf_documents(pdf, parser, recognizer=self.recognizer).select("path", "text", "error"))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -75,19 +76,24 @@ class Engine:
         return metadata.enriched(made).withColumn("embedding", self.embedder.embed(F.col("chunk_text")))
 
     def ingest(self, docs: DataFrame, tenant: str | None = None, mode: str = "merge") -> DataFrame:
-        """Chunks, embeds and stores documents; one row for each with success, chunk_count, document_id and error."""
+        """Chunks, embeds and stores documents; one row for each with success, chunk_count, document_id and error.
+
+        Chunks and their vectors are made once. A chunk without a vector, as after failed calls of a remote provider, is not
+        stored, and its document has an error.
+        """
         name = tenant_collection(tenant) if tenant else self.settings.collection
         self.store.create(name, self.embedder.dimension())
-        made = self.chunks(docs)
+        made = self.store.staged(self.chunks(docs))
         keep = ("source", "file_path", "document_id", "chunk_index", "total_chunks", "char_count", "word_count", "ingested_at", "system")
         points = made.where("embedding is not null").select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text"), "embedding", metadata.storable(made, *keep).alias("metadata"))
         stored = self.store.upsert(name, points, mode)
-        counts = made.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"))
+        counts = made.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.count_if(F.col("embedding").isNull()).alias("_lost"))
         path = F.col("file_path") if "file_path" in docs.columns else F.lit("")
         error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
         rows = docs.select(F.col("source").alias("document_name"), metadata.document_id(F.col("source"), path).alias("document_id"), error.alias("_e"), is_blank("text").alias("_b"))
         rows = rows.join(counts, "document_id", "left")
-        problem = F.coalesce("_e", F.when(F.col("_b"), F.lit("no text"))) if stored else F.lit("the collection refused the vectors")
+        lost = F.when(F.col("_lost") > 0, F.concat(F.col("_lost").cast("string"), F.lit(" chunks have no vector")))
+        problem = F.coalesce("_e", F.when(F.col("_b"), F.lit("no text")), lost) if stored else F.lit("the collection refused the vectors")
         return rows.select("document_name", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "document_id", problem.alias("error"), problem.isNull().alias("success"))
 
     # -- questions
@@ -132,6 +138,8 @@ class Engine:
         s = self.settings
         docs = answers.select("query_id", F.inline("docs"))
         made = evaluation.evaluate(answers, docs, truth, evaluation.Evaluation(s.evaluation, s.evaluation_k))
+        if s.evaluation and (s.evaluation_history or s.evaluation_log):
+            made = self.store.staged(made)
         if s.evaluation and s.evaluation_history:
             self.history().add(made)
         if s.evaluation and s.evaluation_log:

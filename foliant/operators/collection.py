@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,28 @@ def tenant_collection(tenant: str) -> str:
     return f"rag_{tenant}"
 
 
+class VectorStore(Protocol):
+    """What the engine asks of a store of collections."""
+
+    def create(self, name: str, dimension: int) -> bool: ...
+
+    def exists(self, name: str) -> bool: ...
+
+    def drop(self, name: str) -> bool: ...
+
+    def read(self, name: str) -> DataFrame: ...
+
+    def upsert(self, name: str, points: DataFrame, mode: str = "merge") -> bool: ...
+
+    def delete(self, name: str, doc_ids: DataFrame) -> bool: ...
+
+    def count(self, name: str) -> int: ...
+
+    def info(self, name: str) -> DataFrame: ...
+
+    def search(self, name: str, queries: DataFrame, top_k: int = 5, where: dict | None = None) -> DataFrame: ...
+
+
 @dataclass
 class Store:
     """Collections under ``root``, which may be in any store that Spark reads.
@@ -88,24 +112,37 @@ class Store:
         return self.spark.read.schema(SCHEMA).parquet(f"{self._folder(name)}/{info['version']}")
 
     def _write(self, name: str, points: DataFrame, info: dict) -> None:
+        """A new current version; the one before stays for readers that have planned with it, and goes with the next write."""
         version = f"version={uuid.uuid4().hex}"
         points.write.parquet(f"{self._folder(name)}/{version}")
-        old = info["version"]
-        self._set_info(name, info | {"version": version})
-        if old:
-            fs, path = self._fs(f"{self._folder(name)}/{old}")
-            fs.delete(path, True)
+        oldest = info.get("previous")
+        self._set_info(name, info | {"version": version, "previous": info["version"]})
+        if oldest:
+            self._delete(f"{self._folder(name)}/{oldest}")
+
+    def _delete(self, at: str) -> None:
+        fs, path = self._fs(at)
+        fs.delete(path, True)
+
+    def staged(self, df: DataFrame) -> DataFrame:
+        """``df`` written once and read again, so that what it costs, as embeddings do, is paid once; gone when the driver ends."""
+        at = f"{self.root.rstrip('/')}/staging/{uuid.uuid4().hex}"
+        df.write.parquet(at)
+        fs, path = self._fs(at)
+        fs.deleteOnExit(path)
+        return self.spark.read.schema(df.schema).parquet(at)
 
     def upsert(self, name: str, points: DataFrame, mode: str = "merge") -> bool:
         """Adds points (doc_id, text, embedding, metadata), all or none.
 
         False if the collection is missing or a vector has another dimension. ``append`` gives each point a new id
-        and keeps all; ``merge`` replaces points with the same doc_id, the last of repeated ones by text winning.
+        and keeps all; ``merge`` replaces points with the same doc_id, the last of repeated ones by text, vector and
+        metadata winning. ``points`` is computed once: it is written beside the collection before it is looked at.
         """
         info = self._info(name)
         if info is None:
             return False
-        rows = points.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")).alias("metadata"))
+        rows = self.staged(points.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")).alias("metadata")))
         wrong = F.col("embedding").isNull() | (F.size("embedding") != info["dimension"])
         if rows.agg(F.count_if(wrong).alias("n")).first()["n"]:
             return False
@@ -116,7 +153,8 @@ class Store:
             else:
                 self._write(name, rows, info)
             return True
-        last = rows.groupBy("doc_id").agg(F.max_by(F.struct("point_id", "text", "embedding", "metadata"), F.coalesce("text", F.lit(""))).alias("_p")).select("_p.point_id", "doc_id", "_p.text", "_p.embedding", "_p.metadata")
+        item = F.struct(F.coalesce("text", F.lit("")).alias("_t"), "text", "embedding", F.array_sort(F.map_entries("metadata")).alias("_m"), "point_id")
+        last = rows.groupBy("doc_id").agg(F.max(item).alias("_p")).select("_p.point_id", "doc_id", "_p.text", "_p.embedding", F.map_from_entries("_p._m").alias("metadata"))
         kept = self.read(name).join(last.select("doc_id"), "doc_id", "left_anti").select(*last.columns)
         self._write(name, kept.unionByName(last), info)
         return True
@@ -151,3 +189,17 @@ class Store:
         points = points.withColumn("vec_id", F.xxhash64("point_id"))
         hits = knn.top_k(queries, points.select("vec_id", "embedding"), top_k)
         return hits.join(points.select("vec_id", "doc_id", "text", "metadata"), "vec_id").select("query_id", "rank", F.col("doc_id").alias("id"), "score", "text", "metadata")
+
+
+_STORES: dict[str, Callable[[SparkSession, str], VectorStore]] = {"parquet": Store}
+
+
+def register(name: str, factory: Callable[[SparkSession, str], VectorStore]) -> None:
+    _STORES[name] = factory
+
+
+def create(provider: str, spark: SparkSession, root: str) -> VectorStore:
+    """A store of collections under ``root`` by the name of its provider."""
+    if provider not in _STORES:
+        raise ValueError(f"unknown store provider {provider!r}; there are {sorted(_STORES)}")
+    return _STORES[provider](spark, root)

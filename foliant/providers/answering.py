@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,6 +15,9 @@ from foliant.operators.generation import context_block, extractive_answer, promp
 from foliant.operators.ranking import lexical_score, parsed_scores
 
 
+logger = logging.getLogger("foliant.answering")
+
+
 class AnswerProvider(Protocol):
     name: str
 
@@ -29,23 +34,31 @@ class Extractive:
 
 
 class RemoteAnswer:
-    """Answers of a client that takes (system prompt, message); one client for each task, a failure gives null."""
+    """Answers of a client that takes (system prompt, message); one client for each task.
+
+    A call that fails is repeated, with twice the wait each time; one that fails ``attempts`` times or gives an empty
+    answer gives null, and the job goes on. Timeouts are the client's.
+    """
 
-    def __init__(self, client: Callable[[], Callable[[str, str], str]], system: str = "Answer from the context.", name: str = "remote") -> None:
-        self.name, self._client, self._system = name, client, system
+    def __init__(self, client: Callable[[], Callable[[str, str], str]], system: str = "Answer from the context.", name: str = "remote", attempts: int = 3, wait: float = 1.0) -> None:
+        self.name, self._client, self._system, self._attempts, self._wait = name, client, system, attempts, wait
 
     def generate(self, message: Column) -> Column:
-        make, system = self._client, self._system
+        make, system, attempts, wait = self._client, self._system, self._attempts, self._wait
 
         @F.pandas_udf("string")
         def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             client = make()
 
             def one(text: str | None) -> str | None:
-                try:
-                    return client(system, text) or None if text is not None else None
-                except Exception:  # a failed call is a row without an answer
-                    return None
+                for attempt in range(attempts if text is not None else 0):
+                    if attempt:
+                        time.sleep(wait * 2 ** (attempt - 1))
+                    try:
+                        return (client(system, text) or "").strip() or None
+                    except Exception as e:  # a call that keeps failing is a row without an answer
+                        logger.warning("answer failed: %s", e)
+                return None
 
             for texts in batches:
                 yield texts.map(one)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import logging
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from foliant.functions.html import page_text, title
 from foliant.functions.text import Normalization, normalized, strip
 
+logger = logging.getLogger("foliant.sources")
 # Extensions by reader; a later reader wins.
 EXTENSIONS = {
     "text": (".txt", ".text", ".md", ".markdown"),
@@ -167,19 +169,34 @@ def is_scanned(pages: Column) -> Column:
 PageParser = Callable[[bytes], list[str]]
 
 
-def pdf_documents(files: DataFrame, parser: PageParser, how: Normalization | None = None) -> DataFrame:
-    """PDF files (path, content) through a parser of bytes to page texts, as text and page figures."""
+def _needs_recognition(pages: list[str | None]) -> bool:
+    return sum(len((p or "").strip()) >= PAGE_CHARS for p in pages) < TEXT_RATIO * len(pages) or not pages
+
+
+def pdf_documents(files: DataFrame, parser: PageParser, how: Normalization | None = None, recognizer: PageParser | None = None) -> DataFrame:
+    """PDF files (path, content) through a parser of bytes to page texts, as text and page figures.
+
+    Where fewer pages than ``TEXT_RATIO`` are text pages, ``recognizer`` is asked for the pages instead, if there is one;
+    its texts are normalized as scans are. A recognizer that fails leaves the pages of the parser.
+    """
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for path, content in zip(frame["path"], frame["content"], strict=True):
                 try:
-                    rows.append((path, parser(content), None))
+                    found, scanned = parser(content), False
+                    if recognizer is not None and _needs_recognition(found):
+                        try:
+                            found, scanned = recognizer(content), True
+                        except Exception as e:  # what the parser found is kept
+                            logger.warning("recognition of %s failed: %s", path, e)
+                    rows.append((path, found, scanned, None))
                 except Exception as e:  # a broken file is a row with an error
-                    rows.append((path, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "pages", "error"])
+                    rows.append((path, None, False, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "pages", "recognized", "error"])
 
-    pages = files.select("path", "content").mapInPandas(parse, "path string, pages array<string>, error string")
-    text = F.when(F.col("error").isNull(), pdf_text(F.col("pages"), how))
-    return pages.select("path", F.lit("pdf").alias("file_type"), text.alias("text"), F.size("pages").alias("page_count"), F.bround(text_ratio(F.col("pages")), 2).alias("text_extraction_ratio"), is_scanned(F.col("pages")).alias("scanned"), "error")
+    pages = files.select("path", "content").mapInPandas(parse, "path string, pages array<string>, recognized boolean, error string")
+    text = F.when(F.col("recognized"), pdf_text(F.col("pages"), how or Normalization.for_files(scanned=True))).otherwise(pdf_text(F.col("pages"), how))
+    text = F.when(F.col("error").isNull(), text)
+    return pages.select("path", F.lit("pdf").alias("file_type"), text.alias("text"), "recognized", F.size("pages").alias("page_count"), F.bround(text_ratio(F.col("pages")), 2).alias("text_extraction_ratio"), is_scanned(F.col("pages")).alias("scanned"), "error")
