@@ -37,7 +37,7 @@ def extractive_answer(question: Column, docs: Column) -> Column:
 
 def listed_answer(docs: Column) -> Column:
     """A fixed answer that lists documents of struct(rank, id, source, score), scores with four places."""
-    line = lambda d, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), F.coalesce(d["id"].cast("string"), F.lit("unknown")), F.lit(" (score: "), F.coalesce(F.format_string("%.4f", d["score"]), F.lit("N/A")), F.lit(") from "), F.coalesce(d["source"], F.lit("unknown")))
+    line = lambda d, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), F.coalesce(d["id"].cast("string"), F.lit("unknown")), F.lit(" (score: "), F.when(d["score"].isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", d["score"])), F.lit(") from "), F.coalesce(d["source"], F.lit("unknown")))
     lines = F.when(F.size(docs) > 0, F.array_join(F.transform(docs, line), "\n")).otherwise(F.lit("  No documents retrieved"))
     return F.concat(F.lit("Based on "), F.size(docs).cast("string"), F.lit(" retrieved documents:\n"), lines)
 

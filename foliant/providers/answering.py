@@ -57,7 +57,7 @@ class RemoteAnswer:
                     try:
                         return (client(system, text) or "").strip() or None
                     except Exception as e:  # a call that keeps failing is a row without an answer
-                        logger.warning("answer failed: %s", e)
+                        logger.info("answer failed: %s", e)
                 return None
 
             for texts in batches:
