@@ -17,9 +17,11 @@ import regex
 
 _U = np.uint64
 #: Pre-tokens, and ids and code points of them, kept by one Python worker before it starts afresh.
-MEMO, MEMO_IDS, MEMO_POINTS = 600_000, 6_000_000, 12_000_000
+MEMO, MEMO_IDS, MEMO_POINTS = 1_000_000, 10_000_000, 16_000_000
+#: Pre-tokens are looked up first in a table of so many places, where a later one displaces an earlier one.
+SLOTS = 21
 #: Code points handled at once, and of a text that are at most handled as one part.
-STEP = 500_000
+STEP = 700_000
 #: Classes of code points. What stands between texts is of the last one.
 OTHER, LETTER, NUMBER, SPACE, BETWEEN = range(5)
 _BETWEEN_POINT = 0x10FFFF + 1
@@ -119,6 +121,7 @@ class Encoder:
     def _forget(self) -> None:
         # Hashes of the known pre-tokens in order, and beside them where their ids are.
         self.keys, self.rows = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.slot_keys, self.slot_rows = np.zeros(1 << SLOTS, _U), np.zeros(1 << SLOTS, np.int32)
         self.ids, self.offsets = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.points, self.begins = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
         self.n = 0
@@ -214,18 +217,25 @@ class Encoder:
         np.cumsum((points + _U(1)) * up[: len(points)], out=sums[1:])
         sizes = end - begin
         keys = (sums[end] - sums[begin]) * down[begin] + sizes.astype(_U) * _U(0xD1B54A32D192ED03)
-        values, first, which = np.unique(keys, return_index=True, return_inverse=True)
         if self.n > MEMO or self.offsets[self.n] > MEMO_IDS or self.begins[self.n] > MEMO_POINTS:
             self._forget()
-        at = np.searchsorted(self.keys, values)
-        known = np.zeros(len(values), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == values[inside]
-        new = first[~known]
-        spans = zip(begin[new].tolist(), end[new].tolist(), strict=True)
-        pieces = ["" if points[a] == _BETWEEN_POINT else joined[a:b] for a, b in spans]
-        self._learn(values[~known], pieces, points[_ranges(begin[new], sizes[new])], sizes[new])
-        row = self.rows[np.searchsorted(self.keys, values)][which]
+        slot = keys >> _U(64 - SLOTS)
+        row = self.slot_rows.take(slot).astype(np.int64)
+        missed = np.flatnonzero(self.slot_keys.take(slot) != keys)
+        if len(missed):
+            values, first, which = np.unique(keys[missed], return_index=True, return_inverse=True)
+            at = np.searchsorted(self.keys, values)
+            known = np.zeros(len(values), bool)
+            inside = at < len(self.keys)
+            known[inside] = self.keys[at[inside]] == values[inside]
+            new = missed[first[~known]]
+            spans = zip(begin[new].tolist(), end[new].tolist(), strict=True)
+            pieces = ["" if points[a] == _BETWEEN_POINT else joined[a:b] for a, b in spans]
+            self._learn(values[~known], pieces, points[_ranges(begin[new], sizes[new])], sizes[new])
+            found = self.rows[np.searchsorted(self.keys, values)]
+            row[missed] = found[which]
+            slot = values >> _U(64 - SLOTS)
+            self.slot_keys[slot], self.slot_rows[slot] = values, found
         same = np.array_equal(self.begins[row + 1] - self.begins[row], sizes)
         if same:
             places = np.repeat(self.begins[row] - begin, sizes)
