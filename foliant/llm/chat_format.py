@@ -32,6 +32,37 @@ def unescape(text: Column) -> Column:
     return F.replace(F.replace(text, _lit("<\\|"), _lit("<|")), _lit("\\\\"), _lit("\\"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: inside a lambda an expression is computed for each element."""
+    return F.get(F.transform(F.array(value), body), _lit(0))
+
+
+#: Elements whose running sums are made by appending; longer arrays go in slices of this length.
+SLICE = 512
+
+
+def _appended(lengths: Column, start: Column, gap: int) -> Column:
+    return F.aggregate(lengths, F.array(start), lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n + gap)))
+
+
+def running_sums(lengths: Column, gap: int = 0) -> Column:
+    """The sums of all elements before each one, ``gap`` added for each of these; as many as there are elements.
+
+    Appending copies an array for each element, so that sums are made slice by slice, from a first pass over the slices' totals.
+    """
+
+    def sliced(every: Column) -> Column:
+        count = F.ceil(F.size(every) / SLICE).cast("int")
+        slices = F.transform(F.sequence(_lit(0), count - 1), lambda i: F.slice(every, i * SLICE + 1, F.lit(SLICE)))
+        totals = lambda parts: F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), lambda a, n: a + n + gap))
+        starts = lambda parts: _appended(totals(parts), F.lit(0).cast("long"), 0)
+        inside = lambda p, start: F.slice(_appended(p, start, gap), F.lit(1), F.size(p))
+        of = lambda parts: _let(starts(parts), lambda at: F.flatten(F.transform(parts, lambda p, i: inside(p, F.get(at, i)))))
+        return F.when(F.size(every) == 0, F.array().cast("array<bigint>")).otherwise(_let(slices, of))
+
+    return _let(F.transform(lengths, lambda n: n.cast("long")), sliced)
+
+
 def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """(conv_id, formatted, loss_spans) with one row per conversation.
 
@@ -53,40 +84,30 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("_turn")).alias("_turns"))
     safe = F.transform(
         "_turns",
-        lambda t: F.struct(t["role"].alias("role"), F.array(escape(t["text"])).alias("texts")),
+        lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("text")),
     )
-    # Runs of one role: the last block is extended or a new one appended.
-    merged = F.aggregate(
-        safe,
-        F.slice(safe, 1, 0),
-        lambda done, t: F.when(
-            (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == t["role"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.struct(t["role"].alias("role"), F.concat(F.try_element_at(done, F.lit(-1))["texts"], t["texts"]).alias("texts"))),
-            ),
-        ).otherwise(F.concat(done, F.array(t))),
-    )
-    blocks = chats.select("conv_id", merged.alias("_blocks"))
+    # A block begins where the role is not that of the turn before, and ends where the next one begins.
+
+    def merged(turns: Column) -> Column:
+        begins = F.filter(F.transform(turns, lambda t, i: F.when((i == 0) | (F.get(turns, i - 1)["role"] != t["role"]), i)), lambda i: i.isNotNull())
+        block = lambda at: lambda i, k: F.struct(F.get(turns, i)["role"].alias("role"), F.transform(F.slice(turns, i + 1, F.coalesce(F.get(at, k + 1), F.size(turns)) - i), lambda t: t["text"]).alias("texts"))
+        return _let(begins, lambda at: F.transform(at, block(at)))
+
+    blocks = chats.select("conv_id", _let(safe, merged).alias("_blocks"))
     head = lambda b: F.concat(_lit(START), F.replace(escape(b["role"]), _lit("\n"), _lit(NL)), _lit("\n"))
     whole = lambda b: F.concat(head(b), F.array_join(b["texts"], SEP), _lit(END + "\n"))
     parts = blocks.select("conv_id", "_blocks", F.transform("_blocks", whole).alias("_parts"), F.transform("_blocks", lambda b: F.length(head(b))).alias("_heads"))
     # Offsets: running sums of the lengths of blocks, and of texts inside a block.
-    running = lambda lengths, gap: F.aggregate(
-        lengths,
-        F.array(F.lit(0)),
-        lambda at, n: F.concat(at, F.array(F.element_at(at, -1) + n + gap)),
-    )
-    parts = parts.withColumn("_at", running(F.transform("_parts", F.length), 0))
+    parts = parts.withColumn("_at", running_sums(F.transform("_parts", F.length)))
     spans = F.flatten(
         F.transform(
-            F.arrays_zip(F.col("_blocks").alias("b"), F.col("_heads").alias("h"), F.slice("_at", 1, F.size("_blocks")).alias("at")),
+            F.arrays_zip(F.col("_blocks").alias("b"), F.col("_heads").alias("h"), F.col("_at").alias("at")),
             lambda z: F.when(
                 z["b"]["role"].isin(*loss_roles),
                 F.transform(
                     F.arrays_zip(
                         z["b"]["texts"].alias("t"),
-                        F.slice(running(F.transform(z["b"]["texts"], F.length), len(SEP)), 1, F.size(z["b"]["texts"])).alias("o"),
+                        running_sums(F.transform(z["b"]["texts"], F.length), len(SEP)).alias("o"),
                     ),
                     lambda y: F.struct(
                         (z["at"] + z["h"] + y["o"]).cast("long").alias("begin"),

@@ -249,6 +249,24 @@ def test_chats_round_trip(spark):
     assert hashlib.sha256(got[77]["loss_text"].encode()).hexdigest() == hashlib.sha256(NASTY[-1].encode()).hexdigest()
 
 
+def test_running_sums(spark):
+    for n in (0, 1, chat_format.SLICE - 1, chat_format.SLICE, chat_format.SLICE + 1, 3 * chat_format.SLICE + 7):
+        lengths = [i % 11 for i in range(n)]
+        frame = spark.createDataFrame([(lengths,)], "x array<int>")
+        got = frame.select(chat_format.running_sums(F.col("x"), 3).alias("s")).first()["s"]
+        assert got == [sum(lengths[:i]) + 3 * i for i in range(n)]
+
+
+def test_a_conversation_of_many_turns(spark):
+    rng = random.Random(8)
+    turns = [(t, rng.choice(["user", "assistant"]), "x" * rng.randint(0, 5)) for t in range(20_000)]
+    frame = spark.createDataFrame([(1, *t) for t in turns], "conv_id long, turn long, role string, text string")
+    made = chat_format.format_chats(frame)
+    got = chat_format.read_chats(made).first()
+    assert [tuple(t) for t in got["turns"]] == [(r, x) for _, r, x in turns]
+    assert got["loss_text"] == "".join(x for _, r, x in turns if r == "assistant")
+
+
 def test_chats_of_nothing(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
