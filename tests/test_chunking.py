@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.functions.vectors import neighbour_cosines
 from foliant.operators import chunking
+from foliant.providers import embedding
 from foliant.providers.embedding import HashedTerms
 
 
@@ -144,3 +146,85 @@ def test_chunk_rows(spark):
     got = chunking.chunk_rows(docs, strategy="recursive", size=10, overlap=0).orderBy("chunk_index").collect()
     assert [r["chunk_text"] for r in got] == ["one two", "three", "four five"]
     assert {r["total_chunks"] for r in got} == {3}
+
+
+def topics():
+    """A text of twelve sentences about two things, long enough to be cut by meaning."""
+    cats = [f"The small cat number {i} sleeps on a warm and quiet window sill all day." for i in range(6)]
+    boats = [f"Wooden boats like vessel {i} cross the northern harbour before the morning tide." for i in range(6)]
+    return " ".join(cats + boats)
+
+
+def test_semantic_chunks_of_a_remote_provider(spark):
+    def by_topic():
+        """A client that knows cats from boats, and fails now and then."""
+        calls = []
+
+        def client(texts):
+            calls.append(list(texts))
+            assert len(texts) <= 50 and len(set(texts)) == len(texts)
+            if len(calls) % 2:
+                raise RuntimeError("try again")
+            return [[1.0, 0.0] if "cat" in t else [0.0, 1.0] for t in texts]
+
+        return client
+
+    provider = embedding.Remote(by_topic, 2, wait=0.0)
+    docs = spark.createDataFrame([(1, topics()), (2, "short"), (3, None), (4, " "), (5, topics())], "id int, text string")
+    how = chunking.Semantic(0.75, 50, 700)
+    got = {}
+    for r in chunking.chunk_rows(docs, strategy="semantic", embed_all=provider.embed_all, semantic=how).collect():
+        got.setdefault(r["id"], []).append(r["chunk_text"])
+    assert got[1] == got[5] and len(got[1]) == 2 and "boat" not in got[1][0].lower() and "cat" not in got[1][1]
+    assert got[2] == ["short"] and set(got) == {1, 2, 5}
+
+
+def test_semantic_chunks_without_vectors_fall_back(spark):
+    def client():
+        def call(texts):
+            raise RuntimeError("never")
+
+        return call
+
+    docs = spark.createDataFrame([(1, topics())], "id int, text string")
+    how = chunking.Semantic(0.75, 50, 700)
+    got = [r["chunk_text"] for r in chunking.chunk_rows(docs, strategy="semantic", embed_all=embedding.Remote(client, 2, attempts=2, wait=0.0).embed_all, semantic=how).collect()]
+    assert got == docs.select(chunking.fallback_chunks("text", how).alias("c")).first()["c"]
+
+
+def test_semantic_table_equals_the_column(spark):
+    texts = [topics(), topics()[:300], "One. Two three.", "", None, topics().replace("cat", "123 !!"), "word " * 400]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    provider = embedding.HashedTerms(32)
+    table = {r["id"]: r["_chunks"] for r in chunking.semantic_table(docs, "text", provider.embed_all).collect()}
+    column = {r["id"]: r["c"] for r in docs.select("id", chunking.semantic_chunks("text", provider.embed).alias("c")).collect()}
+    assert table == column
+
+
+def test_calls_ask_once_and_keep_order():
+    asked = []
+
+    def client(texts):
+        asked.extend(texts)
+        return [[float(len(t))] if t != "odd" else [1.0, 2.0] for t in texts]
+
+    calls = embedding.Calls(client, 1, batch=2, attempts=1, wait=0.0, remembered=3)
+    assert calls.vectors(["a", None, "bb", "a", " ", "odd", "ccc"]) == [[1.0], None, [2.0], [1.0], None, None, [3.0]]
+    assert calls.vectors(["bb", "dddd"]) == [[2.0], [4.0]] and asked == ["a", "bb", "odd", "ccc", "dddd"]
+    calls.clear()
+    assert calls.vectors(["bb"]) == [[2.0]] and asked[-1] == "bb"
+
+
+def test_neighbour_cosines(spark):
+    rows = [([[1.0, 0.0], [1.0, 1.0], [0.0, 0.0], [0.0, 2.0]],), ([[1.0], None, [2.0]],), ([],), (None,), ([[3.0, 4.0], [3.0]],)]
+    got = [r["v"] for r in spark.createDataFrame(rows, "x array<array<float>>").select(neighbour_cosines(F.col("x")).alias("v")).collect()]
+    assert got[0] == [0.0, pytest.approx(0.5**0.5), 0.0, 0.0] and got[1] == [0.0, None, None] and got[2] == [] and got[3] is None and got[4] == [0.0, pytest.approx(0.6)]
+
+
+@pytest.mark.parametrize("n", [1, 7, 256])
+def test_hashed_terms_in_both_forms(spark, n):
+    texts = ["the cat sat on the mat", "", " ", None, "éé 12 ab_c x9", "___", "Cat CAT cat ß K", "a " * 50]
+    frame = spark.createDataFrame([(texts,)], "x array<string>")
+    provider = embedding.HashedTerms(n)
+    column, table = frame.select(F.transform("x", provider.embed).alias("a"), provider.embed_all(F.col("x")).alias("b")).first()
+    assert [None if v is None else pytest.approx(v) for v in column] == table and all(v is None or len(v) == n for v in table)

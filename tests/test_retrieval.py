@@ -54,6 +54,44 @@ def test_top_k_against_brute_force(spark):
     assert {r["label"] for r in filtered.collect()} == {1}
 
 
+def test_top_k_leaves_out_what_is_not_finite(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [float("inf"), 1.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("-inf"), 0.0]), (7, [1e300, 1e300])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {}
+    for r in knn.top_k(table.withColumnRenamed("vec_id", "query_id"), table, 2, exclude_self=True).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {0: [1, 7], 1: [0, 7], 2: [7, 1], 7: [1, 0]}
+
+
+def test_flagged_metrics_equal_pairs(spark):
+    rng = np.random.default_rng(4)
+    found = [(q, r + 1, f"d{i}") for q in range(20) for r, i in enumerate(rng.permutation(12)[:6])]
+    pairs = [(q, f"d{i}") for q in range(18) for i in rng.permutation(12)[: rng.integers(0, 6)]]
+    truth = spark.createDataFrame(pairs, "query_id int, id string")
+    flagged = ranked(spark, found).join(truth.withColumn("relevant", F.lit(True)), ["query_id", "id"], "left")
+    sizes = truth.groupBy("query_id").agg(F.count(F.lit(1)).alias("num_relevant"))
+    for k in (0, 3):
+        assert sorted(map(str, ret.flagged_metrics(flagged, sizes, k).collect())) == sorted(map(str, ret.table_metrics(ranked(spark, found), truth, k).collect()))
+
+
+def test_passage_hits_against_brute_force(spark):
+    import random
+
+    from foliant.operators.passages import passage_hits
+
+    rng = random.Random(3)
+    words = ["a", "bb", "ccc", "dd", "e\n", "ff  gg"]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(0, 60)))) for i in range(80)] + [(80, None), (81, "")]
+    passages = []
+    for i in range(60):
+        text = rng.choice(docs[:80])[1]
+        at = rng.randint(0, max(0, len(text) - 1))
+        passages.append((i, text[at : at + rng.randint(0, 40)]))
+    passages += [(60, None), (61, "   "), (62, "not there at all in any of these documents")]
+    got = passage_hits(spark.createDataFrame(passages, "item_id int, text string"), spark.createDataFrame(docs, "doc_id int, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((p, d) for p, x in passages if x and x.strip() for d, t in docs if t and x in t)
+
+
 def test_goldens_of_one_ranking(spark):
     found = ids("d1", "d2", "d3")
     assert one(spark, ret.recall_at_k(found, ids("d1", "d4"), 3)) == 0.5
