@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 # Character classes and patterns that results depend on.
 SPACE = r"[\s\x1c-\x1f]"
 CONTROL = r"[\p{C}&&[^\n\r\t]]"
-PAGE_MARKER = r"(?imdU)^\s*\[?(?:page|p\.?)\s*\d+\s*\]?\s*$"
+PAGE_MARKER = r"(?imdU)^\s*\[?(?:Page|PAGE|p\.?)\s*\d+\s*\]?\s*$"
 PAGE_NUMBER = r"(?mdU)^\s*\d{1,4}\s*$"
 HEADERS = (
-    r"(?imdU)^\s*(?:confidential|draft|internal)\s*$",
-    r"(?imdU)^\s*(?:copyright|©)\s*\d{4}.*$",
+    r"(?imdU)^\s*(?:CONFIDENTIAL|DRAFT|INTERNAL)\s*$",
+    r"(?imdU)^\s*(?:Copyright|©)\s*\d{4}.*$",
     r"(?imdU)^\s*\d+\s*of\s*\d+\s*$",
 )
 #: Characters that optical recognition confuses, what they become, and those that are dropped.
