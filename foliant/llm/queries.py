@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import chat_format, entropy_mixing, flat_graph, hamming_minhash, hd_language, histogram_topk, orc_tokens, secret_dfa, vector_packing, viterbi_count
+from foliant.llm import chat_format, collocations, entropy_mixing, flat_graph, hamming_minhash, hd_language, histogram_topk, orc_tokens, secret_dfa, slack_packing, vector_packing, viterbi_count, word_ids
 from foliant.llm.common import new_path, pick, table
 from foliant.llm.token_ids import default_tokenizer
 
@@ -88,6 +88,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = slack_packing.pack_documents(table(spark, sf_dir, "documents"), word_ids.default_tokenizer())
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 OP10_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -153,6 +162,27 @@ SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 """
 
 
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang),
+lengths AS (SELECT unnest(range(1, 6)) AS size),
+grams AS (SELECT lang, size, w[i:i + size - 1] AS g FROM (SELECT lang, w, size, unnest(range(1, CAST(len(w) AS BIGINT) - size + 2)) AS i FROM words, lengths WHERE len(w) >= size)),
+f AS (SELECT lang, g, size, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+inner_parts AS (SELECT lang, g[1:size - 1] AS g, f FROM f WHERE size > 2 UNION ALL SELECT lang, g[2:size] AS g, f FROM f WHERE size > 2),
+longer AS (SELECT lang, g, max(f) AS most FROM inner_parts GROUP BY ALL),
+kept AS (SELECT lang, g, size, f.f AS a FROM f LEFT JOIN longer USING (lang, g) WHERE size > 1 AND coalesce(most < f.f, true)),
+cuts AS (SELECT lang, g, a, k, g[1:k] AS left_part, g[k + 1:size] AS right_part FROM (SELECT *, unnest(range(1, size)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, array_to_string(c.g, ' ') AS phrase, a, k, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score
+  FROM cuts c JOIN totals t ON t.lang = c.lang JOIN f x ON x.lang = c.lang AND x.g = c.left_part JOIN f y ON y.lang = c.lang AND y.g = c.right_part
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS place FROM lowest)
+SELECT lang, place AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE place <= 2000
+"""
+
+
 def _secret_sql() -> str:
     """Positions from the lengths of the gaps between matches and of the matches before."""
     first = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)"""
@@ -195,6 +225,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_viterbi_count": op8_viterbi_count,
     "op9_source_mixing": op9_source_mixing,
     "op10_chat_format": op10_chat_format,
+    "op11_collocations": op11_collocations,
+    "op12_slack_packing": op12_slack_packing,
     "pipeline": pipeline,
 }
-SQL: dict[str, str] = {"op1_flat_graph": OP1_SQL, "op2_secret_scan": _secret_sql(), "op4_histogram_topk": OP4_SQL, "op7_hamming_minhash": OP7_SQL, "op10_chat_format": OP10_SQL}
+SQL: dict[str, str] = {"op1_flat_graph": OP1_SQL, "op2_secret_scan": _secret_sql(), "op4_histogram_topk": OP4_SQL, "op7_hamming_minhash": OP7_SQL, "op10_chat_format": OP10_SQL, "op11_collocations": OP11_SQL}
