@@ -124,12 +124,31 @@ def read_chats(chats: DataFrame) -> DataFrame:
     """(conv_id, formatted, turns, loss_text) parsed from the strings that ``format_chats`` made.
 
     turns is an array of (role, text), one for each original turn; loss_text is what stands under the
-    loss spans, unescaped and joined without anything between.
+    loss spans, in their order, unescaped and joined without anything between. The string is parted once, and spans are
+    laid beside the texts by sorting both by their places; only a span that is not that of a whole text is cut out by itself.
     """
-    blocks = F.filter(F.split("formatted", r"\Q" + END + r"\E\n", -1), lambda b: b != "")
     body = lambda b: F.substring(b, F.length(_lit(START)) + 1, F.length(b))
     role = lambda b: unescape(F.replace(F.substring_index(body(b), "\n", 1), _lit(NL), _lit("\n")))
     texts = lambda b: F.split(F.substring(b, F.locate("\n", b) + 1, F.length(b)), r"\Q" + SEP + r"\E", -1)
-    turns = F.flatten(F.transform(blocks, lambda b: F.transform(texts(b), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text")))))
-    masked = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["begin"] + 1).cast("int"), (s["end"] - s["begin"]).cast("int"))))
-    return chats.select("conv_id", "formatted", turns.alias("turns"), F.array_join(masked, "").alias("loss_text"))
+    block = lambda b: F.struct(role(b).alias("role"), texts(b).alias("texts"), F.locate("\n", b).alias("head"), F.length(b).alias("size"))
+    rows = chats.select("conv_id", "formatted", "loss_spans", F.transform(F.filter(F.split("formatted", r"\Q" + END + r"\E\n", -1), lambda b: b != ""), block).alias("_blocks"))
+    rows = rows.withColumn("_starts", running_sums(F.transform("_blocks", lambda b: b["size"]), len(END) + 1))
+    turns = F.flatten(F.transform("_blocks", lambda b: F.transform(b["texts"], lambda t: F.struct(b["role"].alias("role"), unescape(t).alias("text")))))
+
+    def placed(block: Column, start: Column) -> Column:
+        item = lambda at: lambda t, i: _place(start + F.get(at, i), 0, start + F.get(at, i) + F.length(t), t)
+        return _let(running_sums(F.transform(block["texts"], F.length), len(SEP)), lambda at: F.transform(block["texts"], item(at)))
+
+    texts_there = F.flatten(F.transform("_blocks", lambda b, k: placed(b, F.get(F.col("_starts"), k) + b["head"])))
+    spans_there = F.transform("loss_spans", lambda s: _place(s["begin"], 1, s["end"], F.lit(None).cast("string")))
+    by_place = F.sort_array(F.concat(texts_there, spans_there))
+    under = lambda before, s: F.when((before["kind"] == 0) & (before["at"] == s["at"]) & (before["to"] == s["to"]), before["text"]).otherwise(
+        F.substring(F.col("formatted"), (s["at"] + 1).cast("int"), (s["to"] - s["at"]).cast("int"))
+    )
+    masked = _let(by_place, lambda every: F.transform(every, lambda s, i: F.when(s["kind"] == 1, unescape(F.coalesce(under(F.get(every, i - 1), s), under(s, s))))))
+    return rows.select("conv_id", "formatted", turns.alias("turns"), F.array_join(masked, "").alias("loss_text"))
+
+
+def _place(begin: Column, kind: int, end: Column, text: Column) -> Column:
+    """A text (kind 0) or a span (kind 1) of the formatted string; at one place texts come before spans."""
+    return F.struct(begin.cast("long").alias("at"), _lit(kind).alias("kind"), end.cast("long").alias("to"), text.alias("text"))

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -267,6 +268,35 @@ def test_a_conversation_of_many_turns(spark):
     assert got["loss_text"] == "".join(x for _, r, x in turns if r == "assistant")
 
 
+@pytest.mark.parametrize("roles", [["assistant"], ["user", "assistant"]])
+def test_time_follows_the_turns(spark, roles):
+    """Texts of ordinary length, of one role and alternating: twice the turns take about twice the time."""
+    rng = random.Random(9)
+
+    def took(n):
+        texts = ["".join(rng.choice("abcdef <|") for _ in range(180)) for _ in range(n)]
+        rows = [(1, t, roles[t % len(roles)], x) for t, x in enumerate(texts)]
+        chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+        begin = time.perf_counter()
+        got = chat_format.read_chats(chats).first()
+        end = time.perf_counter() - begin
+        assert [t["text"] for t in got["turns"]] == texts and got["loss_text"] == "".join(x for t, x in enumerate(texts) if roles[t % len(roles)] == "assistant")
+        return end
+
+    took(1000)
+    few = min(took(4000) for _ in range(2))
+    assert min(took(8000) for _ in range(2)) < 2.5 * max(few, 0.5)
+
+
+def test_spans_that_are_no_whole_texts(spark):
+    chats = chat_format.format_chats(spark.createDataFrame([(1, 1, "assistant", "a<|b\\c"), (1, 2, "assistant", "déf")], "conv_id long, turn long, role string, text string"))
+    whole = chats.first()["loss_spans"]
+    begin, end, at, to = whole[0]["begin"], whole[0]["end"], whole[1]["begin"], whole[1]["end"]
+    for spans, want in (([(begin, begin + 1)], "a"), ([(at + 1, to)], "éf"), ([(begin, end), (begin, end), (at, at)], "a<|b\\c" * 2), ([], "")):
+        held = spark.createDataFrame([(spans,)], "loss_spans array<struct<begin:long,end:long>>")
+        assert chat_format.read_chats(chats.drop("loss_spans").crossJoin(held)).first()["loss_text"] == want
+
+
 def test_chats_of_nothing(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
