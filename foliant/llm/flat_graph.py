@@ -467,14 +467,18 @@ def audit(reps: DataFrame, cells: DataFrame, links: DataFrame, how: FlatGraph) -
         return stored(sizes.join(per, place, "left").withColumns(none), "audit")
 
     first = measured(sizes, how.audited)
-    few = first.where((F.col("true") < how.audited_links) & (F.col("asked") < F.col("size")))
-    if not few.isEmpty():
-        first = first.join(few.select(*place), place, "left_anti").unionByName(measured(few.select(*sizes.columns), how.shard))
-    return first.drop("_m", "_b")
+    # Where a sample holds too few links, one eight times as large is drawn, up to a quarter of the vectors; then the label counts as not measured.
+    few, quota = (F.col("true") < how.audited_links) & (F.col("asked") < F.col("size")), how.shard
+    while True:
+        again = first.where(few & (F.lit(quota) <= F.greatest(F.col("size") / 4, F.lit(how.shard))))
+        if again.isEmpty():
+            return first.withColumn("unknown", few).drop("_m", "_b")
+        first = stored(first.join(again.select(*place), place, "left_anti").unionByName(measured(again.select(*sizes.columns), quota)), "audit")
+        quota *= 8
 
 
-def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[DataFrame, float | None]:
-    """((vec_id, n_links, component_id) for each row of ``vectors``, the audited recall; None if it could not be measured).
+def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[DataFrame, float]:
+    """((vec_id, n_links, component_id, recall_reached) for each row of ``vectors``, the audited recall; 1 where there are no links).
 
     ``vectors`` has vec_id, label and embedding; vectors of equal label and length are linked if their cosine
     reaches the similarity. n_links counts the other rows linked directly; component_id is the smallest vec_id that can
@@ -491,19 +495,20 @@ def near_vectors(vectors: DataFrame, how: FlatGraph = FlatGraph()) -> tuple[Data
     hits = search(cells if over.isEmpty() else cells.join(over, ["label", "dim"], "left_anti"), how)
     links = hits.groupBy("rep").agg(F.sum("n").alias("n"))
     audited = audit(plain, cells, links, how)
-    low = (F.col("found") < how.recall * F.col("true")) | (F.coalesce("share", F.lit(1.0)) < how.recall)
+    low = (F.col("found") < how.recall * F.col("true")) | (F.coalesce("share", F.lit(1.0)) < how.recall) | F.col("unknown")
     audited = stored(audited.withColumn("low", low), "audit")
     failing = audited.where("low").select("label", "dim")
     if not failing.isEmpty():
         failing = plain.join(failing, ["label", "dim"], "left_semi")
         hits = stored(hits.join(failing.select("rep"), "rep", "left_anti").unionByName(compare(failing, how)), "hits")
         links = hits.groupBy("rep").agg(F.sum("n").alias("n"))
-    unknown = (F.col("true") == 0) & (F.col("asked") < F.col("size"))
-    seen = audited.agg(F.sum(F.when(F.col("low"), F.col("true")).otherwise(F.col("found"))).alias("found"), F.sum("true").alias("true"), F.count_if("low").alias("low"), F.count_if(unknown).alias("unknown")).first()
-    recall = seen["found"] / seen["true"] if seen["true"] else None if seen["unknown"] else 1.0
-    logging.getLogger("foliant.flat_graph").info("recall %s; labels compared in full: %d, not measured: %d", recall, seen["low"], seen["unknown"])
+    # Labels that were compared in full have all their links.
+    seen = audited.agg(F.sum(F.when(F.col("low"), F.col("true")).otherwise(F.col("found"))).alias("found"), F.sum("true").alias("true"), F.count_if("low").alias("low"), F.count_if("unknown").alias("unknown")).first()
+    recall = seen["found"] / seen["true"] if seen["true"] else 1.0
+    logging.getLogger("foliant.flat_graph").info("recall %s; labels compared in full: %d, of these not measured: %d", recall, seen["low"] or 0, seen["unknown"] or 0)
     label = components(hits.select(F.col("rep").alias("a"), F.explode("joined").alias("b")))
-    return _answer(vectors, reps, seed, links, label), recall
+    out = _answer(vectors, reps, seed, links, label).withColumn("recall_reached", F.lit(recall >= how.recall))
+    return out, recall
 
 
 def _representatives(valid: DataFrame) -> tuple[DataFrame, int]:

@@ -14,7 +14,7 @@ from foliant.llm.token_ids import default_tokenizer
 
 def op1_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = flat_graph.near_vectors(table(spark, sf_dir, "embeddings"))
-    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"), "recall_reached")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +145,7 @@ WITH RECURSIVE ok AS (
 ), reached AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
 least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
 degrees AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
-SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept, true AS recall_reached
 FROM embeddings e JOIN least USING (vec_id) LEFT JOIN degrees USING (vec_id)
 """
 

@@ -149,10 +149,23 @@ def test_vectors_that_share_a_hash_are_told_apart(spark, monkeypatch):
     assert {r["vec_id"]: r["component_id"] for r in flat_graph.near_vectors(vectors(spark, rows))[0].collect()} == {1: 1, 2: 2, 3: 1}
 
 
-def test_an_audit_without_links_measures_nothing(spark):
-    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.random.default_rng(12).normal(size=(600, 16)))]
-    assert flat_graph.near_vectors(vectors(spark, rows), flat_graph.FlatGraph(shard=120))[1] is None
-    assert flat_graph.near_vectors(vectors(spark, rows), flat_graph.FlatGraph(shard=600))[1] == 1
+def test_what_an_audit_cannot_measure_is_compared_in_full(spark, monkeypatch):
+    """A sparse label over the shard size: its samples hold no links, and the one pair there is must still be found."""
+    x = np.random.default_rng(12).normal(size=(600, 16))
+    x[599] = x[3] + 1e-3
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    compared = []
+    real = flat_graph.compare
+    monkeypatch.setattr(flat_graph, "compare", lambda rows, how: compared.append(rows.count()) or real(rows, how))
+    monkeypatch.setattr(flat_graph, "search", lambda cells, how: real_search(cells, how).where("false"))
+    found, recall = flat_graph.near_vectors(vectors(spark, rows), flat_graph.FlatGraph(shard=60))
+    got = {r["vec_id"]: r for r in found.collect()}
+    assert compared == [600] and recall == 1 and all(r["recall_reached"] for r in got.values())
+    assert {i for i, r in got.items() if r["n_links"]} == {3, 599} and got[599]["component_id"] == 3
+    assert flat_graph.near_vectors(vectors(spark, rows[:50]), flat_graph.FlatGraph(shard=60))[1] == 1
+
+
+real_search = flat_graph.search
 
 
 def test_near_vectors_of_nothing_and_of_one(spark):
