@@ -40,10 +40,12 @@ class Phrases:
     places: int = 1 << 21
     #: Blocks of bitmaps that are extended at once.
     step: int = 50_000
+    #: Words of the corpus for each bucket of phrases that are summed together.
+    bucket: int = 1 << 21
 
 
-_SHARD = "lang string, shard bigint, words array<string>, counts array<bigint>, blocks array<bigint>, at binary, bits binary"
-_SHARD_ARROW = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("blocks", pa.list_(pa.int64())), ("at", pa.binary()), ("bits", pa.binary())])
+_SHARD = "lang string, shard bigint, words array<string>, counts array<bigint>, maps binary"
+_SHARD_ARROW = pa.schema([("lang", pa.string()), ("shard", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("maps", pa.binary())])
 
 
 class _Builder:
@@ -88,7 +90,26 @@ def _shard_row(lang: str, shard: int, builder: _Builder) -> pa.RecordBatch:
     first = np.cumsum(blocks) - blocks
     steps[first] = at[first]
     one = lambda values, kind: pa.ListArray.from_arrays([0, len(values)], values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind))
-    return pa.record_batch([pa.array([lang]), pa.array([shard]), one(words, pa.string()), one(counts, pa.int64()), one(blocks, pa.int64()), pa.array([steps.astype("<u4").tobytes()], pa.binary()), pa.array([bits.astype("<u2").tobytes()], pa.binary())], schema=_SHARD_ARROW)
+    maps = _packed(blocks.astype("<u4"), steps.astype("<u4"), bits.astype("<u2"))
+    return pa.record_batch([pa.array([lang]), pa.array([shard]), one(words, pa.string()), one(counts, pa.int64()), pa.array([maps], pa.binary())], schema=_SHARD_ARROW)
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Arrays as one compressed string; the bytes of one place of all numbers stand together, as most are 0."""
+    parts = [c.view(np.uint8).reshape(-1, c.itemsize).T.tobytes() for c in columns]
+    sizes = np.array([len(parts), *(len(p) for p in parts)], "<u8").tobytes()
+    return sizes + pa.compress(b"".join(parts), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<u8", 1 + len(kinds))[1:].astype(np.int64)
+    flat = np.frombuffer(pa.decompress(data[8 * (1 + len(kinds)) :], int(sizes.sum()), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, size in zip(kinds, sizes.tolist(), strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(flat[at : at + size].reshape(width, -1).T).view(kind).ravel())
+        at += size
+    return out
 
 
 def shards(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
@@ -135,17 +156,18 @@ def shards(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
 class Bitmaps:
     """The bitmaps of a shard's frequent words, found by word and by block."""
 
-    def __init__(self, blocks: np.ndarray, at: bytes, bits: bytes, words: np.ndarray) -> None:
+    def __init__(self, maps: bytes, words: np.ndarray) -> None:
         """``words`` are the places of the frequent words in the shard's list, ascending; they are known by their rank there."""
+        blocks, steps, bits = _unpacked(maps, "<u4", "<u4", "<u2")
+        blocks, steps = blocks.astype(np.int64), np.cumsum(steps, dtype=np.int64)
         ends = np.cumsum(blocks)
         sizes = blocks[words]
         done = np.cumsum(sizes)
         places = np.repeat(ends[words] - sizes - (done - sizes), sizes) + np.arange(int(done[-1]) if len(done) else 0)
-        steps = np.cumsum(np.frombuffer(at, "<u4"), dtype=np.int64)
         begins = ends[words] - sizes
         before = np.where(begins > 0, steps[np.maximum(begins - 1, 0)], 0)
         self.at = (steps[places] - np.repeat(before, sizes)).astype(np.int64)
-        self.bits = np.frombuffer(bits, "<u2")[places].astype(np.uint32)
+        self.bits = bits[places].astype(np.uint32)
         self.ends = np.concatenate([[0], done])
         self.word = np.repeat(np.arange(len(words), dtype=np.int64), sizes)
         order = np.argsort(self.at, kind="stable")
@@ -197,60 +219,115 @@ def _of_words(maps: Bitmaps, words: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return maps.word[places], maps.at[places], maps.bits[places]
 
 
-_PAIR = "shard bigint, first bigint, second bigint, n bigint"
-_PHRASE = "ids array<bigint>, n bigint"
+#: A packed table: what is counted in one shard and falls into one bucket, or the frequent pairs of a shard.
+_COUNTED = "bucket int, shard bigint, data binary"
+_COUNTED_ARROW = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("data", pa.binary())])
+_PHRASE = "ids array<int>, f bigint"
+_FREQUENT = f"shard bigint, data binary, {_PHRASE}"
+_PHRASE_ARROW = pa.schema([("ids", pa.list_(pa.int32())), ("f", pa.int64())])
+_FREQUENT_ARROW = pa.schema([("shard", pa.int64()), ("data", pa.binary()), *_PHRASE_ARROW])
+_NONE = 0xFFFFFFFF
+
+
+def _bucketed(names: np.ndarray, n: np.ndarray, shard: int, buckets: int) -> pa.Table:
+    """Phrases (lines of word ids, ended by _NONE) and their counts, packed bucket by bucket."""
+    hashed = np.zeros(len(names), np.uint64)
+    for column in names.T:
+        hashed = (hashed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        hashed ^= hashed >> np.uint64(29)
+    bucket = (hashed % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+    rows = [(k, order[end - size : end]) for k, (end, size) in enumerate(zip(ends.tolist(), np.diff(ends, prepend=0).tolist(), strict=True)) if size]
+    data = [_packed(*(names[at, c] for c in range(names.shape[1])), n[at].astype("<u4")) for _, at in rows]
+    return pa.table([pa.array([k for k, _ in rows], pa.int32()), pa.array([shard] * len(rows), pa.int64()), pa.array(data, pa.binary())], schema=_COUNTED_ARROW)
+
+
+def _summed(parts: list[bytes], words: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(lines of word ids, sums, the line of each entry, entries) of packed phrases, of those with ``least`` at least; -1 is no line."""
+    columns = [_unpacked(d, *["<u4"] * (words + 1)) for d in parts]
+    *names, n = (np.concatenate(c) for c in zip(*columns, strict=True))
+    order = np.lexsort(names[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in names], axis=0)
+    begin = np.flatnonzero(new)
+    sums = np.add.reduceat(n[order].astype(np.int64), begin)
+    kept = np.flatnonzero(sums >= least)
+    line = np.full(len(sums), -1)
+    line[kept] = np.arange(len(kept))
+    of = np.empty(len(order), np.int64)
+    of[order] = line[np.cumsum(new) - 1]
+    return np.column_stack([c[order[begin[kept]]] for c in names]), sums[kept], of, names
 
 
-def _maps(shard: pa.Table, chosen: np.ndarray) -> Bitmaps:
-    return Bitmaps(np.asarray(shard["blocks"].combine_chunks().values), shard["at"][0].as_py(), shard["bits"][0].as_py(), chosen)
+def _lists(names: np.ndarray) -> pa.Array:
+    there = names != _NONE
+    ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(names[there].astype(np.int32)))
 
 
-def pairs(held: DataFrame, frequent: DataFrame, how: Phrases = Phrases()) -> DataFrame:
-    """(shard, first, second, n): how often a shard has each pair of frequent words; words by their id.
+def pairs(held: DataFrame, known: DataFrame, buckets: int, how: Phrases = Phrases()) -> DataFrame:
+    """(bucket, shard, data): how often a shard has each pair of frequent words, packed.
 
-    ``held`` are shards, ``frequent`` (shard, at, id) the frequent words of each with their place in its list.
+    ``held`` are shards, ``known`` (shard, at, id) the frequent words of each with their place in its list.
     """
 
-    def count(shard: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
+    def count(shard: pa.Table, words: pa.Table) -> pa.Table:
         if not len(shard) or not len(words):
-            return
+            return _COUNTED_ARROW.empty_table()
         words = words.sort_by("at")
-        ids, maps = words["id"].to_numpy(), _maps(shard, words["at"].to_numpy())
-        number = shard["shard"][0].as_py()
+        ids, maps = words["id"].to_numpy().astype(np.uint32), Bitmaps(shard["maps"][0].as_py(), words["at"].to_numpy())
+        names, counts = [], []
         for some in _roots(maps, np.arange(len(ids)), how.step):
             node, word, n, *_ = _children(*maps.extended(*_of_words(maps, some)), len(ids))
-            yield pa.record_batch([pa.array(np.full(len(n), number)), pa.array(ids[node]), pa.array(ids[word]), pa.array(n)], names=["shard", "first", "second", "n"])
+            names.append(np.column_stack([ids[node], ids[word]]))
+            counts.append(n)
+        out = _bucketed(np.concatenate(names), np.concatenate(counts), shard["shard"][0].as_py(), buckets)
+        trim()
+        return out
 
-    return held.groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(_as_table(count, _PAIR), _PAIR)
+    return held.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(count, _COUNTED)
 
 
-def _as_table(count, schema: str):
-    """One table of what ``count`` yields for a group: a shard's pairs or phrases are no more than its places have room for."""
-    names = [(c.split()[0], pa.list_(pa.int64()) if "array" in c else pa.int64()) for c in schema.split(", ")]
+def frequent_pairs(counted: DataFrame, how: Phrases = Phrases()) -> DataFrame:
+    """Of ``pairs``: rows (ids, f) of the pairs that are frequent in the whole, and rows (shard, data) of those that a shard has."""
 
-    def run(shard: pa.Table, words: pa.Table) -> pa.Table:
-        parts = list(count(shard, words))
+    def total(table: pa.Table) -> pa.Table:
+        names, f, line, entries = _summed(table["data"].to_pylist(), 2, how.least)
+        sizes = [int(np.frombuffer(d.as_py()[:16], "<u8")[1]) // 4 for d in table["data"]]
+        ends = np.cumsum(sizes).tolist()
+        rows = []
+        for shard, end, size in zip(table["shard"].to_pylist(), ends, sizes, strict=True):
+            own = np.arange(end - size, end)[line[end - size : end] >= 0]
+            if len(own):
+                rows.append((shard, _packed(entries[0][own], entries[1][own])))
         trim()
-        return pa.Table.from_batches(parts, pa.schema(names)) if parts else pa.schema(names).empty_table()
+        there = pa.table([pa.array([s for s, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary()), pa.nulls(len(rows), pa.list_(pa.int32())), pa.nulls(len(rows), pa.int64())], schema=_FREQUENT_ARROW)
+        whole = pa.table([pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.binary()), _lists(names), pa.array(f)], schema=_FREQUENT_ARROW)
+        return pa.concat_tables([there, whole])
 
-    return run
+    return counted.groupBy("bucket").applyInArrow(total, _FREQUENT)
 
 
-def phrases(held: DataFrame, frequent: DataFrame, how: Phrases = Phrases()) -> DataFrame:
-    """(ids, n): how often a shard has each phrase of three words and more all of whose pairs are frequent.
+def phrases(held: DataFrame, known: DataFrame, there: DataFrame, buckets: int, how: Phrases = Phrases()) -> DataFrame:
+    """(bucket, shard, data): how often a shard has each phrase of three words and more all of whose pairs are frequent, packed.
 
-    ``frequent`` (shard, first_at, second_at, first, second) has the frequent pairs that occur in a shard.
+    ``there`` (shard, data) has the frequent pairs that occur in a shard, ``known`` is as in ``pairs``.
     """
 
-    def count(shard: pa.Table, found: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not len(shard) or not len(found):
-            return
-        at = np.concatenate([found["first_at"].to_numpy(), found["second_at"].to_numpy()])
+    def count(shard: pa.Table, facts: pa.Table) -> pa.Table:
+        packed = facts["data"].drop_null().to_pylist()
+        if not len(shard) or not packed:
+            return _COUNTED_ARROW.empty_table()
+        words = facts.filter(facts["data"].is_null()).sort_by("id")
+        every = words["id"].to_numpy()
+        first, second = (np.concatenate(c).astype(np.int64) for c in zip(*(_unpacked(d, "<u4", "<u4") for d in packed), strict=True))
+        at = words["at"].to_numpy()[np.searchsorted(every, np.concatenate([first, second]))]
         chosen, rank = np.unique(at, return_inverse=True)
-        ids = np.empty(len(chosen), np.int64)
-        ids[rank] = np.concatenate([found["first"].to_numpy(), found["second"].to_numpy()])
-        maps, n_words = _maps(shard, chosen), len(chosen)
-        allowed = np.unique(rank[: len(found)] * n_words + rank[len(found) :])
+        ids = np.empty(len(chosen), np.uint32)
+        ids[rank] = np.concatenate([first, second])
+        maps, n_words = Bitmaps(shard["maps"][0].as_py(), chosen), len(chosen)
+        allowed = np.unique(rank[: len(first)] * n_words + rank[len(first) :])
 
         def along_pairs(last: np.ndarray, node: np.ndarray, word: np.ndarray, at: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, ...]:
             key = last[node] * n_words + word
@@ -258,6 +335,7 @@ def phrases(held: DataFrame, frequent: DataFrame, how: Phrases = Phrases()) -> D
             keep = allowed[place] == key
             return node[keep], word[keep], at[keep], bits[keep]
 
+        found, counts = [], []
         for some in _roots(maps, np.unique(allowed // n_words), how.step):
             entries = _of_words(maps, some)
             names = np.arange(n_words)[:, None]  # the words of each node
@@ -268,10 +346,27 @@ def phrases(held: DataFrame, frequent: DataFrame, how: Phrases = Phrases()) -> D
                 if not len(n):
                     break
                 if length > 2:
-                    flat = pa.array(ids[names].ravel())
-                    yield pa.record_batch([pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * length), flat), pa.array(n)], names=["ids", "n"])
+                    found.append(np.column_stack([ids[names], np.full((len(n), how.words - length), _NONE, np.uint32)]))
+                    counts.append(n)
+        if not found:
+            return _COUNTED_ARROW.empty_table()
+        out = _bucketed(np.concatenate(found), np.concatenate(counts), shard["shard"][0].as_py(), buckets)
+        trim()
+        return out
 
-    return held.groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(_as_table(count, _PHRASE), _PHRASE)
+    facts = known.withColumn("data", F.lit(None).cast("binary")).unionByName(there.select("shard", F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("id"), "data"))
+    return held.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(count, _COUNTED)
+
+
+def frequent_phrases(counted: DataFrame, how: Phrases = Phrases()) -> DataFrame:
+    """(ids, f) of the phrases of ``phrases`` that are frequent in the whole."""
+
+    def total(table: pa.Table) -> pa.Table:
+        names, f, *_ = _summed(table["data"].to_pylist(), how.words, how.least)
+        trim()
+        return pa.table([_lists(names), pa.array(f)], schema=_PHRASE_ARROW)
+
+    return counted.groupBy("bucket").applyInArrow(total, _PHRASE)
 
 
 def exact_score(a: str, n: str, left: str, right: str) -> Column:
@@ -291,17 +386,16 @@ def collocations(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     held = stored(shards(docs, how), "shards")
     listed = held.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "_w")).select("lang", "shard", F.col("at").cast("long").alias("at"), F.col("_w.words").alias("word"), F.col("_w.counts").alias("n"))
     totals = stored(held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "totals")
-    words = stored(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= how.least).withColumn("id", F.monotonically_increasing_id()), "words")
+    frequent = stored(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= how.least), "frequent")
+    words = stored(_numbered(frequent), "words")
     known = stored(listed.join(words, ["lang", "word"]).select("shard", "at", "id"), "known")
-
-    some = stored(pairs(held, known, how), "pairs")
-    frequent = stored(some.groupBy("first", "second").agg(F.sum("n").alias("f")).where(F.col("f") >= how.least), "frequent")
-    there = some.join(frequent, ["first", "second"]).select("shard", "first", "second")
-    for side in ("first", "second"):
-        there = there.join(known.select("shard", F.col("id").alias(side), F.col("at").alias(f"{side}_at")), ["shard", side])
-    longer = phrases(held, there, how).groupBy("ids").agg(F.sum("n").alias("f")).where(F.col("f") >= how.least)
-    counted = stored(frequent.select(F.array("first", "second").alias("ids"), "f").unionByName(longer), "phrases")
-    discard(held, some, known)
+    # Each phrase of a shard falls into one of so many buckets by a hash; a bucket is summed in one task.
+    buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // how.bucket))
+    some = stored(frequent_pairs(pairs(held, known, buckets, how), how), "pairs")
+    two = some.where("f is not null").select("ids", "f")
+    longer = frequent_phrases(phrases(held, known, some.where("data is not null").select("shard", "data"), buckets, how), how)
+    counted = stored(two.unionByName(longer), "phrases")
+    discard(held, frequent, known, some)
 
     # A longer phrase that occurs as often has its parts of one word less occur as often, so that those are enough to look at.
     inner = counted.where(F.size("ids") > 2).select(F.explode(F.array(F.expr("slice(ids, 1, size(ids) - 1)"), F.expr("slice(ids, 2, size(ids) - 1)"))).alias("ids"), F.col("f").alias("most"))
@@ -315,10 +409,19 @@ def collocations(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     lowest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(exact_score("a", "n", "l", "r").alias("score"), "k", "l", "r")).alias("_cut"))
     scored = lowest.select("lang", "phrase", "a", "_cut.l", "_cut.r", "n", "_cut.score")
     out = stored(_first(scored, how.top), "collocations")
-    discard(totals, words, frequent, counted)
+    discard(totals, words, counted)
     return out
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """``words``, which are stored, with numbers from 0 on that leave few out: the row in its part, part by part in turn."""
+    made = words.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_m", 33))
+    parts = made.agg(F.max("_part")).first()[0]
+    number = F.col("_m").bitwiseAND((1 << 33) - 1) * F.lit((parts or 0) + 1) + F.col("_part")
+    # Numbers of 31 bits: more frequent words than that are an error, not a wrong result.
+    return made.withColumn("id", F.when(number < (1 << 31) - 1, number).otherwise(F.raise_error(F.lit("too many frequent words")).cast("long")).cast("int")).drop("_m", "_part")
+
+
 def _first(scored: DataFrame, top: int) -> DataFrame:
     """The first ``top`` phrases of each language: first within parts of a language, whose number follows its share, then of these."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
