@@ -266,17 +266,71 @@ def _lists(names: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(names[there].astype(np.int32)))
 
 
+_WORDS = "shard bigint, data binary, lang string, word string, f bigint, id int"
+_WORDS_ARROW = pa.schema([("shard", pa.int64()), ("data", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("f", pa.int64()), ("id", pa.int32())])
+
+
+def _with_nulls(schema: pa.Schema, **columns: pa.Array) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _by_shard(shard: np.ndarray, *columns: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(shards, packed columns of each)."""
+    order = np.argsort(shard, kind="stable")
+    values, begin = np.unique(shard[order], return_index=True)
+    data = [_packed(*(c[at].astype("<u4") for c in columns)) for at in np.split(order, begin[1:])] if len(order) else []
+    return pa.array(values, pa.int64()), pa.array(data, pa.binary())
+
+
+def frequent_words(held: DataFrame, buckets: int, how: Phrases = Phrases()) -> DataFrame:
+    """Rows (lang, word, f, id) of the words that are frequent in the whole, and rows (shard, data) of where they are in a shard's list.
+
+    Words are dealt into buckets by a hash, and numbered in their bucket, buckets in turn: a number takes 31 bits.
+    """
+    listed = held.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "_w")).select("lang", "shard", "at", F.col("_w.words").alias("word"), F.col("_w.counts").alias("n"))
+
+    def total(table: pa.Table) -> pa.Table:
+        codes = [table[c].combine_chunks().dictionary_encode() for c in ("lang", "word")]
+        langs, words = (c.dictionary for c in codes)
+        key = np.asarray(codes[0].indices).astype(np.int64) * len(words) + np.asarray(codes[1].indices)
+        # Numbers must not depend on the order of rows: a repeat after a lost executor has to give the same ones.
+        names, line = np.unique(key, return_inverse=True)
+        f = np.bincount(line, weights=table["n"].to_numpy(), minlength=len(names)).astype(np.int64)
+        kept = np.flatnonzero(f >= how.least)
+        lang, word = langs.take(pa.array(names[kept] // len(words))), words.take(pa.array(names[kept] % len(words)))
+        order = pa.compute.sort_indices(pa.table({"lang": lang, "word": word}), [("lang", "ascending"), ("word", "ascending")]).to_numpy()
+        number = np.full(len(names), -1)
+        number[kept[order]] = np.arange(len(kept)) * buckets + table["bucket"][0].as_py()
+        if number.max(initial=0) >= (1 << 31) - 1:
+            raise ValueError("too many frequent words")
+        own = np.flatnonzero(number[line] >= 0)
+        shard, data = _by_shard(table["shard"].to_numpy()[own], table["at"].to_numpy()[own], number[line[own]])
+        trim()
+        whole = _with_nulls(_WORDS_ARROW, lang=lang, word=word, f=pa.array(f[kept]), id=pa.array(number[kept].astype(np.int32)))
+        return pa.concat_tables([whole, _with_nulls(_WORDS_ARROW, shard=shard, data=data)])
+
+    return listed.withColumn("bucket", F.pmod(F.xxhash64("lang", "word"), F.lit(buckets))).groupBy("bucket").applyInArrow(total, _WORDS)
+
+
+def _places(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the shard's list, word ids), by places ascending."""
+    at, ids = (np.concatenate(c) for c in zip(*(_unpacked(d, "<u4", "<u4") for d in packed), strict=True))
+    order = np.argsort(at)
+    return at[order].astype(np.int64), ids[order]
+
+
 def pairs(held: DataFrame, known: DataFrame, buckets: int, how: Phrases = Phrases()) -> DataFrame:
     """(bucket, shard, data): how often a shard has each pair of frequent words, packed.
 
-    ``held`` are shards, ``known`` (shard, at, id) the frequent words of each with their place in its list.
+    ``held`` are shards, ``known`` (shard, data) the frequent words of each with their place in its list.
     """
 
     def count(shard: pa.Table, words: pa.Table) -> pa.Table:
         if not len(shard) or not len(words):
             return _COUNTED_ARROW.empty_table()
-        words = words.sort_by("at")
-        ids, maps = words["id"].to_numpy().astype(np.uint32), Bitmaps(shard["maps"][0].as_py(), words["at"].to_numpy())
+        at, ids = _places(words["data"].to_pylist())
+        maps = Bitmaps(shard["maps"][0].as_py(), at)
         names, counts = [], []
         for some in _roots(maps, np.arange(len(ids)), how.step):
             node, word, n, *_ = _children(*maps.extended(*_of_words(maps, some)), len(ids))
@@ -295,16 +349,10 @@ def frequent_pairs(counted: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     def total(table: pa.Table) -> pa.Table:
         names, f, line, entries = _summed(table["data"].to_pylist(), 2, how.least)
         sizes = [int(np.frombuffer(d.as_py()[:16], "<u8")[1]) // 4 for d in table["data"]]
-        ends = np.cumsum(sizes).tolist()
-        rows = []
-        for shard, end, size in zip(table["shard"].to_pylist(), ends, sizes, strict=True):
-            own = np.arange(end - size, end)[line[end - size : end] >= 0]
-            if len(own):
-                rows.append((shard, _packed(entries[0][own], entries[1][own])))
+        own = np.flatnonzero(line >= 0)
+        shard, data = _by_shard(np.repeat(table["shard"].to_numpy(), sizes)[own], entries[0][own], entries[1][own])
         trim()
-        there = pa.table([pa.array([s for s, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.binary()), pa.nulls(len(rows), pa.list_(pa.int32())), pa.nulls(len(rows), pa.int64())], schema=_FREQUENT_ARROW)
-        whole = pa.table([pa.nulls(len(f), pa.int64()), pa.nulls(len(f), pa.binary()), _lists(names), pa.array(f)], schema=_FREQUENT_ARROW)
-        return pa.concat_tables([there, whole])
+        return pa.concat_tables([_with_nulls(_FREQUENT_ARROW, ids=_lists(names), f=pa.array(f)), _with_nulls(_FREQUENT_ARROW, shard=shard, data=data)])
 
     return counted.groupBy("bucket").applyInArrow(total, _FREQUENT)
 
@@ -316,13 +364,13 @@ def phrases(held: DataFrame, known: DataFrame, there: DataFrame, buckets: int, h
     """
 
     def count(shard: pa.Table, facts: pa.Table) -> pa.Table:
-        packed = facts["data"].drop_null().to_pylist()
-        if not len(shard) or not packed:
+        packed = {two: facts.filter(pa.compute.equal(facts["two"], two))["data"].to_pylist() for two in (False, True)}
+        if not len(shard) or not packed[True]:
             return _COUNTED_ARROW.empty_table()
-        words = facts.filter(facts["data"].is_null()).sort_by("id")
-        every = words["id"].to_numpy()
-        first, second = (np.concatenate(c).astype(np.int64) for c in zip(*(_unpacked(d, "<u4", "<u4") for d in packed), strict=True))
-        at = words["at"].to_numpy()[np.searchsorted(every, np.concatenate([first, second]))]
+        place, every = _places(packed[False])
+        order = np.argsort(every)
+        first, second = (np.concatenate(c) for c in zip(*(_unpacked(d, "<u4", "<u4") for d in packed[True]), strict=True))
+        at = place[order][np.searchsorted(every[order], np.concatenate([first, second]))]
         chosen, rank = np.unique(at, return_inverse=True)
         ids = np.empty(len(chosen), np.uint32)
         ids[rank] = np.concatenate([first, second])
@@ -354,7 +402,7 @@ def phrases(held: DataFrame, known: DataFrame, there: DataFrame, buckets: int, h
         trim()
         return out
 
-    facts = known.withColumn("data", F.lit(None).cast("binary")).unionByName(there.select("shard", F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("id"), "data"))
+    facts = known.withColumn("two", F.lit(False)).unionByName(there.withColumn("two", F.lit(True)))
     return held.groupBy("shard").cogroup(facts.groupBy("shard")).applyInArrow(count, _COUNTED)
 
 
@@ -384,18 +432,16 @@ def collocations(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     rows count each time; an empty table gives no rows. Arithmetic is exact, in integers of 38 digits.
     """
     held = stored(shards(docs, how), "shards")
-    listed = held.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "_w")).select("lang", "shard", F.col("at").cast("long").alias("at"), F.col("_w.words").alias("word"), F.col("_w.counts").alias("n"))
     totals = stored(held.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n")), "totals")
-    frequent = stored(listed.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= how.least), "frequent")
-    words = stored(_numbered(frequent), "words")
-    known = stored(listed.join(words, ["lang", "word"]).select("shard", "at", "id"), "known")
-    # Each phrase of a shard falls into one of so many buckets by a hash; a bucket is summed in one task.
+    # Each word and phrase of a shard falls into one of so many buckets by a hash; a bucket is summed in one task.
     buckets = max(1, -(-(totals.agg(F.sum("n")).first()[0] or 0) // how.bucket))
+    facts = stored(frequent_words(held, buckets, how), "words")
+    words, known = facts.where("f is not null").select("lang", "word", "f", "id"), facts.where("data is not null").select("shard", "data")
     some = stored(frequent_pairs(pairs(held, known, buckets, how), how), "pairs")
     two = some.where("f is not null").select("ids", "f")
     longer = frequent_phrases(phrases(held, known, some.where("data is not null").select("shard", "data"), buckets, how), how)
     counted = stored(two.unionByName(longer), "phrases")
-    discard(held, frequent, known, some)
+    discard(held, some)
 
     # A longer phrase that occurs as often has its parts of one word less occur as often, so that those are enough to look at.
     inner = counted.where(F.size("ids") > 2).select(F.explode(F.array(F.expr("slice(ids, 1, size(ids) - 1)"), F.expr("slice(ids, 2, size(ids) - 1)"))).alias("ids"), F.col("f").alias("most"))
@@ -409,19 +455,10 @@ def collocations(docs: DataFrame, how: Phrases = Phrases()) -> DataFrame:
     lowest = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct(exact_score("a", "n", "l", "r").alias("score"), "k", "l", "r")).alias("_cut"))
     scored = lowest.select("lang", "phrase", "a", "_cut.l", "_cut.r", "n", "_cut.score")
     out = stored(_first(scored, how.top), "collocations")
-    discard(totals, words, counted)
+    discard(totals, facts, counted)
     return out
 
 
-def _numbered(words: DataFrame) -> DataFrame:
-    """``words``, which are stored, with numbers from 0 on that leave few out: the row in its part, part by part in turn."""
-    made = words.withColumn("_m", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_m", 33))
-    parts = made.agg(F.max("_part")).first()[0]
-    number = F.col("_m").bitwiseAND((1 << 33) - 1) * F.lit((parts or 0) + 1) + F.col("_part")
-    # Numbers of 31 bits: more frequent words than that are an error, not a wrong result.
-    return made.withColumn("id", F.when(number < (1 << 31) - 1, number).otherwise(F.raise_error(F.lit("too many frequent words")).cast("long")).cast("int")).drop("_m", "_part")
-
-
 def _first(scored: DataFrame, top: int) -> DataFrame:
     """The first ``top`` phrases of each language: first within parts of a language, whose number follows its share, then of these."""
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
