@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.config import Settings
 from foliant.functions.text import is_blank
-from foliant.operators import chunking, collection, evaluation, generation, metadata, ranking
+from foliant.operators import bucketed, chunking, collection, evaluation, generation, metadata, ranking  # noqa: F401
 from foliant.operators.collection import tenant_collection
 from foliant.providers import answering, embedding
 from foliant.sources import files
@@ -48,7 +48,11 @@ class Engine:
 
     def load(self, path: str, parser: files.PageParser | None = None) -> DataFrame:
         """(text, source, file_path, status) of the files under ``path``; what cannot be read has a status and no text."""
-        found = files.read_binary(self.spark, path).withColumn("_reader", files.reader_for(F.col("path")))
+        return self.loaded(files.read_binary(self.spark, path), parser)
+
+    def loaded(self, found: DataFrame, parser: files.PageParser | None = None) -> DataFrame:
+        """``load`` of files that were found already (path, content), as by a stream."""
+        found = found.withColumn("_reader", files.reader_for(F.col("path")))
         parts = [
             files.text_documents(found.where("_reader = 'text'")).select("path", "text", F.lit(None).cast("string").alias("error")),
             files.html_documents(found.where("_reader = 'html'").withColumn("html", files.decoded(F.col("content")))).select("path", "text", F.lit(None).cast("string").alias("error")),
@@ -85,7 +89,10 @@ class Engine:
         self.store.create(name, self.embedder.dimension())
         made = self.store.staged(self.chunks(docs))
         keep = ("source", "file_path", "document_id", "chunk_index", "total_chunks", "char_count", "word_count", "ingested_at", "system")
-        points = made.where("embedding is not null").select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text"), "embedding", metadata.storable(made, *keep).alias("metadata"))
+        kept = metadata.typed(made, *keep) if self.store.typed else metadata.storable(made, *keep)
+        points = made.where("embedding is not null").select(F.col("chunk_id").alias("doc_id"), F.col("document_id").alias("parent"), F.col("chunk_text").alias("text"), "embedding", kept.alias("metadata"))
+        if not self.store.typed:
+            points = points.drop("parent")
         stored = self.store.upsert(name, points, mode)
         counts = made.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.count_if(F.col("embedding").isNull()).alias("_lost"))
         path = F.col("file_path") if "file_path" in docs.columns else F.lit("")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
+import weakref
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -17,6 +18,8 @@ from foliant.operators import knn
 SCHEMA = "point_id string, doc_id string, text string, embedding array<float>, metadata map<string,string>"
 METRIC = "cosine"
 _NAME = re.compile(r"[A-Za-z0-9_-]{1,100}")
+#: Where the tables of ``staged`` are.
+_STAGED: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def tenant_collection(tenant: str) -> str:
@@ -60,6 +63,9 @@ class Store:
     spark: SparkSession
     root: str
 
+    #: Whether metadata keep their types.
+    typed = False
+
     # -- files, through Hadoop's file system so that any store works
 
     def _fs(self, path: str):
@@ -125,12 +131,20 @@ class Store:
         fs.delete(path, True)
 
     def staged(self, df: DataFrame) -> DataFrame:
-        """``df`` written once and read again, so that what it costs, as embeddings do, is paid once; gone when the driver ends."""
+        """``df`` written once and read again, so that what it costs, as embeddings do, is paid once; gone by ``unstage`` or when the driver ends."""
         at = f"{self.root.rstrip('/')}/staging/{uuid.uuid4().hex}"
         df.write.parquet(at)
         fs, path = self._fs(at)
         fs.deleteOnExit(path)
-        return self.spark.read.schema(df.schema).parquet(at)
+        out = self.spark.read.schema(df.schema).parquet(at)
+        _STAGED[out] = at
+        return out
+
+    def unstage(self, df: DataFrame) -> None:
+        """Deletes what ``staged`` wrote, when nothing reads it any more."""
+        at = _STAGED.pop(df, None)
+        if at is not None:
+            self._delete(at)
 
     def upsert(self, name: str, points: DataFrame, mode: str = "merge") -> bool:
         """Adds points (doc_id, text, embedding, metadata), all or none.
@@ -142,9 +156,10 @@ class Store:
         info = self._info(name)
         if info is None:
             return False
-        rows = self.staged(points.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")).alias("metadata")))
+        rows = staged = self.staged(points.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("embedding").cast("array<float>").alias("embedding"), F.coalesce(F.col("metadata"), F.create_map().cast("map<string,string>")).alias("metadata")))
         wrong = F.col("embedding").isNull() | (F.size("embedding") != info["dimension"])
         if rows.agg(F.count_if(wrong).alias("n")).first()["n"]:
+            self.unstage(staged)
             return False
         rows = rows.select(F.expr("uuid()").alias("point_id") if mode == "append" else F.sha2(F.col("doc_id"), 256).alias("point_id"), "doc_id", "text", "embedding", "metadata")
         if mode == "append":
@@ -152,11 +167,13 @@ class Store:
                 rows.write.mode("append").parquet(f"{self._folder(name)}/{info['version']}")
             else:
                 self._write(name, rows, info)
+            self.unstage(staged)
             return True
         item = F.struct(F.coalesce("text", F.lit("")).alias("_t"), "text", "embedding", F.array_sort(F.map_entries("metadata")).alias("_m"), "point_id")
         last = rows.groupBy("doc_id").agg(F.max(item).alias("_p")).select("_p.point_id", "doc_id", "_p.text", "_p.embedding", F.map_from_entries("_p._m").alias("metadata"))
         kept = self.read(name).join(last.select("doc_id"), "doc_id", "left_anti").select(*last.columns)
         self._write(name, kept.unionByName(last), info)
+        self.unstage(staged)
         return True
 
     def delete(self, name: str, doc_ids: DataFrame) -> bool:

@@ -87,6 +87,12 @@ def batch_id(spark) -> str:
     return f"batch_{row['t']}_{row['u']}"
 
 
+def typed(metadata: DataFrame, *columns: str) -> Column:
+    """The named columns as a struct, with their types; times in ISO form."""
+    kinds = dict(metadata.dtypes)
+    return F.struct(*((iso(F.col(c)) if kinds[c].startswith(("timestamp", "date")) else F.col(c)).alias(c) for c in columns))
+
+
 def storable(metadata: DataFrame, *columns: str) -> Column:
     """The named columns as a map of strings: nulls dropped, times in ISO form, arrays, maps and structs as JSON."""
     kinds = dict(metadata.dtypes)

@@ -71,6 +71,12 @@ SELECT query_id, CASE WHEN success THEN CAST(c AS DOUBLE) END AS faithfulness, C
     "tenant_collections": "SELECT 'rag_tenant' || (label % 3) AS collection, count(*) AS total_points FROM embeddings GROUP BY 1",
     "settings_described": _values("name, value", ("embedding_provider", "remote"), ("answer_api_key", "***"), ("embedding_api_key", ""), ("store_root", "/r"), ("storage_mode", "path"), ("final_top_k", "7"), ("chunk_size", "512"), ("chunk_overlap", "50"), ("similarity", "0.75"), ("retrieval_top_k", "20"), ("question_chars", "10000"), ("problem", "embedding_api_key is not set")),
     "chunk_stream": f"{_RECURSIVE} SELECT doc_id, source || '_chunk_' || k || '_' || substring(md5(t), 1, 8) AS chunk_id, length(t) AS chars FROM r JOIN documents USING (doc_id)",
+    "ingest_stream": f"""{_RECURSIVE} SELECT source || '_chunk_' || k || '_' || substring(md5(t), 1, 8) AS chunk_id, {_DOCUMENT_ID} AS document_id, k AS chunk_index, CAST(n AS BIGINT) AS total_chunks, length(t) AS chars
+FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM r) JOIN documents USING (doc_id) WHERE len({o._words('t')}) > 0""",
+    "bucketed_merge": """SELECT CAST(a.vec_id AS VARCHAR) AS doc_id, 'v' || a.vec_id || CASE WHEN a.label = 1 THEN '!' ELSE '' END AS text, CAST(a.label AS BIGINT) AS label FROM embeddings a
+LEFT JOIN embeddings b ON b.vec_id = a.vec_id - 1 AND b.label = 2 WHERE a.label <> 3 AND NOT (a.label = 2 AND a.vec_id % 2 = 1 AND b.vec_id IS NOT NULL)""",
+    "typed_search": """WITH scored AS (SELECT a.vec_id AS query_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON b.label = 2 AND b.vec_id % 2 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM scored) SELECT query_id, rank, round(score, 6) AS score, CAST(2 AS BIGINT) AS label, true AS even, true AS same FROM ranked WHERE rank <= 3""",
     "passage_hits": f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len({o._tokens('b.text')}) > 0",
     "ingest_status": f"""{_RECURSIVE}, counted AS (SELECT doc_id, count(*) AS n, count(*) FILTER (len({o._words('t')}) = 0) AS lost FROM r GROUP BY doc_id)
 SELECT source AS document_name, {_DOCUMENT_ID} AS document_id, coalesce(n, 0) AS chunk_count, {o._strip('text')} <> '' AND coalesce(lost, 0) = 0 AS success FROM documents LEFT JOIN counted USING (doc_id)""",

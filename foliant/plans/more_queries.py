@@ -17,6 +17,7 @@ from foliant.functions.text import strip
 from foliant.operators import chunking, evaluation, generation, metadata, passages, ranking
 from foliant.operators import generation_metrics as gen
 from foliant.operators import retrieval_metrics as ret
+from foliant.operators.bucketed import BucketedStore
 from foliant.operators.collection import create as create_store
 from foliant.operators.collection import tenant_collection
 from foliant.plans.queries import Query, _answers, _asked, _evaluated, _judged, _lexical, _points, _rounded, _scratch, _table
@@ -358,6 +359,51 @@ def chunk_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "chunk_id", _long(F.length("chunk_text")).alias("chars"))
 
 
+@query
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream into a collection, twice from the beginning: the points after all micro-batches were repeated."""
+    at = _scratch(spark)
+    engine = Engine(spark, root=f"{at}/collections", store_provider="bucketed", dimension=64, chunking="recursive")
+    docs = spark.readStream.schema(_table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parque[t]")
+    docs = docs.select("text", "source", F.concat(F.lit("/corpus/"), F.col("doc_id").cast("string")).alias("file_path"))
+    for i in range(2):
+        ingest.ingest_stream(engine, docs, f"{at}/checkpoint{i}", f"{at}/statuses").awaitTermination()
+    member = lambda name, kind: F.try_variant_get("metadata", F.lit(f"$.{name}"), kind)
+    points = engine.store.read(engine.settings.collection)
+    return points.select(F.col("doc_id").alias("chunk_id"), F.col("f_document_id").alias("document_id"), member("chunk_index", "bigint").alias("chunk_index"), member("total_chunks", "bigint").alias("total_chunks"), _long(F.length("text")).alias("chars"))
+
+
+@query
+def bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed collection after all points were merged, those of label 1 changed, those of label 2 replaced, and those of label 3 deleted."""
+    store, points = create_store("bucketed", spark, _scratch(spark)), _typed_points(spark, sf_dir)
+    store.create("c", 64)
+    store.upsert("c", points)
+    store.upsert("c", points.where("metadata.label = 1").withColumn("text", F.concat("text", F.lit("!"))))
+    store.upsert("c", points.where("metadata.label = 2 and metadata.even"), mode="replace")
+    store.delete("c", points.where("metadata.label = 3").select("doc_id"))
+    return store.read("c").select("doc_id", "text", F.try_variant_get("metadata", F.lit("$.label"), "bigint").alias("label"))
+
+
+def _typed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with metadata of several types; those of label 2 belong to a pair of an even and an odd one."""
+    kinds = F.struct(F.col("label").cast("long").alias("label"), (F.col("vec_id") % 2 == 0).alias("even"), F.array("vec_id", "label").alias("list"), F.struct((F.col("vec_id") / 4).alias("quarter")).alias("inner"))
+    parent = F.when(F.col("label") == 2, F.concat(F.lit("p"), F.floor(F.col("vec_id") / 2).cast("string")))
+    return _points(spark, sf_dir).select("doc_id", "text").join(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "embedding", kinds.alias("metadata"), parent.alias("parent")), "doc_id")
+
+
+@query
+def typed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector against the points of one label with an even id, a field and a member of the metadata; types come back."""
+    store = BucketedStore(spark, _scratch(spark), fields={"label": "bigint"})
+    store.create("c", 64)
+    store.upsert("c", _typed_points(spark, sf_dir))
+    asked = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    found = store.search("c", asked, 3, {"label": 2, "even": True})
+    member = lambda path, kind: F.try_variant_get("payload", F.lit(path), kind)
+    return found.select("query_id", _long(F.col("rank")).alias("rank"), F.round("score", 6).alias("score"), member("$.label", "bigint").alias("label"), member("$.even", "boolean").alias("even"), (member("$.list[0]", "bigint") == member("$.inner.quarter", "double") * 4).alias("same"))
+
+
 @query
 def passage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents contain which passages of the benchmark."""
