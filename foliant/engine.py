@@ -26,7 +26,7 @@ DEMO = (
 class Engine:
     """Holds settings, providers and the store; arguments win over settings."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, embedder=None, answerer=None, scorer=None, recognizer: files.PageParser | None = None, **settings) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, embedder=None, answerer=None, scorer=None, recognizer: files.PageParser | None = None, external: evaluation.Client | None = None, **settings) -> None:
         self.spark = spark
         self.settings = Settings.of(spark, store_root=root, **settings)
         s = self.settings
@@ -34,6 +34,7 @@ class Engine:
         self.answerer = answerer or answering.create_answer(s.answer_provider)
         self.scorer = scorer or (answering.create_scorer(s.reranker) if s.reranking else None)
         self.recognizer = recognizer if s.ocr else None
+        self.external = external
         if not s.store_root:
             raise ValueError("a root for collections is needed: root=... or foliant.store_root")
         self.store = collection.create(s.store_provider, spark, s.store_root)
@@ -106,15 +107,22 @@ class Engine:
     # -- questions
 
     def retrieve(self, questions: DataFrame, tenant: str | None = None, where: dict | None = None) -> DataFrame:
-        """(query_id, question, rank, id, content, source, score) for questions (query_id, question) that are neither blank nor too long."""
+        """(query_id, question, rank, id, content, source, score) for questions (query_id, question) that are neither blank nor too long.
+
+        Questions are embedded once: their vectors are written before they are used.
+        """
         s = self.settings
         name = tenant_collection(tenant) if tenant else s.collection
         if s.demo_fallback and self.store.read(name).isEmpty():
             return self._fixed_hits(questions)
-        asked = questions.where(self._askable()).withColumn("embedding", self.embedder.embed(F.col("question")))
+        asked = self.store.staged(questions.where(self._askable()).select("query_id", "question").withColumn("embedding", self.embedder.embed(F.col("question"))))
         k = ranking.width(self.scorer is not None, s.retrieval_top_k, s.final_top_k)
         hits = self.store.search(name, asked.select("query_id", "embedding"), k, where)
-        return hits.join(questions.select("query_id", "question"), "query_id").select("query_id", "question", "rank", "id", F.col("text").alias("content"), F.col("metadata")["source"].alias("source"), "score")
+        found = hits.join(questions.select("query_id", "question"), "query_id").select("query_id", "question", "rank", "id", F.col("text").alias("content"), F.col("metadata")["source"].alias("source"), "score")
+        if s.demo_fallback:
+            # A question without a vector, as after failed calls, gets the fixed hits too.
+            found = found.unionByName(self._fixed_hits(asked.where("embedding is null")))
+        return found
 
     def _askable(self) -> Column:
         return ~is_blank("question") & (F.length("question") <= self.settings.question_chars)
@@ -129,7 +137,7 @@ class Engine:
         s = self.settings
         docs = self.retrieve(questions, tenant, where)
         if self.scorer is not None:
-            docs = ranking.reranked(docs, s.final_top_k, s.rerank_min_score, self.scorer.score(F.col("question"), F.col("content")))
+            docs = self.scorer.rerank(docs, s.final_top_k, s.rerank_min_score)
         else:
             docs = docs.withColumn("rerank_score", F.lit(None).cast("double"))
         items = F.array_sort(F.collect_list(F.struct("rank", "id", "content", "source", "score", "rerank_score")))
@@ -144,7 +152,7 @@ class Engine:
         """Metrics of what ``ask`` returned, one row for each question; logged and kept if the settings say so."""
         s = self.settings
         docs = answers.select("query_id", F.inline("docs"))
-        made = evaluation.evaluate(answers, docs, truth, evaluation.Evaluation(s.evaluation, s.evaluation_k))
+        made = evaluation.evaluate(answers, docs, truth, evaluation.Evaluation(s.evaluation, s.evaluation_k, s.external_metrics), client=self.external)
         if s.evaluation and (s.evaluation_history or s.evaluation_log):
             made = self.store.staged(made)
         if s.evaluation and s.evaluation_history:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +59,19 @@ def reranked(docs: DataFrame, top_k: int = RESULTS, min_score: float = 0.0, scor
     return ranked.withColumn("rank", F.col("_place")).drop("_place", "_s", "_failed", "_blank")
 
 
+def reranked_together(docs: DataFrame, top_k: int, min_score: float, scores: Callable[[Column, Column], Column]) -> DataFrame:
+    """As ``reranked``, by ``scores`` (question, contents in their order) of all candidates of a query at once.
+
+    The candidates of a query are gathered in one row, of which there are as many as were retrieved for it, and the scores are
+    spread over them again. A null array, or a null score in it, is a failed judgement.
+    """
+    items = F.array_sort(F.collect_list(F.struct("rank", F.struct(*docs.columns).alias("_row"))))
+    asked = docs.groupBy("query_id").agg(F.first("question").alias("_question"), items.alias("_items"))
+    judged = asked.withColumn("_scores", scores(F.col("_question"), F.transform("_items", lambda x: x["_row"]["content"])))
+    rows = judged.select("_scores", F.posexplode("_items").alias("_at", "_item")).select("_item._row.*", F.get("_scores", F.col("_at")).alias("_given"))
+    return reranked(rows, top_k, min_score, F.col("_given")).drop("_given")
+
+
 # Shapes in which a judge may state scores if it does not give JSON, tried in order.
 SCORE_SHAPES = (
     r"(?i)Document\s*(\d+)[:\s]+(\d+(?:\.\d+)?)",

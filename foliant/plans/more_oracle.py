@@ -77,6 +77,12 @@ FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM r) JOIN documents
 LEFT JOIN embeddings b ON b.vec_id = a.vec_id - 1 AND b.label = 2 WHERE a.label <> 3 AND NOT (a.label = 2 AND a.vec_id % 2 = 1 AND b.vec_id IS NOT NULL)""",
     "typed_search": """WITH scored AS (SELECT a.vec_id AS query_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS score FROM embeddings a JOIN embeddings b ON b.label = 2 AND b.vec_id % 2 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC) AS rank FROM scored) SELECT query_id, rank, round(score, 6) AS score, CAST(2 AS BIGINT) AS label, true AS even, true AS same FROM ranked WHERE rank <= 3""",
+    "judge_rerank": f"""WITH {o._ASKED}, judge AS (SELECT query_id, rank, id, {o._strip('question')} = '' AS blank, length(question) % 7 = 3 AS failed,
+  CASE WHEN {o._strip('question')} = '' THEN NULL WHEN length(question) % 7 = 3 THEN 0.5::DOUBLE ELSE length(substring(coalesce(content, ''), 1, 500)) % 11 / 10::DOUBLE END AS v FROM asked),
+placed AS (SELECT query_id, id, v, row_number() OVER (PARTITION BY query_id ORDER BY v DESC NULLS LAST, rank) AS place FROM judge WHERE blank OR failed OR v >= 0.3::DOUBLE)
+SELECT query_id, place AS rank, id, round(least(v, 1.0::DOUBLE), 9) AS rerank_score FROM placed WHERE place <= 3""",
+    "evaluate_external": f"""WITH {_CONTEXT}, asked AS (SELECT conv_id || '-' || turn AS query_id, answer, context, context IS NOT NULL AND answer <> '' AS there, length(answer) AS n FROM answers)
+SELECT query_id, CASE WHEN there AND n % 11 <> 0 THEN (1 + n) / 2::DOUBLE END AS overall, CASE WHEN there THEN n % 11 <> 0 END AS success, CASE WHEN context IS NOT NULL THEN 0.5::DOUBLE END AS avg_score, there AS measured FROM asked""",
     "passage_hits": f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len({o._tokens('b.text')}) > 0",
     "ingest_status": f"""{_RECURSIVE}, counted AS (SELECT doc_id, count(*) AS n, count(*) FILTER (len({o._words('t')}) = 0) AS lost FROM r GROUP BY doc_id)
 SELECT source AS document_name, {_DOCUMENT_ID} AS document_id, coalesce(n, 0) AS chunk_count, {o._strip('text')} <> '' AND coalesce(lost, 0) = 0 AS success FROM documents LEFT JOIN counted USING (doc_id)""",

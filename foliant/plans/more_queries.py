@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -223,6 +225,27 @@ def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "turn", F.col("_s")[0].alias("first"), F.col("_s")[1].alias("second"))
 
 
+def _counting_judge() -> object:
+    """Rates a document by its length, and fails for some questions."""
+
+    def judge(system: str, message: str) -> str:
+        question, documents = message.removeprefix("Question: ").split("\n\nRate each document from 0 to 10 as JSON.\n\n", 1)
+        if len(question) % 7 == 3:
+            raise RuntimeError("a call that fails")
+        parts = re.split(r"(?:^|\n\n)\[Document \d+\]\n", documents)[1:]
+        return "Scores: " + json.dumps({str(i): len(p) % 11 for i, p in enumerate(parts, 1)})
+
+    return judge
+
+
+@query
+def judge_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every vector's question finds, reranked by a judge that is asked once for all candidates of a question."""
+    scorer = answering.JudgeScorer(answering.RemoteAnswer(_counting_judge, attempts=1, parallel=4))
+    made = scorer.rerank(_asked(spark, sf_dir).select("query_id", "rank", "id", "question", "content"), 3, 0.3)
+    return made.select("query_id", _long(F.col("rank")).alias("rank"), "id", F.round("rerank_score", 9).alias("rerank_score"))
+
+
 # -- answers ------------------------------------------------------------------------------------------
 
 
@@ -274,6 +297,24 @@ def external_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("query_id", "faithfulness", "answer_relevancy", "success", "error", "overall")
 
 
+@query
+def evaluate_external(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole evaluations of answers and their contexts with an outside package, here one that counts; some of its calls fail."""
+
+    def client() -> object:
+        def run(question: str, answer: str, contexts: list[str]) -> dict[str, float]:
+            if len(answer) % 11 == 0:
+                raise RuntimeError("no score")
+            return {"faithfulness": float(len(contexts)), "answer_relevancy": float(len(answer))}
+
+        return run
+
+    rows = _answers(spark, sf_dir).select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.lit("q").alias("question"), "answer", "context")
+    docs = rows.where("context is not null").select("query_id", F.lit(1).alias("rank"), F.lit("d").alias("id"), F.col("context").alias("content"), F.lit(0.5).alias("score"))
+    made = evaluation.evaluate(rows, docs, how=evaluation.Evaluation(external=True), client=client)
+    return made.select("query_id", F.col("external.overall").alias("overall"), F.col("external.success").alias("success"), F.col("stats.avg_score").alias("avg_score"), F.col("generation").isNotNull().alias("measured"))
+
+
 @query
 def evaluation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluations that were kept twice, read back, and what is there after they are cleared."""
