@@ -26,6 +26,8 @@ class Settings:
     dimension: int = 256
     seed_demo: bool = False
     demo_fallback: bool = False
+    #: Where vectors are kept by text, so that no text is embedded twice; nowhere if empty.
+    embedding_table: str = ""
     chunking: str = "recursive"
     chunk_size: int = 512
     chunk_overlap: int = 50

@@ -9,6 +9,7 @@ from foliant.config import Settings
 from foliant.functions.text import is_blank
 from foliant.operators import bucketed, chunking, collection, evaluation, generation, metadata, ranking  # noqa: F401
 from foliant.operators.collection import tenant_collection
+from foliant.operators.embedding_table import EmbeddingTable
 from foliant.providers import answering, embedding
 from foliant.sources import files
 
@@ -31,6 +32,7 @@ class Engine:
         self.settings = Settings.of(spark, store_root=root, **settings)
         s = self.settings
         self.embedder = embedder or embedding.create(s.embedding_provider, dimension=s.dimension)
+        self.vectors = EmbeddingTable(spark, s.embedding_table, self.embedder) if s.embedding_table else None
         self.answerer = answerer or answering.create_answer(s.answer_provider)
         self.scorer = scorer or (answering.create_scorer(s.reranker) if s.reranking else None)
         self.recognizer = recognizer if s.ocr else None
@@ -76,9 +78,14 @@ class Engine:
         rows = docs if "file_path" in docs.columns else docs.withColumn("file_path", F.lit(""))
         made = chunking.chunk_rows(
             rows.where(~is_blank("text")).select("text", "source", "file_path"),
-            strategy=s.chunking, size=s.chunk_size, overlap=s.chunk_overlap, embed_all=self.embedder.embed_all, semantic=chunking.Semantic(s.similarity, s.chunk_min, s.chunk_max),
+            strategy=s.chunking, size=s.chunk_size, overlap=s.chunk_overlap, embed_all=self.embedder.embed_all, by_table=self.vectors and self.vectors.semantic, semantic=chunking.Semantic(s.similarity, s.chunk_min, s.chunk_max),
         )
-        return metadata.enriched(made).withColumn("embedding", self.embedder.embed(F.col("chunk_text")))
+        made = metadata.enriched(made)
+        if self.vectors is None:
+            return made.withColumn("embedding", self.embedder.embed(F.col("chunk_text")))
+        columns = made.columns
+        named = self.store.staged(made).withColumn("text", F.col("chunk_text"))
+        return self.vectors.attached(named).select(*columns, F.col("vector").alias("embedding"))
 
     def ingest(self, docs: DataFrame, tenant: str | None = None, mode: str = "merge") -> DataFrame:
         """Chunks, embeds and stores documents; one row for each with success, chunk_count, document_id and error.

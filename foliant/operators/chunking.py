@@ -237,15 +237,39 @@ def semantic_table(docs: DataFrame, text: str, embed_all: Callable[[Column], Col
     The sentences of a text are embedded together, in its own row, so that the provider may be a Python function with a
     client, and nothing is exchanged. Only texts that are cut by meaning have sentences to embed.
     """
+    rows = _sentences_of(docs, text, how)
+    return _cut_between(rows.withColumn("_alike", neighbour_cosines(embed_all(F.col("_asked")))), how)
+
+
+def semantic_table_by(docs: DataFrame, text: str, vectors: Callable[[DataFrame], DataFrame], store: Callable[[DataFrame], DataFrame], how: Semantic = Semantic()) -> DataFrame:
+    """As ``semantic_table``, with the vectors of sentences from a table.
+
+    ``vectors`` adds the column vector to rows with a column text; it is asked once for all sentences. ``store`` writes rows and reads
+    them again, so that the number given to each text stays the same. Sentences are exchanged, and vectors gathered again by text.
+    """
+    rows = store(_sentences_of(docs, text, how).withColumn("_row", F.monotonically_increasing_id()))
+    each = vectors(rows.select("_row", F.posexplode("_asked").alias("_at", "text")))
+    ordered = F.array_sort(F.collect_list(F.struct("_at", "vector")), lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0))
+    per = each.groupBy("_row").agg(F.transform(ordered, lambda x: x["vector"]).alias("_vectors"))
+    alike = per.select("_row", neighbour_cosines(F.col("_vectors")).alias("_alike"))
+    none = F.array().cast("array<double>")
+    return _cut_between(rows.join(alike, "_row", "left").withColumn("_alike", F.coalesce("_alike", none)), how).drop("_row")
+
+
+def _sentences_of(docs: DataFrame, text: str, how: Semantic) -> DataFrame:
+    """Texts with their sentences (_items), and with those that are to be embedded (_asked): of texts that are cut by meaning."""
     how, none = how.fixed(), F.array().cast("array<string>")
-    t, items, alike = F.col("_t"), F.col("_items"), F.col("_alike")
     rows = docs.withColumn("_t", strip(F.coalesce(F.col(text), F.lit(""))))
-    rows = rows.withColumn("_items", F.when(F.length("_t") > how.most, long_sentences(t)).otherwise(none))
-    rows = rows.withColumn("_alike", neighbour_cosines(embed_all(F.when(F.size("_items") > 2, items).otherwise(none))))
+    rows = rows.withColumn("_items", F.when(F.length("_t") > how.most, long_sentences(F.col("_t"))).otherwise(none))
+    return rows.withColumn("_asked", F.when(F.size("_items") > 2, F.col("_items")).otherwise(none))
+
+
+def _cut_between(rows: DataFrame, how: Semantic) -> DataFrame:
+    how, t, items, alike = how.fixed(), F.col("_t"), F.col("_items"), F.col("_alike")
     chunks = F.when(t == "", _empty()).when((F.length("_t") <= how.most) | (F.size("_items") <= 2), F.array(t)).otherwise(
         _by_meaning(t, segments_by(items, alike, how.threshold), F.exists(alike, lambda a: a.isNull()), how)
     )
-    return rows.withColumn("_chunks", chunks).drop("_t", "_items", "_alike")
+    return rows.withColumn("_chunks", chunks).drop("_t", "_items", "_asked", "_alike")
 
 
 def chunk_column(text: Column | str, strategy: str = "recursive", size: int = 512, overlap: int = 50, embed: Callable[[Column], Column] | None = None, semantic: Semantic | None = None) -> Column:
@@ -271,13 +295,15 @@ def with_offsets(text: Column, chunks: Column) -> Column:
     return F.aggregate(chunks, start, step, lambda s: s["done"])
 
 
-def chunk_rows(docs: DataFrame, text: str = "text", embed_all: Callable[[Column], Column] | None = None, **how) -> DataFrame:
+def chunk_rows(docs: DataFrame, text: str = "text", embed_all: Callable[[Column], Column] | None = None, by_table: Callable[[DataFrame, str, Semantic], DataFrame] | None = None, **how) -> DataFrame:
     """One row for each chunk, with the columns of ``docs`` but the text: chunk_text, chunk_index, total_chunks.
 
-    The semantic strategy takes ``embed_all`` where it is given; see ``semantic_table``.
+    The semantic strategy takes ``by_table`` or ``embed_all`` where they are given; see ``semantic_table_by`` and ``semantic_table``.
     """
     rest = [c for c in docs.columns if c != text]
-    if embed_all is not None and how.get("strategy") == "semantic":
+    if by_table is not None and how.get("strategy") == "semantic":
+        made = by_table(docs, text, how.get("semantic") or Semantic())
+    elif embed_all is not None and how.get("strategy") == "semantic":
         made = semantic_table(docs, text, embed_all, how.get("semantic") or Semantic())
     else:
         made = docs.select(*rest, chunk_column(F.col(text), **how).alias("_chunks"))

@@ -83,6 +83,7 @@ placed AS (SELECT query_id, id, v, row_number() OVER (PARTITION BY query_id ORDE
 SELECT query_id, place AS rank, id, round(least(v, 1.0::DOUBLE), 9) AS rerank_score FROM placed WHERE place <= 3""",
     "evaluate_external": f"""WITH {_CONTEXT}, asked AS (SELECT conv_id || '-' || turn AS query_id, answer, context, context IS NOT NULL AND answer <> '' AS there, length(answer) AS n FROM answers)
 SELECT query_id, CASE WHEN there AND n % 11 <> 0 THEN (1 + n) / 2::DOUBLE END AS overall, CASE WHEN there THEN n % 11 <> 0 END AS success, CASE WHEN context IS NOT NULL THEN 0.5::DOUBLE END AS avg_score, there AS measured FROM asked""",
+    "semantic_chunks_once": o.SQL["semantic_chunks"],
     "passage_hits": f"SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len({o._tokens('b.text')}) > 0",
     "ingest_status": f"""{_RECURSIVE}, counted AS (SELECT doc_id, count(*) AS n, count(*) FILTER (len({o._words('t')}) = 0) AS lost FROM r GROUP BY doc_id)
 SELECT source AS document_name, {_DOCUMENT_ID} AS document_id, coalesce(n, 0) AS chunk_count, {o._strip('text')} <> '' AND coalesce(lost, 0) = 0 AS success FROM documents LEFT JOIN counted USING (doc_id)""",

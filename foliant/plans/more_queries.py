@@ -22,6 +22,7 @@ from foliant.operators import retrieval_metrics as ret
 from foliant.operators.bucketed import BucketedStore
 from foliant.operators.collection import create as create_store
 from foliant.operators.collection import tenant_collection
+from foliant.operators.embedding_table import EmbeddingTable
 from foliant.plans.queries import Query, _answers, _asked, _evaluated, _judged, _lexical, _points, _rounded, _scratch, _table
 from foliant.providers import answering, embedding
 from foliant.sources import files
@@ -445,6 +446,21 @@ def typed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", _long(F.col("rank")).alias("rank"), F.round("score", 6).alias("score"), member("$.label", "bigint").alias("label"), member("$.even", "boolean").alias("even"), (member("$.list[0]", "bigint") == member("$.inner.quarter", "double") * 4).alias("same"))
 
 
+def _hashing() -> object:
+    """A client that embeds as the local provider does."""
+    return lambda texts: [embedding.hashed_vector(t, 256) for t in texts]
+
+
+@query
+def semantic_chunks_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The semantic strategy with the vectors of a remote client from a table of vectors, made twice: the second time no text is new."""
+    table = EmbeddingTable(spark, _scratch(spark), embedding.Remote(_hashing, 256))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    for _ in range(2):
+        made = table.semantic(docs, "text")
+    return made.select("doc_id", _long(F.size("_chunks")).alias("n"), _md5(F.array_join("_chunks", "\u001f")).alias("items_md5"))
+
+
 @query
 def passage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents contain which passages of the benchmark."""

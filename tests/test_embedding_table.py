@@ -1,0 +1,96 @@
+"""Vectors kept by text: no text is embedded twice, and chunks are those made without the table."""
+
+import uuid
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from foliant.engine import Engine
+from foliant.operators import chunking
+from foliant.operators.embedding_table import EmbeddingTable
+from foliant.providers import embedding
+
+
+def counting(folder, n=64, broken=()):
+    """A client that notes what it is asked, in files of its own."""
+    broken = tuple(broken)
+
+    def make():
+        def call(texts):
+            if any(b in t for t in texts for b in broken):
+                raise RuntimeError("down")
+            Path(folder, uuid.uuid4().hex).write_text("\x1f".join(texts))
+            return [v.tolist() if (v := embedding.hashed_vector(t, n)) is not None else None for t in texts]
+
+        return call
+
+    return make
+
+
+def asked(folder):
+    return sorted(t for p in Path(folder).iterdir() for t in p.read_text().split("\x1f"))
+
+
+TEXTS = [
+    "Rivers carry stones to the harbour. Rivers carry sand to the harbour. Winter closes the garden. Nobody walks there now. " * 8,
+    "Rivers carry stones to the harbour. Winter closes the garden. Letters cross the harbour at night. " * 9,
+    "short", "", None, "  ", "?! ?! " * 60, "Rivers carry stones to the harbour. Rivers carry sand to the harbour. Winter closes the garden. Nobody walks there now. " * 8,
+]
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    table = EmbeddingTable(spark, f"file://{tmp_path}/table", embedding.Remote(counting(calls), 64, batch=3))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["one stone", "two", "one stone", None, " ", "one stone"] * 50)], "id long, text string").repartition(4)
+    got = {r["id"]: r["vector"] for r in table.attached(rows).collect()}
+    assert asked(calls) == ["one stone", "two"] and len(got) == 300
+    assert got[0] == got[5] == embedding.hashed_vector("one stone", 64).tolist() and got[3] is None and got[4] is None
+    more = spark.createDataFrame([(1, "two"), (2, "three")], "id long, text string")
+    assert table.attached(more).where("vector is not null").count() == 2
+    assert asked(calls) == ["one stone", "three", "two"]
+    # Another provider has vectors of its own under the same path.
+    other = EmbeddingTable(spark, f"file://{tmp_path}/table", embedding.Remote(counting(calls, 8), 8))
+    assert len(other.attached(more.where("id = 1")).first()["vector"]) == 8 and asked(calls).count("two") == 2
+    assert table.attached(more.where("false")).count() == 0
+
+
+def test_failed_texts_are_asked_again(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    rows = spark.createDataFrame([("good stone",), ("bad stone",)], "text string")
+    down = EmbeddingTable(spark, f"file://{tmp_path}/table", embedding.Remote(counting(calls, broken=["bad"]), 64, batch=1, attempts=2, wait=0.0))
+    assert {r["text"]: r["vector"] is not None for r in down.attached(rows).collect()} == {"good stone": True, "bad stone": False}
+    up = EmbeddingTable(spark, f"file://{tmp_path}/table", embedding.Remote(counting(calls), 64))
+    assert up.attached(rows).where("vector is null").isEmpty() and asked(calls) == ["bad stone", "good stone"]
+
+
+def test_chunks_by_the_table_are_the_same(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").repartition(3)
+    how = chunking.Semantic(0.5, 30, 200)
+    table = EmbeddingTable(spark, f"file://{tmp_path}/table", embedding.Remote(counting(calls), 64))
+    got = {r["doc_id"]: r["_chunks"] for r in table.semantic(docs, "text", how).collect()}
+    plain = {r["doc_id"]: r["_chunks"] for r in chunking.semantic_table(docs, "text", embedding.HashedTerms(64).embed_all, how).collect()}
+    assert got == plain and len(got[0]) > 2 and got[2] == ["short"] and got[3] == got[4] == got[5] == []
+    seen = asked(calls)
+    assert len(seen) == len(set(seen)) and sum("stones" in t for t in seen) == 1
+    table.semantic(docs, "text", how).count()
+    # Only what has no vector, a text without words, is asked for again.
+    assert {t for t in asked(calls) if asked(calls).count(t) > 1} <= {t for t in seen if embedding.hashed_vector(t, 64) is None}
+
+
+def test_a_second_ingestion_calls_nothing(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    docs = spark.createDataFrame([(t, f"f{i}") for i, t in enumerate(TEXTS[:3])], "text string, source string")
+    points = []
+    for _ in range(2):
+        engine = Engine(spark, root=f"file://{tmp_path}/store", embedder=embedding.Remote(counting(calls), 64), embedding_table=f"file://{tmp_path}/table", chunking="semantic", chunk_min=30, chunk_max=200)
+        assert all(r["success"] for r in engine.ingest(docs).collect())
+        points.append((engine.store.count(engine.settings.collection), len(asked(calls))))
+    assert points[0] == points[1] and points[0][1] > 0
+    held = engine.store.read(engine.settings.collection)
+    wrong = held.where(F.size("embedding") != 64)
+    assert wrong.isEmpty() and held.first()["embedding"] == embedding.hashed_vector(held.first()["text"], 64).tolist()
