@@ -56,9 +56,12 @@ def packed(pieces: Column, size: int) -> Column:
 
 
 def forced(text: Column, size: int) -> Column:
-    """Windows of ``size`` characters, stripped; blank ones are dropped."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), F.lit(size))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: strip(F.substring(text, i, F.lit(size)))), lambda c: c != "")
+    """Windows of ``size`` characters, stripped; blank ones are dropped. All are cut in one pass over the text."""
+    return F.filter(F.transform(_parts(text, size), strip), lambda c: c != "")
+
+
+def _parts(text: Column, size: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"((?s:.{{1,{size}}}))"), 1)
 
 
 def _checked(size: int, overlap: int) -> None:
@@ -281,18 +284,39 @@ def chunk_column(text: Column | str, strategy: str = "recursive", size: int = 51
     return recursive_chunks(text, size, overlap)
 
 
+#: Characters of the parts in which a text is searched for its chunks.
+_PART = 8192
+
+
 def with_offsets(text: Column, chunks: Column) -> Column:
     """Array of struct(text, index, start_char, end_char): each chunk is looked for after the start of the one before;
-    one that is not found stands where the search began."""
+    one that is not found stands where the search began.
+
+    A position in a long text is found by counting from its beginning. The text is parted once, and a chunk is looked for in
+    the parts from where the search begins on that can hold it; in all the rest only if it is not there.
+    """
     start = F.struct(F.array().cast("array<struct<text:string,index:int,start_char:int,end_char:int>>").alias("done"), F.lit(0).alias("at"))
 
-    def step(s: Column, c: Column) -> Column:
-        found = F.when(s["at"] < F.length(text), F.position(c, text, s["at"] + 1)).otherwise(0)
-        at = F.when(found > 0, found - 1).otherwise(s["at"])
-        item = F.struct(c.alias("text"), F.size(s["done"]).alias("index"), at.cast("int").alias("start_char"), (at + F.length(c)).cast("int").alias("end_char"))
-        return F.struct(F.concat(s["done"], F.array(item)).alias("done"), (at + 1).cast("int").alias("at"))
+    def found_at(parts: Column, c: Column, at: Column) -> Column:
+        first = F.floor(at / _PART).cast("int")
+        near = F.array_join(F.slice(parts, first + 1, F.ceil(F.length(c) / _PART).cast("int") + 2), "")
+        place = F.position(c, near, at - first * _PART + 1)
+        return F.when(place > 0, place + first * _PART).otherwise(F.position(c, text, at + 1))
+
+    def step(parts: Column, length: Column) -> Callable[[Column, Column], Column]:
+        def add(s: Column, c: Column) -> Column:
+            place = F.when(s["at"] < length, found_at(parts, c, s["at"])).otherwise(0)
+
+            def item(found: Column) -> Column:
+                at = F.when(found > 0, found - 1).otherwise(s["at"])
+                made = F.struct(c.alias("text"), F.size(s["done"]).alias("index"), at.cast("int").alias("start_char"), (at + F.length(c)).cast("int").alias("end_char"))
+                return F.struct(F.concat(s["done"], F.array(made)).alias("done"), (at + 1).cast("int").alias("at"))
+
+            return let(place, item)
+
+        return add
 
-    return F.aggregate(chunks, start, step, lambda s: s["done"])
+    return let(_parts(text, _PART), lambda ps: let(F.length(text), lambda n: F.aggregate(chunks, start, step(ps, n), lambda s: s["done"])))
 
 
 def chunk_rows(docs: DataFrame, text: str = "text", embed_all: Callable[[Column], Column] | None = None, by_table: Callable[[DataFrame, str, Semantic], DataFrame] | None = None, **how) -> DataFrame:

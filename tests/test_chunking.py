@@ -1,6 +1,7 @@
 """Chunkers against an independent specification on random texts, and their edge cases."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,34 @@ def test_hashed_terms_in_both_forms(spark, n):
     provider = embedding.HashedTerms(n)
     column, table = frame.select(F.transform("x", provider.embed).alias("a"), provider.embed_all(F.col("x")).alias("b")).first()
     assert [None if v is None else pytest.approx(v) for v in column] == table and all(v is None or len(v) == n for v in table)
+
+
+def test_offsets_in_long_texts(spark):
+    """Offsets equal str.find over parts of the search; and twice the text takes about twice the time."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(12):
+        text = "".join(rng.choice("ab é漢😀\n") for _ in range(rng.choice([0, 5, 8191, 8192, 8193, 30_000])))
+        cuts = sorted(rng.randint(0, len(text)) for _ in range(8))
+        pieces = [text[a : a + rng.choice([1, 40, 9000])] for a in cuts] + ["not there", ""]
+        rows.append((i, text, pieces))
+    made = spark.createDataFrame(rows, "i int, t string, c array<string>").select("i", chunking.with_offsets(F.col("t"), F.col("c")).alias("o")).collect()
+    for r in made:
+        _, text, pieces = rows[r["i"]]
+        at = 0
+        for k, (c, o) in enumerate(zip(pieces, r["o"], strict=True)):
+            found = text.find(c, at) if at < len(text) else -1
+            begin = found if found >= 0 else at
+            assert (o["index"], o["start_char"], o["end_char"]) == (k, begin, begin + len(c))
+            at = begin + 1
+
+    def took(words):
+        text = " ".join(f"w{i % 997}" for i in range(words))
+        frame = spark.createDataFrame([(text,)], "t string").select(F.size(chunking.with_offsets(F.col("t"), chunking.forced(F.col("t"), 512))).alias("n"))
+        begin = time.perf_counter()
+        assert frame.first()["n"] == -(-len(text) // 512)
+        return time.perf_counter() - begin
+
+    took(5000)
+    few = min(took(40_000) for _ in range(2))
+    assert min(took(80_000) for _ in range(2)) < 2.5 * max(few, 0.4)
