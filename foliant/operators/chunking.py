@@ -305,7 +305,7 @@ def with_offsets(text: Column, chunks: Column) -> Column:
 
     def step(parts: Column, length: Column) -> Callable[[Column, Column], Column]:
         def add(s: Column, c: Column) -> Column:
-            place = F.when(s["at"] < length, found_at(parts, c, s["at"])).otherwise(0)
+            place = F.when((s["at"] < length) & (c != ""), found_at(parts, c, s["at"])).otherwise(0)
 
             def item(found: Column) -> Column:
                 at = F.when(found > 0, found - 1).otherwise(s["at"])
