@@ -42,11 +42,8 @@ SELECT CAST(doc_id AS VARCHAR) AS path, md5(t) AS text_md5, recognized, CASE WHE
     "chunk_metadata": f"""WITH {_ROWS} SELECT source || '_chunk_' || i || '_' || substring(md5(t), 1, 8) AS chunk_id,
   'char_count=' || length(t) || ';chunk_index=' || i || ';document_id=' || {_DOCUMENT_ID} || ';file_path=/corpus/' || doc_id || ';source=' || source || ';system=tests;word_count=' || len({o._tokens('t')}) AS stored FROM rows""",
     "chunk_strategies": " UNION ALL ".join(f"SELECT doc_id, n, '{name}' AS strategy FROM ({o.SQL[source]}) WHERE n > 0" for name, source in (("recursive", "recursive_chunks"), ("sentence", "sentence_chunks"), ("other", "recursive_chunks"))),
-    "refused_settings": _values("setting, kept", ("512/50", True), ("512/512", False), ("0/0", False), ("10/-1", False), ("10/9", True), ("0.75/100/1000", True), ("0.75/100/1000", False), ("0.5/250/1000", False)),
-    "batch_ids": "SELECT true AS well_formed, CAST(2 AS BIGINT) AS n",
     "remote_embed": """WITH asked AS (SELECT conv_id, turn, text, turn % 5 <> 4 AND trim(text) <> '' AS there FROM conversations)
 SELECT conv_id, turn, CASE WHEN there THEN CAST(length(text) AS DOUBLE) END AS chars, CASE WHEN there THEN CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) END AS spaces, CAST(CASE WHEN there THEN 3 ELSE -1 END AS BIGINT) AS dimension FROM asked""",
-    "provider_registry": _values("kind, name, number", ("embedding", "hashed-terms", 64), ("answer", "extractive", None), ("scorer", "lexical", None), ("embedding", "refused", None), ("answer", "refused", None), ("scorer", "refused", None), ("store", "refused", None), ("width", "reranked", 20), ("width", "plain", 5)).replace("SELECT *", "SELECT kind, name, CAST(number AS BIGINT) AS number"),
     "remote_answers": f"""WITH {_CONTEXT}, asked AS (SELECT conv_id, turn, answer AS question, context, length('Context:' || chr(10) || '---' || chr(10) || CASE WHEN context IS NULL THEN '' ELSE 'Document 1 (from turn):' || chr(10) || context END || chr(10) || '---' || chr(10) || chr(10) || 'Question: ' || answer) AS n FROM answers)
 SELECT conv_id, turn, n % 7 NOT IN (3, 5) AS answered, md5(CASE WHEN n % 7 NOT IN (3, 5) THEN 'Be brief.|' || n ELSE 'No answer could be generated. ' || CASE WHEN context IS NULL THEN 0 ELSE 1 END || ' documents were found for: ' || question END) AS answer_md5 FROM asked""",
     "judge_scores": f"""WITH {_CONTEXT}, asked AS (SELECT conv_id, turn, length('Question: which?' || chr(10) || chr(10) || 'Rate each document from 0 to 10 as JSON.' || chr(10) || chr(10) || '[Document 1]' || chr(10) || substring(answer, 1, 500) || chr(10) || chr(10) || '[Document 2]' || chr(10) || substring(context, 1, 500)) AS n FROM answers WHERE context IS NOT NULL)
@@ -64,12 +61,10 @@ SELECT query_id, round(ar - br, 9) AS recall_at_k_change, round(ap - bp, 9) AS p
     "external_scores": f"""WITH {_CONTEXT}, asked AS (SELECT conv_id || '-' || turn AS query_id, CASE WHEN context IS NULL THEN 0 ELSE 1 END AS c, length(answer) AS n, length(answer) % 11 <> 0 AS success FROM answers)
 SELECT query_id, CASE WHEN success THEN CAST(c AS DOUBLE) END AS faithfulness, CASE WHEN success THEN CAST(n AS DOUBLE) END AS answer_relevancy, success, CASE WHEN NOT success THEN 'no score' END AS error, CASE WHEN success THEN (c + n) / 2::DOUBLE END AS overall FROM asked""",
     "evaluation_history": f"WITH {o._EVALUATED} SELECT r.query_id, CAST(2 AS BIGINT) AS n, g.query_id IS NOT NULL AS measured FROM runs r LEFT JOIN ratios g USING (query_id)",
-    "external_status": _values("client, available, metrics", (True, True, "faithfulness,answer_relevancy,context_precision,context_recall"), (False, False, "")),
     "context_texts": f"WITH {o._RETRIEVED} SELECT query_id, md5(string_agg(coalesce(content, ''), ' ' ORDER BY rank)) AS context_md5 FROM docs JOIN documents q ON q.doc_id = query_id GROUP BY query_id",
     "point_count": "WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT state, CAST(times * n AS BIGINT) AS n FROM n, (VALUES ('missing', 0), ('created', 0), ('filled', 1), ('appended', 2), ('dropped', 0)) t(state, times)",
     "collection_lifecycle": _values("step, done", ("exists", False), ("create", True), ("create again", False), ("upsert", True), ("other length", False), ("no collection", False), ("drop", True), ("drop again", True), ("gone", False)),
     "tenant_collections": "SELECT 'rag_tenant' || (label % 3) AS collection, count(*) AS total_points FROM embeddings GROUP BY 1",
-    "settings_described": _values("name, value", ("embedding_provider", "remote"), ("answer_api_key", "***"), ("embedding_api_key", ""), ("store_root", "/r"), ("storage_mode", "path"), ("final_top_k", "7"), ("chunk_size", "512"), ("chunk_overlap", "50"), ("similarity", "0.75"), ("retrieval_top_k", "20"), ("question_chars", "10000"), ("problem", "embedding_api_key is not set")),
     "chunk_stream": f"{_RECURSIVE} SELECT doc_id, source || '_chunk_' || k || '_' || substring(md5(t), 1, 8) AS chunk_id, length(t) AS chars FROM r JOIN documents USING (doc_id)",
     "ingest_stream": f"""{_RECURSIVE} SELECT source || '_chunk_' || k || '_' || substring(md5(t), 1, 8) AS chunk_id, {_DOCUMENT_ID} AS document_id, k AS chunk_index, CAST(n AS BIGINT) AS total_chunks, length(t) AS chars
 FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM r) JOIN documents USING (doc_id) WHERE len({o._words('t')}) > 0""",

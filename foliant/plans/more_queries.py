@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.config import Settings
 from foliant.engine import Engine
 from foliant.functions.text import strip
 from foliant.operators import chunking, evaluation, generation, metadata, passages, ranking
@@ -142,30 +141,6 @@ def chunk_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query
-def refused_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which sizes and overlaps are refused, and what semantic settings out of range become."""
-    rows = []
-    for size, overlap in ((512, 50), (512, 512), (0, 0), (10, -1), (10, 9)):
-        try:
-            chunking.recursive_chunks(F.lit(""), size, overlap)
-            rows.append((f"{size}/{overlap}", True))
-        except ValueError:
-            rows.append((f"{size}/{overlap}", False))
-    for how in (chunking.Semantic(), chunking.Semantic(2.0), chunking.Semantic(0.5, 2000, 1000)):
-        f = how.fixed()
-        rows.append((f"{f.threshold}/{f.least}/{f.most}", f == how))
-    return _frame(spark, rows, "setting string, kept boolean")
-
-
-@query
-def batch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batch ids differ and have the form batch_DATE_TIME_HEX."""
-    names = [metadata.batch_id(spark) for _ in range(2)]
-    rows = _frame(spark, [(n,) for n in names], "name string")
-    return rows.agg(F.min(F.col("name").rlike(r"^batch_\d{8}_\d{6}_[0-9a-f]{8}$")).alias("well_formed"), F.count_distinct("name").alias("n"))
-
-
 # -- providers ----------------------------------------------------------------------------------------
 
 
@@ -181,19 +156,6 @@ def remote_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.col("_v")[0].cast("double").alias("chars"), F.col("_v")[1].cast("double").alias("spaces"), F.coalesce(F.size("_v"), F.lit(-1)).cast("long").alias("dimension"))
 
 
-@query
-def provider_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The providers that names give, their dimension, and that unknown names are refused."""
-    rows = [("embedding", embedding.create("hashed", dimension=64).name, embedding.create("hashed", dimension=64).dimension()), ("answer", answering.create_answer("extractive").name, None), ("scorer", answering.create_scorer("lexical").name, None)]
-    for kind, make in (("embedding", embedding.create), ("answer", answering.create_answer), ("scorer", answering.create_scorer), ("store", lambda n: create_store(n, spark, "x"))):
-        try:
-            make("no such provider")
-        except ValueError:
-            rows.append((kind, "refused", None))
-    rows += [("width", "reranked", ranking.width(True)), ("width", "plain", ranking.width(False))]
-    return _frame(spark, rows, "kind string, name string, number long")
-
-
 def _echo() -> object:
     def answer(system: str, message: str) -> str:
         if len(message) % 7 == 3:
@@ -326,12 +288,6 @@ def evaluation_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept
 
 
-@query
-def external_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(there, s["available"], ",".join(s["metrics"])) for there in (True, False) for s in [evaluation.external_status(object() if there else None)]]
-    return _frame(spark, rows, "client boolean, available boolean, metrics string")
-
-
 @query
 def context_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The context that an answer is judged against: the texts found, in order."""
@@ -378,15 +334,6 @@ def tenant_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query
-def settings_described(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settings as they are shown: given ones win, secrets are masked; and what is wrong with them."""
-    made = Settings.of(spark, store_root="/r", embedding_provider="remote", answer_api_key="secret", final_top_k=7)
-    shown = made.described()
-    names = ("embedding_provider", "answer_api_key", "embedding_api_key", "store_root", "storage_mode", "final_top_k", "chunk_size", "chunk_overlap", "similarity", "retrieval_top_k", "question_chars")
-    return _frame(spark, [(n, str(shown[n])) for n in names] + [("problem", p) for p in made.problems()], "name string, value string")
-
-
 # -- whole runs ---------------------------------------------------------------------------------------
 
 

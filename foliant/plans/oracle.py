@@ -246,7 +246,8 @@ SELECT query_id, place AS rank, id, round(s, 9) AS rerank_score FROM placed WHER
     "rerank_impact": f"""WITH {_ASKED}, after AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank) AS place FROM judged) WHERE place <= 3)
 SELECT j.query_id, bool_or(a2.id IS DISTINCT FROM j.id) AS order_changed, round(count(a1.id) / count(*)::DOUBLE, 9) AS overlap_ratio, CAST(coalesce(sum(abs(a1.place - j.rank)), 0) AS BIGINT) AS position_changes
 FROM judged j LEFT JOIN after a1 ON a1.query_id = j.query_id AND a1.id = j.id LEFT JOIN after a2 ON a2.query_id = j.query_id AND a2.place = j.rank GROUP BY j.query_id""",
-    "parse_scores": "SELECT CAST(a AS INTEGER) AS id, CAST(b AS BIGINT) AS document, CAST(c AS DOUBLE) AS score FROM (VALUES (1, 1, 0.8), (1, 2, 0.3), (1, 3, 0.5), (2, 1, 0.7), (2, 2, 1.0), (3, 1, 0.5), (3, 2, 0.45), (4, 1, 0.5), (4, 2, 0.5), (5, 1, 0.5), (5, 2, 0.0), (5, 3, 0.9), (6, 1, 0.5), (6, 2, 0.6), (7, 1, 0.5)) t(a, b, c)",
+    "parse_scores": """WITH t AS (SELECT conv_id, turn, conv_id % 5 AS shape, least(length(coalesce(text, '')) % 13 / 10::DOUBLE, 1) AS a, (turn % 10 + 0.5::DOUBLE) / 10 AS b FROM conversations)
+SELECT conv_id, turn, d AS document, round(CASE WHEN d = 1 AND shape < 4 THEN a WHEN d = 2 AND shape < 3 THEN b ELSE 0.5::DOUBLE END, 9) AS score FROM t, (VALUES (CAST(1 AS BIGINT)), (2)) v(d)""",
     "key_terms": _items(f"list_sort({_terms('text')})"),
     "bigrams": f"WITH words AS (SELECT doc_id, {_words('text')} AS u FROM documents), made AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1]))) AS i FROM words) SELECT doc_id, len(i) AS n, {_digest('i')} AS items_md5 FROM made",
     "sentences": f"WITH {_WITH_SENTENCES} SELECT doc_id, len(s) AS n, {_digest('s')} AS items_md5 FROM sentences",
@@ -286,7 +287,6 @@ SELECT conv_id, turn, CASE WHEN n > 0 THEN round(list_sum(list_transform(c, lamb
     "html_text": f"WITH made AS (SELECT page_id, {_html()} AS t FROM pages) SELECT page_id, md5(t) AS text_md5, length(t) AS chars FROM made",
     "file_router": r"""WITH paths AS (SELECT page_id, url || ['.TXT', '.md', '.html', '.docx', '.exe'][page_id % 5 + 1] AS path FROM pages), e AS (SELECT page_id, lower(regexp_extract(path, '(\.[^./\\]+)$', 1)) AS extension FROM paths)
 SELECT page_id, extension, CASE WHEN extension IN ('.txt', '.text', '.md', '.markdown') THEN 'text' WHEN extension IN ('.html', '.htm') THEN 'html' WHEN extension = '.pdf' THEN 'pdf' WHEN extension = '.docx' THEN 'docx' END AS reader FROM e""",
-    "format_list": "SELECT a AS extension, b AS reader FROM (VALUES ('.txt', 'text'), ('.text', 'text'), ('.md', 'text'), ('.markdown', 'text'), ('.html', 'html'), ('.htm', 'html'), ('.pdf', 'pdf'), ('.docx', 'docx')) t(a, b)",
     "tenant_lookup": "SELECT tenant, CAST(count(*) AS BIGINT) AS n FROM documents JOIN (VALUES ('src0', 'zeta'), ('src1', 'beta:two'), ('src2', 'acme')) t(k, tenant) ON k = source GROUP BY tenant",
     "generation_metrics": f"WITH {_GEN}, {_generation('answers', 'conv_id, turn')} SELECT conv_id, turn, {_GEN_ROUNDED}, answer_length, answer_word_count, answer_sentence_count, context_length, key_terms_in_answer, total_key_terms FROM ratios",
     "generation_metrics_avg": f"WITH {_GEN}, {_generation('answers', 'conv_id, turn')} SELECT round(avg(faithfulness_score), 9) AS avg_faithfulness_score, round(avg(context_coverage), 9) AS avg_context_coverage, round(avg(hallucination_risk), 9) AS avg_hallucination_risk, round(avg(answer_length), 9) AS avg_answer_length, round(avg(answer_word_count), 9) AS avg_answer_word_count, count(*) AS num_answers FROM ratios",

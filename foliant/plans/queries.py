@@ -167,22 +167,20 @@ def rerank_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("overlap_ratio", F.round("overlap_ratio", 9))
 
 
-RESPONSES = (
-    (1, '{"1": 8, "2": 3}', 3),
-    (2, "Document 1: 7 and Document 2: 12", 2),
-    (3, "[Document 2]: 4.5", 2),
-    (4, "no scores at all", 2),
-    (5, 'text {"1": "x", "3": 9, "2": -4} more', 3),
-    (6, "1=5, 2: 6", 2),
-    (7, '{"9": 5}', 1),
-)
-
-
 @query
 def parse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(RESPONSES), "id int, response string, n int")
-    made = rows.select("id", F.posexplode(ranking.parsed_scores(F.col("response"), F.col("n"))).alias("_p", "score"))
-    return made.select("id", (F.col("_p") + 1).cast("long").alias("document"), "score")
+    """Scores of two documents from responses in several shapes, whose figures are the length and the place of each turn."""
+    a, b = (F.length(F.coalesce("text", F.lit(""))) % 13).cast("string"), F.concat((F.col("turn") % 10).cast("string"), F.lit(".5"))
+    shapes = [
+        F.concat(F.lit('Scores: {"1": '), a, F.lit(', "2": '), b, F.lit("}")),
+        F.concat(F.lit("Document 1: "), a, F.lit("\nDocument 2: "), b),
+        F.concat(F.lit("[Document 2]: "), b, F.lit(" and [Document 1]: "), a),
+        F.concat(F.lit('1 = '), a, F.lit(', 3 = 4')),
+        F.lit("neither is of use"),
+    ]
+    response = F.element_at(F.array(*shapes), (F.pmod("conv_id", F.lit(5)) + 1).cast("int"))
+    made = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(ranking.parsed_scores(response, F.lit(2))).alias("_p", "score"))
+    return made.select("conv_id", "turn", (F.col("_p") + 1).cast("long").alias("document"), F.round("score", 9).alias("score"))
 
 
 # -- text ---------------------------------------------------------------------------------------------
@@ -309,11 +307,6 @@ def file_router(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", files.extension(F.col("path")).alias("extension"), files.reader_for(F.col("path")).alias("reader"))
 
 
-@query
-def format_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.formats(spark)
-
-
 @query
 def tenant_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each source by the tenant its key belongs to."""
