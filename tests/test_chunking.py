@@ -260,3 +260,13 @@ def test_offsets_in_long_texts(spark):
     took(5000)
     few = min(took(40_000) for _ in range(2))
     assert min(took(80_000) for _ in range(2)) < 2.5 * max(few, 0.4)
+
+
+def test_likeness_without_vectors_is_that_of_vectors(spark):
+    rows = [(["one stone", "two stones", "", None, "?!", "one stone", "one stone two"],), ([],), (None,), (["alone"],), (["?!", "word"],)]
+    frame = spark.createDataFrame(rows, "t array<string>")
+    provider = HashedTerms(32)
+    got = frame.select(provider.alike(F.col("t")).alias("a"), neighbour_cosines(provider.embed_all(F.col("t"))).alias("b")).collect()
+    for r in got:
+        assert (r["a"] is None) == (r["b"] is None)
+        assert [x if x is None else round(x, 12) for x in r["a"] or []] == [x if x is None else round(x, 12) for x in r["b"] or []]
