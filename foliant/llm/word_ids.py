@@ -52,6 +52,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        bar = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.bar = bar[0] if len(bar) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -60,13 +62,26 @@ class WordEncoder:
         self.begins, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.n_bytes = 0
 
-    def _library(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+    def _library(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, how many each word has), of words without blanks: as one text, with a bar between any two."""
+        joined = b" | ".join(words)
+        if self.bar is not None and joined.count(b"|") == len(words) - 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([joined.decode()], add_special_tokens=False)[0].ids, np.uint32)
+            bars = ids == self.bar
+            at = np.flatnonzero(bars)
+            if len(at) == len(words) - 1:
+                ends = np.append(at, len(ids))
+                return ids[~bars], np.diff(ends, prepend=-1) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        return np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
-        found = self._library(words)
-        sizes = np.array([len(x) for x in found], np.int64)
-        flat = np.array([i for x in found for i in x], np.uint32)
+        """Words with a bar are few; the others are encoded some thousands at a time."""
+        odd = [w for w in words if b"|" in w]
+        if odd:
+            words = [w for w in words if b"|" not in w] + odd
+        parts = [self._library(part) for cut in (words[: len(words) - len(odd)], odd) for at in range(0, len(cut), 20_000) if (part := cut[at : at + 20_000])]
+        flat, sizes = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         at = len(self.known)
         while at + len(words) > len(self.begins):
             self.begins, self.sizes = np.concatenate([self.begins, self.begins]), np.concatenate([self.sizes, self.sizes])
@@ -94,10 +109,9 @@ class WordEncoder:
         begins, sizes, ids = self.begins[at], self.sizes[at], self.ids
         long = np.flatnonzero(at < 0)
         if len(long):
-            found = self._library([distinct[i] for i in long.tolist()])
-            sizes[long] = [len(x) for x in found]
+            found, sizes[long] = self._library([distinct[i] for i in long.tolist()])
             begins[long] = self.n_ids + np.cumsum(sizes[long]) - sizes[long]
-            ids = np.concatenate([ids[: self.n_ids], np.array([i for x in found for i in x], np.uint32)])
+            ids = np.concatenate([ids[: self.n_ids], found])
         which = np.asarray(coded.indices)
         n = sizes[which]
         done = np.cumsum(n)
