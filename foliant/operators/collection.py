@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import knn
 
-SCHEMA = "point_id string, doc_id string, text string, embedding array<float>, metadata map<string,string>"
+SCHEMA = "point_id string, doc_id string, text string, embedding array<float>, metadata map<string,string>, vec_id bigint"
 METRIC = "cosine"
 _NAME = re.compile(r"[A-Za-z0-9_-]{1,100}")
 #: Where the tables of ``staged`` are.
@@ -118,9 +118,12 @@ class Store:
         return self.spark.read.schema(SCHEMA).parquet(f"{self._folder(name)}/{info['version']}")
 
     def _write(self, name: str, points: DataFrame, info: dict) -> None:
-        """A new current version; the one before stays for readers that have planned with it, and goes with the next write."""
+        """A new current version; the one before stays for readers that have planned with it, and goes with the next write.
+
+        Points are numbered as they are written, so that a search can name each by a number that no other point of the version has.
+        """
         version = f"version={uuid.uuid4().hex}"
-        points.write.parquet(f"{self._folder(name)}/{version}")
+        points.drop("vec_id").withColumn("vec_id", F.monotonically_increasing_id()).write.parquet(f"{self._folder(name)}/{version}")
         oldest = info.get("previous")
         self._set_info(name, info | {"version": version, "previous": info["version"]})
         if oldest:
@@ -163,10 +166,7 @@ class Store:
             return False
         rows = rows.select(F.expr("uuid()").alias("point_id") if mode == "append" else F.sha2(F.col("doc_id"), 256).alias("point_id"), "doc_id", "text", "embedding", "metadata")
         if mode == "append":
-            if info["version"]:
-                rows.write.mode("append").parquet(f"{self._folder(name)}/{info['version']}")
-            else:
-                self._write(name, rows, info)
+            self._write(name, self.read(name).select(*rows.columns).unionByName(rows), info)
             self.unstage(staged)
             return True
         item = F.struct(F.coalesce("text", F.lit("")).alias("_t"), "text", "embedding", F.array_sort(F.map_entries("metadata")).alias("_m"), "point_id")
@@ -198,12 +198,13 @@ class Store:
     def search(self, name: str, queries: DataFrame, top_k: int = 5, where: dict | None = None) -> DataFrame:
         """(query_id, rank, id, score, text, metadata): the nearest points that match all of ``where`` (metadata equality).
 
-        Queries of another dimension have no results. Texts join after the top k.
+        Queries of another dimension have no results. Texts join after the top k, by the number of the point; in versions written
+        before points had numbers, by a hash of the id.
         """
         points = self.read(name)
         for key, value in (where or {}).items():
             points = points.where(F.col("metadata")[key] == F.lit(str(value)))
-        points = points.withColumn("vec_id", F.xxhash64("point_id"))
+        points = points.withColumn("vec_id", F.coalesce("vec_id", F.xxhash64("point_id")))
         hits = knn.top_k(queries, points.select("vec_id", "embedding"), top_k)
         return hits.join(points.select("vec_id", "doc_id", "text", "metadata"), "vec_id").select("query_id", "rank", F.col("doc_id").alias("id"), "score", "text", "metadata")
 

@@ -178,3 +178,18 @@ def test_the_versioned_store_leaves_no_staging(spark, tmp_path):
     rows = points(spark, [("a", None, "t", [1.0, 0.0], 1)]).drop("parent", "metadata").withColumn("metadata", F.create_map(F.lit("k"), F.lit("v")))
     assert store.upsert("c", rows) and store.upsert("c", rows, mode="append") and not store.upsert("c", rows.withColumn("embedding", F.array(F.lit(1.0))))
     assert store.count("c") == 2 and not files(f"{tmp_path}/v/staging")
+
+
+def test_versions_are_whole_and_points_are_numbered(spark, tmp_path):
+    """Appending makes a new version: a reader of the one before sees no new point; points that share a hash of their id keep their texts."""
+    store = collection.create("parquet", spark, f"file://{tmp_path}/v")
+    store.create("c", 2)
+    rows = lambda names: points(spark, [(n, None, f"text {n}", [1.0, float(i)], 1) for i, n in enumerate(names)]).select("doc_id", "text", "embedding", F.create_map(F.lit("k"), F.lit("v")).alias("metadata"))
+    store.upsert("c", rows(["a", "b"]), mode="append")
+    before = store.read("c")
+    store.upsert("c", rows(["c", "a"]), mode="append")
+    assert before.count() == 2 and store.count("c") == 4
+    numbers = [r["vec_id"] for r in store.read("c").collect()]
+    assert len(set(numbers)) == 4
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert sorted(r["text"] for r in store.search("c", asked, 4).collect()) == ["text a", "text a", "text b", "text c"]
