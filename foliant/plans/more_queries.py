@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.engine import Engine
-from foliant.functions.text import strip
 from foliant.operators import chunking, evaluation, generation, metadata, passages, ranking
 from foliant.operators import generation_metrics as gen
 from foliant.operators import retrieval_metrics as ret
@@ -22,7 +21,7 @@ from foliant.operators.bucketed import BucketedStore
 from foliant.operators.collection import create as create_store
 from foliant.operators.collection import tenant_collection
 from foliant.operators.embedding_table import EmbeddingTable
-from foliant.plans.queries import Query, _answers, _asked, _evaluated, _judged, _lexical, _points, _rounded, _scratch, _table
+from foliant.plans.queries import Query, _answers, _asked, _evaluated, _judged, _lexical, _points, _scratch, _table
 from foliant.providers import answering, embedding
 from foliant.sources import files
 from foliant.streaming import ingest
