@@ -17,6 +17,21 @@ TASK_QUERIES = 16_384
 DIGITS = 9
 
 
+def units(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, unit vectors) of the usable rows (id, embedding) of a batch, by length of the vectors."""
+    by_size: dict[int, list[tuple[int, list]]] = {}
+    for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        if v and None not in v:
+            by_size.setdefault(len(v), []).append((i, v))
+    for dim, held in by_size.items():
+        ids, data = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], np.float64)
+        most = np.abs(data).max(axis=1)
+        usable = np.isfinite(most) & (most > 0)
+        ids, data = ids[usable], data[usable] / most[usable, None]
+        data /= np.sqrt((data * data).sum(axis=1, keepdims=True))
+        yield dim, ids, data
+
+
 def _blocks(rows: DataFrame) -> DataFrame:
     """Rows (id long, embedding) as blocks of ids and of unit vectors.
 
@@ -26,16 +41,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_size: dict[int, list[tuple[int, list]]] = {}
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if v and None not in v:
-                    by_size.setdefault(len(v), []).append((i, v))
-            for dim, held in by_size.items():
-                ids, data = np.array([i for i, _ in held], np.int64), np.array([v for _, v in held], np.float64)
-                most = np.abs(data).max(axis=1)
-                usable = np.isfinite(most) & (most > 0)
-                ids, data = ids[usable], data[usable] / most[usable, None]
-                data /= np.sqrt((data * data).sum(axis=1, keepdims=True))
+            for dim, ids, data in units(batch):
                 for at in range(0, len(ids), ROWS):
                     yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([ids[at : at + ROWS].tobytes()]), pa.array([data[at : at + ROWS].tobytes()])], names=["dim", "ids", "data"])
 

@@ -225,6 +225,7 @@ made AS (SELECT doc_id, {whole} ELSE {parts} END AS i FROM bounded) SELECT doc_i
 
 SQL: dict[str, str] = {
     "knn_topk": f"WITH {_nearest()} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM hits",
+    "knn_pruned": f"WITH {_nearest()} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM hits",
     "knn_filtered": f"WITH {_nearest('WHERE b.label = 3')} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM hits",
     "cosine_pairs": "WITH p AS (SELECT vec_id, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings) SELECT vec_id, round(list_cosine_similarity(b::DOUBLE[], embedding::DOUBLE[]), 6) AS similarity FROM p WHERE b IS NOT NULL",
     "retrieve_context": f"""WITH {_RETRIEVED}, blocks AS (SELECT *, 'Document ' || rank || ' (from ' || coalesce(source, 'unknown') || '):' || chr(10) || coalesce(content, '') AS b FROM docs),

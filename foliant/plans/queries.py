@@ -17,6 +17,7 @@ from foliant.operators import chunking, evaluation, generation, knn, metadata, r
 from foliant.operators import generation_metrics as gen
 from foliant.operators import retrieval_metrics as ret
 from foliant.operators.collection import Store
+from foliant.operators.pruned import PrunedIndex
 from foliant.providers.embedding import HashedTerms
 from foliant.sources import files
 from foliant.streaming.ingest import log_metrics
@@ -74,6 +75,15 @@ def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _as_hits(_nearest(spark, sf_dir, {"label": 3}))
 
 
+@query
+def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors of every vector, from the rings of vectors that can hold them."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    index = PrunedIndex(spark, _scratch(spark))
+    index.build(vectors, vectors.agg(F.max(F.size("embedding")).alias("n")).first()["n"] or 1)
+    return _as_hits(index.search(vectors.select(F.col("vec_id").alias("query_id"), "embedding"), 5, exclude_self=True))
+
+
 @query
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cosine of each vector with the next of its label, by expressions."""
