@@ -24,6 +24,8 @@ SLACK = 1e-6
 TASK_ROWS = 262_144
 #: Groups of queries whose best hits a task keeps at a time.
 HELD = 64
+#: Vectors of the sample for each centre.
+MEMBERS = 32
 _PLACED = "cell int, angle double, id bigint, unit binary"
 _GROUP = "cell int, q_ids binary, q_angles binary, q_floors binary, q_data binary"
 _HIT = "query_id bigint, vec_id bigint, score double, compared bigint"
@@ -84,7 +86,7 @@ class PrunedIndex:
         drawn = rows.orderBy(F.xxhash64("id"), "id").limit(self.sample).toArrow()
         parts = [data for batch in drawn.to_batches() for _, _, data in knn.units(batch)]
         sample = np.concatenate(parts) if parts else np.zeros((0, dimension))
-        centres = fitted_centres(sample, min(self.cells, max(1, len(sample) // 8)))
+        centres = fitted_centres(sample, min(self.cells, max(1, len(sample) // MEMBERS)))
         self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centres")
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,16 +144,19 @@ class PrunedIndex:
                         held[key] = [q_ids, np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64), np.zeros(len(q_ids), np.int64)]
                     _, values, names, compared = held[key]
                     reach = np.cos(_gaps(angles, r["near"], r["far"])) + SLACK
-                    live = np.flatnonzero(reach >= np.maximum(floors, values[:, -1]))
+                    bar = np.maximum(floors, values[:, -1])
+                    live = np.flatnonzero(reach >= bar)
                     if not len(live):
                         continue
                     ids = np.frombuffer(r["ids"], np.int64)
                     q, x = (np.frombuffer(r[c]).reshape(n, -1) for c, n in (("q_data", len(q_ids)), ("data", len(ids))))
                     scores = np.round(q[live] @ x.T, knn.DIGITS)
-                    found = np.broadcast_to(ids, scores.shape)
                     if exclude_self:
-                        scores = np.where(found == q_ids[live][:, None], -np.inf, scores)
-                    values[live], names[live] = knn._best(np.concatenate([values[live], scores], axis=1), np.concatenate([names[live], found], axis=1), k)
+                        scores = np.where(ids == q_ids[live][:, None], -np.inf, scores)
+                    some = (scores >= bar[live][:, None]).any(axis=1)
+                    if some.any():
+                        up, better = live[some], scores[some]
+                        values[up], names[up] = knn._best(np.concatenate([values[up], better], axis=1), np.concatenate([names[up], np.broadcast_to(ids, better.shape)], axis=1), k)
                     compared[live] += len(ids)
             yield from given()
 
@@ -178,7 +183,7 @@ class PrunedIndex:
             """Queries ``q`` asked of the cells at ``c``, as groups of one cell each."""
             order = np.argsort(c, kind="stable")
             q, c = q[order], c[order]
-            for at, s in _packed(c, knn.QUERIES):
+            for at, s in _packed(c, knn.ROWS):
                 mine = q[s]
                 yield pa.record_batch([pa.array([int(cells[at])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[mine], angles[mine, at], floors[mine], data[mine]))], names=["cell", "q_ids", "q_angles", "q_floors", "q_data"])
 

@@ -92,6 +92,21 @@ def test_passage_hits_against_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted((p, d) for p, x in passages if x and x.strip() for d, t in docs if t and x in t)
 
 
+def test_short_passages_meet_words_and_no_loop_is_planned(spark, capsys):
+    from foliant.operators.passages import passage_hits
+
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "xalphax beta"), (3, None), (4, ""), (5, "b\u00e9ta  al"), (1, "alpha beta gamma")], "doc_id int, text string")
+    asked = [(1, "alpha"), (2, "pha be"), (3, "a"), (4, " beta"), (5, "b\u00e9"), (6, "\u00e9ta  al"), (7, "alpha beta gamma"), (8, "alpha gamma"), (9, " "), (10, None), (11, "ax be"), (1, "alpha")]
+    got = passage_hits(spark.createDataFrame(asked, "item_id int, text string"), docs)
+    assert sorted(map(tuple, got.collect())) == sorted({(i, d) for i, p in asked if p and p.strip() for d, t in map(tuple, docs.collect()) if t and p in t})
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    none = spark.createDataFrame([], "item_id int, text string")
+    assert passage_hits(none, docs).collect() == []
+    assert passage_hits(spark.createDataFrame(asked, "item_id int, text string"), docs.limit(0)).collect() == []
+
+
 def test_goldens_of_one_ranking(spark):
     found = ids("d1", "d2", "d3")
     assert one(spark, ret.recall_at_k(found, ids("d1", "d4"), 3)) == 0.5
