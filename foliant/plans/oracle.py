@@ -241,6 +241,11 @@ s AS (SELECT label, vec_id, CAST(sum(cut) OVER (PARTITION BY label ORDER BY vec_
 SELECT label, segment, count(*) AS n, min(vec_id) AS first_id, max(vec_id) AS last_id FROM s GROUP BY label, segment""",
     "retrieval_metrics": f"WITH {_METRICS} SELECT query_id, {_METRIC_COLUMNS}, CAST(5 AS BIGINT) AS k, num_retrieved, num_relevant, num_relevant_retrieved FROM metrics",
     "retrieval_metrics_avg": f"WITH {_METRICS} SELECT round(avg(recall_at_k), 9) AS recall_at_k, round(avg(precision_at_k), 9) AS precision_at_k, round(avg(hit_rate), 9) AS hit_rate, round(avg(mrr), 9) AS mrr, count(*) AS num_queries FROM metrics",
+    "metric_report": f"""WITH {_METRICS}, best AS (SELECT query_id, round(max(score), 6) AS best FROM hits GROUP BY query_id),
+q AS (SELECT m.*, best, 'rag_tenant' || (e.label % 3) AS tenant, d.source FROM metrics m JOIN best b ON b.query_id = m.query_id JOIN embeddings e ON e.vec_id = m.query_id LEFT JOIN documents d ON d.doc_id = m.query_id)
+SELECT CASE grouping(tenant, source) WHEN 0 THEN 'all keys' WHEN 1 THEN 'tenant' WHEN 2 THEN 'source' ELSE 'total' END AS level, tenant, source, count(*) AS queries, count(*) FILTER (hit_rate = 0) AS misses,
+  round(avg(recall_at_k), 9) AS recall_at_k, round(avg(precision_at_k), 9) AS precision_at_k, round(avg(hit_rate), 9) AS hit_rate, round(avg(mrr), 9) AS mrr, count(best) AS scored, min(best) AS score_min, max(best) AS score_max
+FROM q GROUP BY GROUPING SETS ((tenant, source), (tenant), (source), ())""",
     "retrieval_stats": f"WITH {_nearest()} {_STATS}",
     "rerank_topk": f"""WITH {_ASKED}, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC NULLS LAST, rank) AS place FROM judged WHERE s IS NULL OR s >= 0.05)
 SELECT query_id, place AS rank, id, round(s, 9) AS rerank_score FROM placed WHERE place <= 3""",

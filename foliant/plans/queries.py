@@ -17,6 +17,7 @@ from foliant.operators import chunking, evaluation, generation, knn, metadata, r
 from foliant.operators import generation_metrics as gen
 from foliant.operators import retrieval_metrics as ret
 from foliant.operators.collection import Store
+from foliant.operators.metric_report import partials, report
 from foliant.operators.pruned import PrunedIndex
 from foliant.providers.embedding import HashedTerms
 from foliant.sources import files
@@ -154,6 +155,20 @@ def retrieval_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ret.score_stats(_nearest(spark, sf_dir)), "avg_score", "min_score", "max_score", "score_std")
 
 
+@query
+def metric_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics by tenant and source, tenant, source and in total, merged from the partial results of two halves of the questions."""
+    found = _nearest(spark, sf_dir)
+    best = found.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("score"))
+    tenant = F.concat(F.lit("rag_tenant"), F.pmod("label", F.lit(3)).cast("string"))
+    own = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), tenant.alias("tenant"))
+    source = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), "source")
+    judged = _judged(spark, sf_dir, found.select("query_id", "rank", F.col("vec_id").alias("id")))
+    rows = judged.join(best, "query_id").join(own, "query_id").join(source, "query_id", "left")
+    halves = [partials(rows.where(F.pmod("query_id", F.lit(2)) == i)) for i in (0, 1)]
+    return _rounded(report(halves[0].unionByName(halves[1])).drop("quantiles"), *ret.METRICS)
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieved documents with the query's own text as the question; its key terms are made once, not for each document."""
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"), terms.key_terms("text").alias("asked"))
