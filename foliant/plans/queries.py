@@ -18,6 +18,7 @@ from foliant.operators import generation_metrics as gen
 from foliant.operators import retrieval_metrics as ret
 from foliant.operators.collection import Store
 from foliant.operators.metric_report import partials, report
+from foliant.operators.neighbours import with_previous, with_running_sum
 from foliant.operators.pruned import PrunedIndex
 from foliant.providers.embedding import HashedTerms
 from foliant.sources import files
@@ -88,9 +89,8 @@ def knn_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cosine of each vector with the next of its label, by expressions."""
-    rows = _table(spark, sf_dir, "embeddings")
-    before = F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))
-    return rows.select("vec_id", "embedding", before.alias("_b")).where("_b is not null").select("vec_id", F.round(cosine(F.col("_b"), F.col("embedding")), 6).alias("similarity"))
+    rows = with_previous(_table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding"), "label", "vec_id", ["embedding"])
+    return rows.where("previous is not null").select("vec_id", F.round(cosine(F.col("previous.embedding"), F.col("embedding")), 6).alias("similarity"))
 
 
 def _retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,9 +116,9 @@ def ordered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of the vectors of a label: a new one begins where neighbours are less alike than a threshold."""
     rows = _table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    order = Window.partitionBy("label").orderBy("vec_id")
-    cut = F.coalesce(F.round(cosine(F.lag("embedding").over(order), F.col("embedding")), 9) < 0.0, F.lit(False))
-    seg = rows.select("label", "vec_id", cut.cast("int").alias("_c")).withColumn("segment", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    before = with_previous(rows, "label", "vec_id", ["embedding"])
+    cut = F.coalesce(F.round(cosine(F.col("previous.embedding"), F.col("embedding")), 9) < 0.0, F.lit(False))
+    seg = with_running_sum(before.select("label", "vec_id", cut.cast("int").alias("cut")), "label", "vec_id", "cut", "segment")
     return seg.groupBy("label", "segment").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"))
 
 
