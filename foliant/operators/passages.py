@@ -61,10 +61,10 @@ def passage_hits(passages: DataFrame, docs: DataFrame) -> DataFrame:
         keyed = keyed.unionByName(_by_parts(short, docs))
     bits = _wanted(keyed)
     here = let(tokens("text"), lambda w: F.concat(F.array().cast("array<bigint>"), *(_keys(w, n) for n in sorted(sizes))))
-    held = docs.select("doc_id", "text", here.alias("_ks"), bits.alias("_bits"))
-    held = held.select("doc_id", "text", F.filter("_ks", lambda k: _is_set(F.col("_bits"), k)).alias("_ks")).where(F.size("_ks") > 0)
-    near = held.select("doc_id", F.explode("_ks").alias("_k")).join(keyed, "_k").select("doc_id", "item_id").distinct()
-    found = near.join(held.select("doc_id", "text"), "doc_id").join(asked.select("item_id", "_p"), "item_id").where(F.contains("text", "_p"))
+    held = docs.select("doc_id", "text", here.alias("_ks"), bits.alias("_bits")).select("doc_id", "text", F.filter("_ks", lambda k: _is_set(F.col("_bits"), k)).alias("_ks"))
+    # explode_outer, since explode would be given a filter that computes the keys once more
+    near = held.select("doc_id", F.explode_outer("_ks").alias("_k")).join(keyed, "_k").select("doc_id", "item_id").distinct()
+    found = near.join(held.where(F.size("_ks") > 0).select("doc_id", "text"), "doc_id").join(asked.select("item_id", "_p"), "item_id").where(F.contains("text", "_p"))
     return found.select("item_id", "doc_id").distinct()
 
 
