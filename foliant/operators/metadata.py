@@ -78,7 +78,11 @@ def document_totals(chunks: DataFrame) -> DataFrame:
 
 
 def with_total(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("total_chunks", F.count(F.lit(1)).over(Window.partitionBy("document_id")))
+    """Chunk rows (source, file_path, ...) with the number of chunks of their document.
+
+    Documents are told apart by source and path themselves: ids hold 32 bits of a digest, which some of many documents share.
+    """
+    return chunks.withColumn("total_chunks", F.count(F.lit(1)).over(Window.partitionBy("source", "file_path")))
 
 
 def batch_id(spark) -> str:
