@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from foliant.functions.text import tokens
 
 
-def file_metadata(files: DataFrame) -> DataFrame:
-    """``files`` of a file source with source, file_type, file_path, file_size_bytes, modified_at (ISO) from its hidden column."""
+def file_metadata(files: DataFrame, table: str | None = None) -> DataFrame:
+    """``files`` of a file source with source, file_type, file_path, file_size_bytes, modified_at (ISO) from its hidden column.
+
+    ``table`` is the path that was read where it is one table, a file or a folder of parts: its name is the source of all rows, in
+    however many parts it is stored. Path, size and time are those of the part that a row is from.
+    """
     meta = F.col("_metadata")
+    name = meta["file_name"] if table is None else F.lit(table.rstrip("/").rsplit("/", 1)[-1])
     return files.select(
         "*",
-        meta["file_name"].alias("source"),
-        F.lower(F.regexp_extract(meta["file_name"], r"(\.[^./]+)\z", 1)).alias("file_type"),
+        name.alias("source"),
+        F.lower(F.regexp_extract(name, r"(\.[^./]+)\z", 1)).alias("file_type"),
         meta["file_path"].alias("file_path"),
         meta["file_size"].alias("file_size_bytes"),
         iso(meta["file_modification_time"]).alias("modified_at"),
