@@ -102,11 +102,12 @@ class Engine:
         if not self.store.typed:
             points = points.drop("parent")
         stored = self.store.upsert(name, points, mode)
-        counts = made.groupBy("document_id").agg(F.count(F.lit(1)).alias("chunk_count"), F.count_if(F.col("embedding").isNull()).alias("_lost"))
+        # by source and path themselves: documents may share an id, which holds 32 bits of a digest
+        counts = made.groupBy(F.col("source").alias("_source"), F.col("file_path").alias("_path")).agg(F.count(F.lit(1)).alias("chunk_count"), F.count_if(F.col("embedding").isNull()).alias("_lost"))
         path = F.col("file_path") if "file_path" in docs.columns else F.lit("")
         error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
-        rows = docs.select(F.col("source").alias("document_name"), metadata.document_id(F.col("source"), path).alias("document_id"), error.alias("_e"), is_blank("text").alias("_b"))
-        rows = rows.join(counts, "document_id", "left")
+        rows = docs.select(F.col("source").alias("document_name"), path.alias("_at"), metadata.document_id(F.col("source"), path).alias("document_id"), error.alias("_e"), is_blank("text").alias("_b"))
+        rows = rows.join(counts, F.col("document_name").eqNullSafe(F.col("_source")) & F.col("_at").eqNullSafe(F.col("_path")), "left")
         lost = F.when(F.col("_lost") > 0, F.concat(F.col("_lost").cast("string"), F.lit(" chunks have no vector")))
         problem = F.coalesce("_e", F.when(F.col("_b"), F.lit("no text")), lost) if stored else F.lit("the collection refused the vectors")
         return rows.select("document_name", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "document_id", problem.alias("error"), problem.isNull().alias("success"))
