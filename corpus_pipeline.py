@@ -35,18 +35,19 @@ def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter (null and empty texts too) and those near no language; others stay as they are.
 
-    Prototypes, and the cosines that are usual, are learned from a sample of the documents with a language that are not held
+    Prototypes, and the cosines that are usual, are learned from all documents with a language that are not held
     out. With none to learn from, only documents without a letter could be told apart, and nothing is rejected but null
     and empty texts.
     """
     plain, at = _plain(docs)
     known = pick(docs, "doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & ~hd_language.held_out(F.col("doc_id")))
-    training = hd_language.training_sample(known)
-    coarse, fine = (hd_language.prototypes(training, space) for space in LANGUAGE_SPACES)
+    training = hd_language.training_rows(known)
+    grams = hd_language.gram_weights(training, LANGUAGE_SPACES[0].n)
+    coarse, fine = (hd_language.prototypes(grams, space) for space in LANGUAGE_SPACES)
+    discard(grams)
     if not coarse:
         return plain.where(F.col(at["text"]) != "").toDF(*docs.columns)
     least = hd_language.floors(training, coarse, LANGUAGE_SPACES[0])
-    discard(training)
     said = plain.withColumn("_language", hd_language.recognised(F.col(at["text"]), coarse, fine, LANGUAGE_SPACES, least))
     return said.where("_language").drop("_language").toDF(*docs.columns)
 

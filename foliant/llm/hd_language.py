@@ -130,18 +130,9 @@ class Profiler:
             return
         rows, row = np.unique([k for k, *_ in pieces], return_inverse=True)
         weights = np.array([w for _, w, _ in pieces])
-        sizes = [len(x) for *_, x in pieces]
-        points, owner = np.concatenate([x for *_, x in pieces]), np.repeat(np.arange(len(pieces)), sizes)
-        alphabet, at = np.unique(points, return_inverse=True) if points.max() > 0x3FFFF else self._ranked(points)
-        n, base = self.space.n, len(alphabet)
-        count = len(points) - n + 1
-        if count <= 0:
-            return
-        code = np.zeros(count, np.int64)
-        for i in range(n):
-            code = code * base + at[i : count + i]
-        inside = owner[n - 1 :] == owner[:count]
-        code, who = code[inside], owner[:count][inside]
+        n = self.space.n
+        alphabet, code, who = self.coded([x for *_, x in pieces], n)
+        base = len(alphabet)
         if not len(code):
             return
         codes, which = self._ranked(code, base**n) if base**n <= 4_000_000 else np.unique(code, return_inverse=True)
@@ -159,6 +150,18 @@ class Profiler:
             total += counts[:, b : b + self.block] @ self.vectors(grams)
         out[rows] += total
 
+    @classmethod
+    def coded(cls, pieces: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(the distinct symbols of pieces, their n-grams as numbers to the base of how many there are, the piece of each n-gram)."""
+        points, owner = np.concatenate(pieces), np.repeat(np.arange(len(pieces)), [len(x) for x in pieces])
+        alphabet, at = np.unique(points, return_inverse=True) if points.max() > 0x3FFFF else cls._ranked(points)
+        count = max(0, len(points) - n + 1)
+        code = np.zeros(count, np.int64)
+        for i in range(n):
+            code = code * len(alphabet) + at[i : count + i]
+        inside = owner[n - 1 :] == owner[:count]
+        return alphabet, code[inside], owner[:count][inside]
+
     @staticmethod
     def _ranked(x: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The distinct values of small integers and each one's place among them, without a sort."""
@@ -189,48 +192,94 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length == 0, 1, length)
 
 
-def training_sample(docs: DataFrame, sample: int = 4000, languages: int = 1000) -> DataFrame:
-    """(doc_id, lang, text) of up to about ``sample`` rows of each language, drawn by a hash of doc_id and text, as a written table.
-
-    Rows without a language or a text are left out. More than ``languages`` languages raise ValueError.
-    """
-    rows = pick(docs, "doc_id", "text", "lang").where("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(languages + 1).collect()}
-    if len(counts) > languages:
+def training_rows(docs: DataFrame, languages: int = 1000) -> DataFrame:
+    """(lang, text) of all rows of ``docs`` that have both. More than ``languages`` languages raise ValueError."""
+    rows = pick(docs, "text", "lang").where("lang is not null and text is not null")
+    if rows.select("lang").distinct().limit(languages + 1).count() > languages:
         raise ValueError(f"more than {languages} languages")
-    share = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, sample / n)))) if counts else F.create_map(F.lit(""), F.lit(0.0))
-    drawn = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return stored(rows.where(drawn < share[F.col("lang")]).select("doc_id", "lang", "text"), "training")
-
+    return rows.select("lang", "text")
 
-def learn(docs: DataFrame, space: Space = Space(), sample: int = 4000, languages: int = 1000) -> dict[str, np.ndarray]:
-    """Language prototypes from the rows of ``docs`` (doc_id, text, lang) that have a language and a letter.
 
-    The training sample is that of ``training_sample``. Profiles, each divided by its text's number of n-grams, are summed
-    where the texts are; one vector for each language and task is exchanged. No rows give no prototypes.
-    """
-    training = training_sample(docs, sample, languages)
-    out = prototypes(training, space)
-    discard(training)
+def learn(docs: DataFrame, space: Space = Space(), languages: int = 1000) -> dict[str, np.ndarray]:
+    """Language prototypes from all rows of ``docs`` (text, lang) that have a language and a letter. No rows give no prototypes."""
+    grams = gram_weights(training_rows(docs, languages), space.n)
+    out = prototypes(grams, space)
+    discard(grams)
     return out
 
 
-def prototypes(training: DataFrame, space: Space = Space()) -> dict[str, np.ndarray]:
-    """The prototypes of all rows of ``training`` (lang, text)."""
+#: Weights of n-grams that a task sums up before it hands them on.
+HELD_GRAMS = 300_000
+
+
+def gram_weights(training: DataFrame, n: int = 3) -> DataFrame:
+    """(lang, gram, weight) of all rows of ``training`` (lang, text), as a written table: the sums over a language's texts of each
+    n-gram's share of the text. A gram is its symbols, four bytes each.
+
+    Prototypes are sums over n-grams, of which there are few, so that a vector is made once for each n-gram and not for each text.
+    """
+
+    def added(texts: list[str], langs: list[str], held: dict[str, dict[bytes, float]]) -> None:
+        found = [(lang, 1.0 / count, piece) for text, lang in zip(texts, langs, strict=True) for pieces, count, _ in [symbols(text, n)] for piece in pieces]
+        if not found:
+            return
+        names, row = np.unique([lang for lang, *_ in found], return_inverse=True)
+        weights = np.array([w for _, w, _ in found])
+        alphabet, code, who = Profiler.coded([x for *_, x in found], n)
+        size = len(alphabet) ** n
+        for i, name in enumerate(names.tolist()):
+            own = row[who] == i
+            codes, which = Profiler._ranked(code[own], size) if size <= 4_000_000 else np.unique(code[own], return_inverse=True)
+            sums = np.bincount(which, weights[who[own]], len(codes))
+            points, rest = np.empty((len(codes), n), "<u4"), codes.copy()
+            for at in reversed(range(n)):
+                points[:, at] = alphabet[rest % len(alphabet)]
+                rest //= len(alphabet)
+            data, of = points.tobytes(), held.setdefault(name, {})
+            for j, w in enumerate(sums.tolist()):
+                gram = data[4 * n * j : 4 * n * (j + 1)]
+                of[gram] = of.get(gram, 0.0) + w
+
+    def given(held: dict[str, dict[bytes, float]]) -> Iterator[pa.RecordBatch]:
+        for lang, of in held.items():
+            yield pa.record_batch([pa.array([lang] * len(of), pa.string()), pa.array(list(of), pa.binary()), pa.array(np.round(list(of.values()), 9))], names=["lang", "gram", "weight"])
+        held.clear()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiler, total = Profiler(space), {}
+        held: dict[str, dict[bytes, float]] = {}
         for batch in batches:
             langs, at = batch.column("lang").to_pylist(), 0
             for texts in _texts(batch.column("text")):
-                names, owners = np.unique(langs[at : at + len(texts)], return_inverse=True)
-                for lang, row in zip(names.tolist(), profiler.bundle(texts, owners, len(names)), strict=True):
-                    total[lang] = total.get(lang, 0) + row
+                added(texts, langs[at : at + len(texts)], held)
                 at += len(texts)
+                if sum(map(len, held.values())) > HELD_GRAMS:
+                    yield from given(held)
+        yield from given(held)
+        trim()
+
+    parts = training.select("lang", "text").mapInArrow(sums, "lang string, gram binary, weight double")
+    # Decimals add up to the same sum in any order.
+    return stored(parts.groupBy("lang", "gram").agg(F.sum(F.col("weight").cast("decimal(30,9)")).cast("double").alias("weight")), "grams")
+
+
+def prototypes(grams: DataFrame, space: Space = Space()) -> dict[str, np.ndarray]:
+    """The prototype of each language of ``gram_weights``: the sum of the weighted vectors of its n-grams."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiler, total = Profiler(space), {}
+        for batch in batches:
+            names, row = np.unique(batch.column("lang").to_pylist(), return_inverse=True)
+            points = np.frombuffer(b"".join(batch.column("gram").to_pylist()), "<u4").reshape(-1, space.n).astype(np.int64)
+            weights = np.zeros((len(names), len(row)))
+            weights[row, np.arange(len(row))] = batch.column("weight").to_numpy()
+            for b in range(0, len(row), profiler.block):
+                made = weights[:, b : b + profiler.block] @ profiler.vectors(points[b : b + profiler.block]).astype(np.float64)
+                for name, v in zip(names.tolist(), made, strict=True):
+                    total[name] = total.get(name, 0) + v
         trim()
         yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([np.round(v, 9).tolist() for v in total.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
-    parts = training.select("lang", "text").mapInArrow(sums, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
+    parts = grams.mapInArrow(sums, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     # Decimals add up to the same sum in any order.
     dims = parts.groupBy("lang", "i").agg(F.sum(F.col("x").cast("decimal(30,9)")).cast("double").alias("x"))
     made = dims.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).collect()
@@ -248,9 +297,10 @@ FEWEST = 50
 def floors(training: DataFrame, prototypes: dict[str, np.ndarray], space: Space = Space()) -> list[float]:
     """The least cosine of a text whose number of letters is 2^i or more, for each i; 0 where too few texts were learned.
 
-    The training texts tell, size by size, which cosine with the nearest prototype is usual: the floor is half
+    All training texts tell, size by size, which cosine with the nearest prototype is usual: the floor is half
     the median, or the median less six times its distance from the lower quartile where that is lower. Sizes with fewer
-    than ``FEWEST`` texts take the floor of the size below, whose cosines are lower.
+    than ``FEWEST`` texts take the floor of the size below, whose cosines are lower. Quartiles are those of counts of cosines in
+    steps of 2^-16, of which there is a bounded number.
     """
     matrix = _matrix(prototypes)
 
@@ -260,11 +310,12 @@ def floors(training: DataFrame, prototypes: dict[str, np.ndarray], space: Space
             for texts in _texts(batch.column("text")):
                 profiles, letters = profiler.profiles(texts)
                 best = (_unit(profiles) @ matrix.T).max(axis=1).astype(np.float64)
-                yield pa.record_batch([pa.array(_sizes(letters), pa.int32()), pa.array(best)], names=["size", "cosine"])
+                yield pa.record_batch([pa.array(_sizes(letters), pa.int32()), pa.array(np.floor(best * 65536) / 65536)], names=["size", "cosine"])
         trim()
 
     judged = training.select("text").mapInArrow(judge, "size int, cosine double").where("size >= 0")
-    made = {r["size"]: r for r in judged.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.percentile("cosine", F.array(F.lit(0.25), F.lit(0.5))).alias("q")).collect()}
+    counted = judged.groupBy("size", "cosine").agg(F.count(F.lit(1)).alias("c"))
+    made = {r["size"]: r for r in counted.groupBy("size").agg(F.sum("c").alias("n"), F.percentile("cosine", F.array(F.lit(0.25), F.lit(0.5)), F.col("c")).alias("q")).collect()}
     out, last = [], 0.0
     for size in range(64):
         if size in made and made[size]["n"] >= FEWEST:
@@ -344,12 +395,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, space: Space = Space(), sample: int = 4000) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row, learned from the rows that are not held out.
+def identify(docs: DataFrame, space: Space = Space()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row, learned from all rows that are not held out.
 
     Only text and lang of rows with an id are learned from; a prediction sees the text alone.
     """
     rows = pick(docs, "doc_id", "text", "lang")
-    learned = learn(rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), space, sample)
+    learned = learn(rows.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), space)
     said = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language(F.col("text"), learned, space).alias("_l"))
     return said.select("doc_id", "held_out", F.col("_l.lang").alias("lang_pred"), F.col("_l.score").alias("score"))
