@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foliant.plans.queries import QUERIES
 from foliant.operators.metric_report import partials, report
 from foliant.operators.retrieval_metrics import METRICS
 
@@ -62,3 +63,8 @@ def test_one_key(spark):
     made = report(partials(spark.createDataFrame(_rows(40), SCHEMA), ["tenant"]), ["tenant"])
     assert {r["level"] for r in made.collect()} == {"tenant", "total"}
     assert made.where(F.col("level") == "total").first()["queries"] == 40
+
+
+def test_the_query_searches_once(spark):
+    made = QUERIES["metric_report"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in made._jdf.queryExecution().toString() and made.count() > 0
