@@ -24,6 +24,8 @@ SLACK = 1e-6
 TASK_ROWS = 262_144
 #: Groups of queries whose best hits a task keeps at a time.
 HELD = 64
+#: Blocks of queries whose best hits a task keeps while rings pass by.
+HELD_BLOCKS = 256
 #: Vectors of the sample for each centre.
 MEMBERS = 32
 _PLACED = "cell int, angle double, id bigint, unit binary"
@@ -113,12 +115,12 @@ class PrunedIndex:
     def rings(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/rings")
 
-    def _shape(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Cells, centres, near and far angles and sizes: as many rows as there are cells."""
-        made = self.rings().groupBy("cell").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.sum("n").alias("n"))
+    def _shape(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, centres and sizes: as many rows as there are cells."""
+        made = self.rings().groupBy("cell").agg(F.sum("n").alias("n"))
         rows = made.join(self.spark.read.parquet(f"{self.path}/centres"), "cell").orderBy("cell").collect()
         column = lambda name, kind: np.array([r[name] for r in rows], kind)
-        return column("cell", np.int32), column("centre", np.float64), column("near", np.float64), column("far", np.float64), column("n", np.int64)
+        return column("cell", np.int32), column("centre", np.float64), column("n", np.int64)
 
     def _scanned(self, groups: DataFrame, salts: Column, k: int, exclude_self: bool) -> DataFrame:
         """Hits of groups of queries in the rings of their cells, and a row for each query that says how many it was compared with."""
@@ -164,6 +166,81 @@ class PrunedIndex:
         asked = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
         return rings.join(asked, ["cell", "salt"]).drop("salt", "n").mapInArrow(scan, _HIT)
 
+    def _abroad(self, asked: DataFrame, centres: np.ndarray, cells: np.ndarray, k: int, exclude_self: bool) -> DataFrame:
+        """As ``_scanned``, of queries (query_id, embedding, floor) in the cells that are not their own.
+
+        Queries near each other travel together, once, and meet the rings where these are stored: nothing is exchanged for each pair of
+        query and cell, of which there may be as many as queries times cells. A ring that none of them reaches is not scored.
+        """
+        place_of = np.full(int(cells.max()) + 1, -1)
+        place_of[cells] = np.arange(len(cells))
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                floor_of = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+                for dim, ids, data in knn.units(batch):
+                    if dim == centres.shape[1] and len(ids):
+                        angles = _angles(data, centres)
+                        home = angles.argmin(axis=1)
+                        floors = np.array([-np.inf if floor_of[i] is None else floor_of[i] for i in ids.tolist()])
+                        yield pa.record_batch([pa.array(home.astype(np.int32)), pa.array(angles[np.arange(len(ids)), home]), pa.array(ids), pa.array(floors), pa.array([v.tobytes() for v in data], pa.binary())], names=["home", "angle", "id", "floor", "unit"])
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, knn.ROWS):
+                    part = batch.slice(at, knn.ROWS)
+                    home, ids, floors = (part.column(c).to_numpy(zero_copy_only=False) for c in ("home", "id", "floor"))
+                    made = (ids.astype(np.int64).tobytes(), home.astype(np.int32).tobytes(), floors.tobytes(), b"".join(part.column("unit").to_pylist()))
+                    yield pa.record_batch([pa.array([x], pa.binary()) for x in made], names=["q_ids", "q_homes", "q_floors", "q_data"])
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple] = {}
+
+            def given() -> Iterator[pa.RecordBatch]:
+                for ids, values, names, compared in held.values():
+                    a, b = np.nonzero(values > -np.inf)
+                    some = np.flatnonzero(compared)
+                    none, zero = [None] * len(some), np.zeros(len(a), np.int64)
+                    yield pa.record_batch([pa.array(ids[a]), pa.array(names[a, b]), pa.array(values[a, b]), pa.array(zero)], names=["query_id", "vec_id", "score", "compared"])
+                    yield pa.record_batch([pa.array(ids[some]), pa.array(none, pa.int64()), pa.array(none, pa.float64()), pa.array(compared[some])], names=["query_id", "vec_id", "score", "compared"])
+                held.clear()
+
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    r = {c: batch.column(c)[i] for c in batch.schema.names}
+                    key, cell = r["q_block"].as_py(), r["cell"].as_py()
+                    q_ids, homes, floors = (np.frombuffer(r[c].as_buffer(), t) for c, t in (("q_ids", np.int64), ("q_homes", np.int32), ("q_floors", np.float64)))
+                    if key not in held:
+                        if len(held) >= HELD_BLOCKS:
+                            yield from given()
+                        held[key] = (q_ids.copy(), np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64), np.zeros(len(q_ids), np.int64))
+                    _, values, names, compared = held[key]
+                    q = np.frombuffer(r["q_data"].as_buffer()).reshape(len(q_ids), -1)
+                    gaps = _gaps(_angles(q, centres[place_of[cell]][None, :])[:, 0], r["near"].as_py(), r["far"].as_py())
+                    bar = np.maximum(floors, values[:, -1])
+                    live = np.flatnonzero((homes != place_of[cell]) & (np.cos(gaps) + SLACK >= bar))
+                    if not len(live):
+                        continue
+                    ids = np.frombuffer(r["ids"].as_buffer(), np.int64)
+                    x = np.frombuffer(r["data"].as_buffer()).reshape(len(ids), -1)
+                    for at in range(0, len(live), knn.QUERIES):
+                        mine = live[at : at + knn.QUERIES]
+                        scores = q[mine] @ x.T
+                        a, b = np.nonzero(scores >= bar[mine][:, None] - knn.SLACK)
+                        v, n, line = np.round(scores[a, b], knn.DIGITS), ids[b], mine[a]
+                        keep = v >= bar[line]
+                        if exclude_self:
+                            keep &= n != q_ids[line]
+                        knn._merge(line[keep], v[keep], n[keep], values, names)
+                    compared[live] += len(ids)
+            yield from given()
+
+        parts = max(1, -(-asked.count() // knn.TASK_QUERIES))
+        placed = asked.select("query_id", "embedding", "floor").mapInArrow(place, "home int, angle double, id bigint, floor double, unit binary")
+        laid = placed.repartitionByRange(parts, "home", "angle", "id").sortWithinPartitions("home", "angle", "id")
+        blocks = laid.mapInArrow(pack, "q_ids binary, q_homes binary, q_floors binary, q_data binary").withColumn("q_block", F.monotonically_increasing_id())
+        return self.rings().drop("n").crossJoin(blocks).mapInArrow(scan, _HIT)
+
     def search(self, queries: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
         """(query_id, rank, vec_id, score, compared): the ``k`` nearest by cosine, ties by the smaller vec_id.
 
@@ -171,7 +248,7 @@ class PrunedIndex:
         (query_id, embedding) have ids of their own; those whose vector cannot be compared have no rows. The first hits of queries are written
         beside the index, where the result reads them.
         """
-        cells, centres, near, far, sizes = self._shape()
+        cells, centres, sizes = self._shape()
         if not len(cells):
             return self.spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double, compared bigint")
         by_cell = np.ones(int(cells.max()) + 1, np.int64)
@@ -194,24 +271,13 @@ class PrunedIndex:
                         angles = _angles(data, centres)
                         yield from grouped(np.arange(len(ids)), angles.argmin(axis=1), ids, data, angles, np.full(len(ids), -np.inf))
 
-        def abroad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                floor_of = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
-                for dim, ids, data in knn.units(batch):
-                    if dim == dimension and len(ids):
-                        angles = _angles(data, centres)
-                        floors = np.array([-np.inf if floor_of[i] is None else floor_of[i] for i in ids.tolist()])
-                        reach = np.cos(_gaps(angles, near, far)) + SLACK >= floors[:, None]
-                        reach[np.arange(len(ids)), angles.argmin(axis=1)] = False
-                        yield from grouped(*np.nonzero(reach), ids, data, angles, floors)
-
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
         first = self._best(self._scanned(asked.mapInArrow(at_home, _GROUP), salts, k, exclude_self), k)
         at = f"{self.path}/first-{uuid.uuid4().hex}"
         first.write.parquet(at)
         first = self.spark.read.schema(first.schema).parquet(at)
         floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        second = self._scanned(asked.join(floors, "query_id", "left").mapInArrow(abroad, _GROUP), salts, k, exclude_self)
+        second = self._abroad(asked.join(floors, "query_id", "left"), centres, cells, k, exclude_self)
         # a query's count of the first part stands in its hit of rank 1, or in a row without a hit
         before = first.select("query_id", "vec_id", "score", F.when(F.coalesce("rank", F.lit(1)) == 1, F.col("compared")).otherwise(0).alias("compared"))
         return self._best(before.unionByName(second), k).where("vec_id is not null")
