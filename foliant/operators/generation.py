@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.sentences import sentences
 from foliant.functions.terms import key_terms
+from foliant.functions.text import let
 
 # What a prompt and a fixed answer look like.
 BLANK_ANSWER = "Please provide a valid question."
@@ -30,8 +31,8 @@ def prompt(context: Column, question: Column) -> Column:
 
 def extractive_answer(question: Column, docs: Column) -> Column:
     """The sentence of the first document that shares most key terms with the question, the first of equals; null without one."""
-    asked = key_terms(question)
-    scored = F.transform(sentences(F.get(docs, F.lit(0))["content"]), lambda s, i: F.struct((-F.size(F.array_intersect(asked, key_terms(s)))).alias("n"), i.alias("i"), s.alias("s")))
+    items = sentences(F.get(docs, F.lit(0))["content"])
+    scored = let(key_terms(question), lambda asked: F.transform(items, lambda s, i: F.struct((-F.size(F.array_intersect(asked, key_terms(s)))).alias("n"), i.alias("i"), s.alias("s"))))
     return F.array_min(scored)["s"]
 
 
