@@ -82,7 +82,8 @@ class Engine:
         )
         made = metadata.enriched(made)
         if self.vectors is None:
-            return made.withColumn("embedding", self.embedder.embed(F.col("chunk_text")))
+            # In Arrow batches: expressions would be interpreted once for each word and each component.
+            return made.withColumn("embedding", self.embedder.embed_all(F.array("chunk_text"))[0])
         columns = made.columns
         named = self.store.staged(made).withColumn("text", F.col("chunk_text"))
         return self.vectors.attached(named).select(*columns, F.col("vector").alias("embedding"))
