@@ -94,3 +94,37 @@ def test_a_second_ingestion_calls_nothing(spark, tmp_path):
     held = engine.store.read(engine.settings.collection)
     wrong = held.where(F.size("embedding") != 64)
     assert wrong.isEmpty() and held.first()["embedding"] == embedding.hashed_vector(held.first()["text"], 64).tolist()
+
+
+def test_what_sentences_and_their_vectors_take(spark, tmp_path):
+    """Texts lie beside their sentences no more, vectors meet them part by part, and nothing but what the result reads is left."""
+    words = ["river", "stone", "harbour", "winter", "garden", "letter", "cloud", "window"]
+    texts = [" ".join(f"The {words[(i * 7 + j) % 8]} number {i * 40 + j} follows the {words[(i + j * 3) % 8]}." for j in range(40)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    table = EmbeddingTable(spark, f"file://{tmp_path}/table", embedding.Remote(counting(tmp_path / "calls"), 64))
+    (tmp_path / "calls").mkdir()
+    size = lambda: sum(p.stat().st_size for p in (tmp_path / "table" / "staging").rglob("*.parquet"))
+    made = table.semantic(docs, "text", chunking.Semantic(0.5, 30, 200))
+    left = size()
+    docs.write.option("compression", "zstd").parquet(f"file://{tmp_path}/plain")
+    plain = sum(p.stat().st_size for p in (tmp_path / "plain").rglob("*.parquet"))
+    assert made.count() == 200 and left < 2 * plain
+    table.release(made)
+    assert size() == 0
+
+
+def test_a_key_that_was_added_twice_and_slices_of_before(spark, tmp_path):
+    """Vectors that two writers added, by another number of slices, are found, each once."""
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    how = chunking.Semantic(0.5, 30, 200)
+    for slices in (6, 7):
+        EmbeddingTable(spark, f"file://{tmp_path}/{slices}", embedding.Remote(counting(calls), 64), slices=slices).fill(docs, "text", how)
+    for slices in (6, 7):
+        spark.read.parquet(f"file://{tmp_path}/{slices}/vectors").write.mode("append").partitionBy("model", "slice").parquet(f"file://{tmp_path}/both/vectors")
+    before = len(asked(calls))
+    table = EmbeddingTable(spark, f"file://{tmp_path}/both", embedding.Remote(counting(calls), 64))
+    got = {r["doc_id"]: r["_chunks"] for r in table.semantic(docs, "text", how).collect()}
+    plain = {r["doc_id"]: r["_chunks"] for r in chunking.semantic_table(docs, "text", embedding.HashedTerms(64).embed_all, how).collect()}
+    assert got == plain and all(embedding.hashed_vector(t, 64) is None for t in asked(calls)[before:] if asked(calls).count(t) > 2)
