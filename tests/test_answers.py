@@ -118,3 +118,27 @@ def test_storable_and_batch(spark):
     frame = spark.sql("select 'x' a, cast(null as string) b, array(1, 2) c, timestamp'2024-01-02 03:04:05' d")
     assert frame.select(metadata.storable(frame, "a", "b", "c", "d").alias("m")).first()["m"] == {"a": "x", "c": "[1,2]", "d": "2024-01-02T03:04:05.000000Z"}
     assert metadata.batch_id(spark).startswith("batch_20")
+
+
+def test_a_cleared_history_is_empty(spark, tmp_path):
+    runs = spark.createDataFrame([(1, "q", "cats purr")], "query_id int, question string, answer string")
+    docs = spark.createDataFrame([(1, 1, "a", "cats purr", 0.9)], "query_id int, rank int, id string, content string, score double")
+    history = evaluation.History(f"file://{tmp_path}/h")
+    assert history.read(spark).isEmpty()
+    history.add(evaluation.evaluate(runs, docs))
+    schema = history.read(spark).schema
+    history.clear(spark)
+    assert history.read(spark).isEmpty() and history.read(spark, schema).where("generation is not null").isEmpty()
+    history.add(evaluation.evaluate(runs, docs))
+    assert history.read(spark).count() == 1
+
+
+def test_the_history_query_clears(spark, monkeypatch):
+    """What is there after clearing is a part of the result: without it every run would come twice."""
+    from foliant.plans import more_queries
+
+    cleared, real = [], evaluation.History.clear
+    monkeypatch.setattr(evaluation.History, "clear", lambda self, spark: (cleared.append(self), real(self, spark))[1])
+    rows = more_queries.evaluation_history(spark, "/root/testdata/sf0.001").collect()
+    assert len(cleared) == 1 and cleared[0].read(spark).isEmpty()
+    assert rows and {r["n"] for r in rows} == {2} and len({r["query_id"] for r in rows}) == len(rows)
