@@ -102,9 +102,13 @@ class Engine:
         points = made.where("embedding is not null").select(F.col("chunk_id").alias("doc_id"), F.col("document_id").alias("parent"), F.col("chunk_text").alias("text"), "embedding", kept.alias("metadata"))
         if not self.store.typed:
             points = points.drop("parent")
-        stored = self.store.upsert(name, points, mode)
+        # The bucketed store is told that the points are read from a table, so that it does not write them a second time.
+        stored = self.store.upsert(name, points, mode, **({"stored": True} if isinstance(self.store, bucketed.BucketedStore) else {}))
         # by source and path themselves: documents may share an id, which holds 32 bits of a digest
         counts = made.groupBy(F.col("source").alias("_source"), F.col("file_path").alias("_path")).agg(F.count(F.lit(1)).alias("chunk_count"), F.count_if(F.col("embedding").isNull()).alias("_lost"))
+        counts = self.store.staged(counts)
+        if isinstance(self.store, collection.Store):
+            self.store.unstage(made)
         path = F.col("file_path") if "file_path" in docs.columns else F.lit("")
         error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
         rows = docs.select(F.col("source").alias("document_name"), path.alias("_at"), metadata.document_id(F.col("source"), path).alias("document_id"), error.alias("_e"), is_blank("text").alias("_b"))

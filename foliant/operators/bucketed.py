@@ -18,6 +18,8 @@ from foliant.operators import collection, knn
 POINT = "point_id string, doc_id string, parent string, vec_id bigint, text string, embedding array<float>, metadata variant"
 #: What the engine filters by.
 FIELDS = {"source": "string", "document_id": "string"}
+#: How many buckets are rewritten at once.
+TOGETHER = 16
 _KINDS = {bool: "boolean", int: "bigint", float: "double", str: "string"}
 
 
@@ -80,24 +82,29 @@ class BucketedStore(collection.Store):
 
     def _replace(self, name: str, info: dict, rows: DataFrame, touched: list[int]) -> None:
         """Writes the buckets ``touched``, whole. Points are numbered in their bucket: ``vec_id`` is unique in the collection."""
-        marks = self.spark.createDataFrame([(b,) for b in touched], "bucket int")
-        every = rows.drop("vec_id").unionByName(marks, allowMissingColumns=True)
-        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.asc_nulls_first("point_id")))
-        numbered = every.withColumn("vec_id", F.col("bucket").cast("long") * F.lit(1 << 40) + place)
         columns = [c.name for c in self.spark.createDataFrame([], self._schema(info)).schema]
-        numbered.select(*(F.col(f"`{c}`") for c in columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._points(name))
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.asc_nulls_first("point_id")))
+        # Some buckets after others, so that an exchange, and what is written beside the files that it replaces, hold no more than these.
+        for at in range(0, len(touched), TOGETHER):
+            some = touched[at : at + TOGETHER]
+            marks = self.spark.createDataFrame([(b,) for b in some], "bucket int")
+            every = rows.drop("vec_id").where(F.col("bucket").isin(some)).unionByName(marks, allowMissingColumns=True)
+            numbered = every.withColumn("vec_id", F.col("bucket").cast("long") * F.lit(1 << 40) + place).select(*(F.col(f"`{c}`") for c in columns))
+            with collection.released(numbered):
+                numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", collection.COMPRESSION).partitionBy("bucket").parquet(self._points(name))
 
     def _touched(self, rows: DataFrame) -> list[int]:
         """The buckets of ``rows``: no more than a collection has."""
         return sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
 
-    def upsert(self, name: str, points: DataFrame, mode: str = "merge") -> bool:
+    def upsert(self, name: str, points: DataFrame, mode: str = "merge", stored: bool = False) -> bool:
         """Adds points (doc_id, text, embedding, metadata, and parent if they have one), all or none.
 
         False if the collection is missing or a vector has another dimension. ``merge`` replaces points with the same parent and doc_id;
         ``replace`` also takes away all other points of the parents that come; ``append`` keeps all and gives each point a
         new id. Of repeated points the last by text, vector and metadata wins. A point without a parent is its own.
-        ``points`` is computed once: it is written beside the collection before it is looked at.
+        ``points`` is computed once: it is written beside the collection before it is looked at, unless it is read from a table
+        that was written already (``stored``).
         """
         info = self._info(name)
         if info is None:
@@ -107,7 +114,7 @@ class BucketedStore(collection.Store):
         own = F.col("doc_id").cast("string")
         parent = F.coalesce(F.col("parent").cast("string"), own) if "parent" in points.columns else own
         rows = points.select(own.alias("doc_id"), parent.alias("parent"), "text", F.col("embedding").cast("array<float>").alias("embedding"), as_variant(points, "metadata").alias("metadata"))
-        rows = staged = self.staged(rows.withColumn("point_id", F.expr("uuid()") if mode == "append" else F.sha2(F.concat_ws("\u001f", "parent", "doc_id"), 256)).withColumn("bucket", self._bucket(F.col("parent"), info)))
+        rows = staged = (lambda df: df if stored else self.staged(df))(rows.withColumn("point_id", F.expr("uuid()") if mode == "append" else F.sha2(F.concat_ws("\u001f", "parent", "doc_id"), 256)).withColumn("bucket", self._bucket(F.col("parent"), info)))
         try:
             wrong = F.col("embedding").isNull() | (F.size("embedding") != info["dimension"])
             if rows.agg(F.count_if(wrong).alias("n")).first()["n"]:
@@ -117,11 +124,19 @@ class BucketedStore(collection.Store):
                 return True
             kept = self._rows(name, info).where(F.col("bucket").isin(touched))
             if mode != "append":
-                order = F.struct(F.coalesce("text", F.lit("")), "embedding", F.to_json("metadata"))
-                rows = rows.groupBy("parent", "doc_id").agg(*(F.max_by(c, order).alias(c) for c in ("point_id", "text", "embedding", "metadata", "bucket")))
-                kept = kept.join(rows.select("parent", "doc_id"), ["parent", "doc_id"], "left_anti")
-            if mode == "replace":
-                kept = kept.join(rows.select("parent").distinct(), "parent", "left_anti")
+                own = ["bucket", "parent", "doc_id"]
+                repeated = rows.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                with collection.released(repeated):
+                    once = repeated.isEmpty()
+                if not once:
+                    order = F.struct(F.coalesce("text", F.lit("")), "embedding", F.to_json("metadata"))
+                    rows = rows.groupBy(*own).agg(F.max_by(F.struct("point_id", "text", "embedding", "metadata"), order).alias("_p")).select(*own, "_p.*")
+                # Only keys are exchanged to see whether any point stays.
+                on = own if mode == "merge" else own[:2]
+                kept = kept.join(rows.select(*on).distinct(), on, "left_anti")
+                with collection.released(kept):
+                    if kept.isEmpty():
+                        kept = kept.where("false")
             fields = {f"f_{k}": F.try_variant_get("metadata", F.lit(_member(k)), kind) for k, kind in info["fields"].items()}
             self._replace(name, info, kept.unionByName(rows.withColumns(fields), allowMissingColumns=True), touched)
         finally:

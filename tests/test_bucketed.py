@@ -193,3 +193,26 @@ def test_versions_are_whole_and_points_are_numbered(spark, tmp_path):
     assert len(set(numbers)) == 4
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert sorted(r["text"] for r in store.search("c", asked, 4).collect()) == ["text a", "text a", "text b", "text c"]
+
+
+def test_an_ingestion_leaves_no_chunks_behind(spark, tmp_path):
+    """Chunks are written once beside the collection and gone afterwards; statuses are read from counts."""
+    engine = Engine(spark, root=f"file://{tmp_path}/store", store_provider="bucketed", dimension=64, chunking="sentence")
+    docs = spark.createDataFrame([(f"Rivers carry {i} stones to the harbour.", f"{i}.txt") for i in range(60)], "text string, source string")
+    for _ in range(2):
+        statuses = engine.ingest(docs, mode="replace")
+        columns = [set(spark.read.parquet(f"file://{d}").columns) for d in (tmp_path / "store" / "staging").iterdir()]
+        assert not any("chunk_text" in c or "embedding" in c for c in columns)
+        assert statuses.where("success and chunk_count = 1").count() == 60 and engine.store.count(engine.settings.collection) == 60
+
+
+def test_buckets_are_rewritten_some_at_a_time(spark, tmp_path):
+    """More buckets than are rewritten at once: merged, replaced and deleted points, each in its bucket with a number of its own."""
+    store = BucketedStore(spark, f"file://{tmp_path}/store", buckets=40, fields={"label": "int"})
+    store.create("c", 2)
+    rows = [(f"d{i}", f"p{i % 90}", f"t{i}", [1.0, float(i)], i) for i in range(300)]
+    assert store.upsert("c", points(spark, rows)) and store.count("c") == 300
+    store.upsert("c", points(spark, [(d, p, "new", v, n) for d, p, _, v, n in rows[:150]]))
+    assert sorted(t for _, t in held(store)) == sorted(["new"] * 150 + [f"t{i}" for i in range(150, 300)])
+    store.upsert("c", points(spark, [("only", f"p{i}", "o", [1.0, 0.0], i) for i in range(90)]), mode="replace")
+    assert held(store) == [("only", "o")] * 90 and len({r["vec_id"] for r in store.read("c").collect()}) == 90
